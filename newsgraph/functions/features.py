@@ -12,6 +12,7 @@ from newsgraph import constants as K
 from newsgraph.functions import maps, text as T, urls as U
 
 DIMENSIONS = 384
+MAX_FIRST_WORDS = 20_000
 
 
 # --- event and content type -------------------------------------------------------------------
@@ -248,20 +249,24 @@ def entity_mentions(df: DataFrame, key: str, text: str, aliases: DataFrame, limi
     runs of one to five and met with the aliases in an equi-join.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}#&]+)"), 1)
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(5)),
-            lambda size: F.transform(
-                F.when(F.size(F.col("_t")) >= size, F.sequence(F.lit(1), F.size(F.col("_t")) - size + 1)).otherwise(
-                    F.array().cast("array<int>")
-                ),
-                lambda at: F.array_join(F.slice(F.col("_t"), at, size), " "),
+    first = [r[0] for r in aliases.select(F.substring_index("alias", " ", 1)).distinct().limit(MAX_FIRST_WORDS + 1).collect()]
+
+    def runs(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(t))
+        if len(first) <= MAX_FIRST_WORDS:
+            # Only a word that opens some alias can start a mention.
+            starts = F.filter(starts, lambda at: F.element_at(t, at).isin(first))
+        per_start = F.transform(
+            starts,
+            lambda at: F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(5), F.size(t) - at + 1)),
+                lambda size: F.array_join(F.slice(t, at, size), " "),
             ),
         )
-    )
+        return F.when(F.size(t) > 0, F.flatten(per_start))
+
     found = (
-        df.select(key, tokens.alias("_t"))
-        .select(key, F.explode(runs).alias("alias"))
+        df.select(key, F.explode(maps.let(tokens, runs)).alias("alias"))
         .join(aliases.select("alias", "canonical"), "alias")
         .groupBy(key, "canonical")
         .agg(F.count("*").alias("mentions"))

@@ -42,3 +42,9 @@ def product(values: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` (a lambda variable is never recomputed)."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def round_half_even(value: Column, places: int) -> Column:
+    """Half-even rounding of the scaled double, as the check statements do."""
+    scale = 10.0**places
+    return F.rint(value * scale) / scale

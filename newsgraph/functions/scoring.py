@@ -44,7 +44,7 @@ def is_fresh(kind: Column, published: Column, fetched: Column, cutoff: Column) -
 
 def decayed_rank(score: Column, event: Column, age: Column, content: Column) -> Column:
     half = F.when(content == "github", F.lit(48.0)).otherwise(maps.lookup(K.HALF_LIFE_HOURS, event, 18.0))
-    return F.bround(score * F.pow(F.lit(2.0), -age / half), 2)
+    return maps.round_half_even(score * F.pow(F.lit(2.0), -age / half), 2)
 
 
 def feed_rank(score: Column, age: Column, recency_bias: Column, base: float) -> Column:
@@ -145,8 +145,8 @@ def importance(
         .otherwise(score)
     )
     score = score + F.when(F.coalesce(funding_usd, F.lit(0)) >= 1_000_000_000, 4.0).otherwise(0.0)
-    score = F.least(F.lit(100.0), F.bround(score, 2))
-    return F.when(quality <= 0.30, F.bround(score * (0.70 + 0.30 * (quality / 0.30)), 2)).otherwise(score)
+    score = F.least(F.lit(100.0), maps.round_half_even(score, 2))
+    return F.when(quality <= 0.30, maps.round_half_even(score * (0.70 + 0.30 * (quality / 0.30)), 2)).otherwise(score)
 
 
 def editorial_rank(top: Column, coverage: Column, independent: Column, official: Column, trust: Column) -> Column:
@@ -159,14 +159,14 @@ def editorial_rank(top: Column, coverage: Column, independent: Column, official:
         + F.when(official, 3.0).otherwise(0.0)
         - F.greatest(F.lit(0.0), (F.lit(40.0) - known) * 0.1)
     )
-    return clamp(F.bround(raw, 2), 0.0, 100.0)
+    return clamp(maps.round_half_even(raw, 2), 0.0, 100.0)
 
 
 # --- verdict blending -------------------------------------------------------------------------
 
 def significance(impact: Column, breadth: Column, novel: Column) -> Column:
     raw = 0.50 * impact + 0.25 * breadth + 0.25 * novel
-    return F.bround(clamp((raw - 1.0) * 100.0 / 9.0, 0.0, 100.0), 2)
+    return maps.round_half_even(clamp((raw - 1.0) * 100.0 / 9.0, 0.0, 100.0), 2)
 
 
 def final_score(
@@ -186,9 +186,9 @@ def final_score(
     drop = F.least(drop, F.lit(20.0))
     return (
         F.when(verdict.isNull(), rule)
-        .when(update.isin("corrected", "retracted"), F.bround(F.least(rule, 0.5 * rule + 0.5 * verdict), 2))
-        .when(mixed >= rule, F.bround(mixed, 2))
-        .otherwise(F.bround(rule - drop, 2))
+        .when(update.isin("corrected", "retracted"), maps.round_half_even(F.least(rule, 0.5 * rule + 0.5 * verdict), 2))
+        .when(mixed >= rule, maps.round_half_even(mixed, 2))
+        .otherwise(maps.round_half_even(rule - drop, 2))
     )
 
 
@@ -270,7 +270,7 @@ def personal_score(
         | is_blocked("source_weights", source)
     )
     score = base * domain * entity_part * topic_part * source_part * credible * hype
-    return F.when(blocked, F.lit(0.0)).otherwise(F.least(F.lit(100.0), F.bround(score, 2)))
+    return F.when(blocked, F.lit(0.0)).otherwise(F.least(F.lit(100.0), maps.round_half_even(score, 2)))
 
 
 # --- triage -----------------------------------------------------------------------------------

@@ -96,13 +96,13 @@ def trust_score(
         + w["claim_quality"] * quality
         + w["primary_document"] * F.when(primary, 1.0).otherwise(0.0)
     )
-    score = F.bround(F.least(F.lit(100.0), raw * 100.0), 2)
+    score = maps.round_half_even(F.least(F.lit(100.0), raw * 100.0), 2)
     score = (
         F.when((event == "RESEARCH_PAPER") & primary, F.greatest(score, F.lit(65.0)))
         .when((event == "OPEN_SOURCE_RELEASE") & primary, F.greatest(score, F.lit(70.0)))
         .otherwise(score)
     )
-    return F.when(hours_since_first < 2, F.bround(score * 0.90, 2)).otherwise(score)
+    return F.when(hours_since_first < 2, maps.round_half_even(score * 0.90, 2)).otherwise(score)
 
 
 def trust_label(
@@ -254,7 +254,7 @@ def verification_state(mode: Column, confidence: Column, independent: Column, te
     fixed = status != "active"
     return F.struct(
         F.when(fixed, "corrected_or_retracted").when(disputed, "disputed").otherwise(by_mode).alias("state"),
-        F.bround(
+        maps.round_half_even(
             F.when(status == "retracted", F.least(confidence, F.lit(30.0)))
             .when(status == "corrected", F.least(confidence, F.lit(40.0)))
             .when(disputed, F.least(confidence, F.lit(35.0)))
@@ -284,12 +284,12 @@ def trust_components(mode: Column, state: Column, parts: Column, text: Column) -
         .when(state.isin("verified_artifact", "corroborated_report"), "attributed")
         .otherwise("rumor")
     )
-    tenth = lambda c: F.bround(F.bround(c * 100.0, 1), 1)
+    tenth = lambda c: maps.round_half_even(maps.round_half_even(c * 100.0, 1), 1)
     sample = F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 5000)
     sentences = F.greatest(
         F.lit(1), F.size(F.filter(F.split(sample, "[.!?]+"), lambda s: F.regexp_replace(s, r"(?U)\s+", "") != ""))
     )
-    ratio = lambda patterns: F.bround(
+    ratio = lambda patterns: maps.round_half_even(
         F.least(F.lit(1.0), T.count_matching(sample, patterns) / sentences), 3
     )
     community = mode == "community_post"
@@ -305,7 +305,7 @@ def trust_components(mode: Column, state: Column, parts: Column, text: Column) -
         level.alias("confirmation_level"),
         ratio(K.ANONYMOUS_SOURCES).alias("hedging_ratio"),
         ratio(K.DIRECT_EVIDENCE).alias("attribution_ratio"),
-        F.bround(F.least(F.lit(1.0), T.count_matching(sample, K.VERIFIED_SPECIFICS) / 3.0), 3).alias("specificity_score"),
+        maps.round_half_even(F.least(F.lit(1.0), T.count_matching(sample, K.VERIFIED_SPECIFICS) / 3.0), 3).alias("specificity_score"),
     )
 
 
