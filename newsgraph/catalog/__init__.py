@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "scores"]
+MODULES = ["scalars", "scores", "sets"]
 
 
 def _collect(attribute: str) -> dict:

@@ -54,7 +54,9 @@ def rows_of(names, rows):
 
 def compare(spark, con, fn, sql, folder):
     df = fn(spark, folder)
+    start = time.time()
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    compare.spark_seconds = time.time() - start
     if sql is None:
         return len(got), None
     rel = con.execute(sql)
@@ -89,7 +91,7 @@ def main() -> None:
             n, problem = -1, f"{type(exc).__name__}: {str(exc)[:900]}"
         state = "rows-only" if problem is None else ("ok" if not problem else "FAIL")
         bad += bool(problem)
-        print(f"{state:9} {name:40} {n:7} {time.time() - start:6.2f}s {problem or ''}", flush=True)
+        print(f"{state:9} {name:40} {n:7} {time.time() - start:6.2f}s ({getattr(compare, 'spark_seconds', 0):5.2f}) {problem or ''}", flush=True)
     print("failures:", bad)
 
 
