@@ -345,12 +345,15 @@ _ALIAS = "aliases AS (SELECT * FROM (VALUES " + ", ".join(
 ) + ") AS t(alias, canonical))"
 
 
+_FIRST = B.arr(sorted({a.lower().split(" ")[0] for names in K.ENTITY_ALIASES.values() for a in names}))
+
+
 def sql_mentions(source: str, key: str, text: str) -> list[str]:
     return [
         _ALIAS,
         f"""toks AS (SELECT {key} AS id, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}#&]+') AS t FROM {source}),
 runs AS (SELECT id, array_to_string(list_slice(t, pos, pos + size - 1), ' ') AS alias FROM
-  (SELECT id, t, size, unnest(range(1, len(t) - size + 2)) AS pos FROM toks, (SELECT unnest([1, 2, 3, 4, 5]) AS size))),
+  (SELECT id, t, size, unnest(list_filter(range(1, len(t) - size + 2), lambda x: list_contains({_FIRST}, t[x]))) AS pos FROM toks, (SELECT unnest([1, 2, 3, 4, 5]) AS size))),
 counts AS (SELECT id, canonical, count(*) AS mentions FROM runs JOIN aliases USING (alias) GROUP BY ALL),
 kept AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY id ORDER BY mentions DESC, canonical) <= 5),
 found AS (SELECT id, canonical AS entity, mentions / sum(mentions) OVER (PARTITION BY id) AS weight FROM kept)""",
