@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "scores", "sets", "graphs"]
+MODULES = ["scalars", "scores", "sets", "graphs", "feeds"]
 
 
 def _collect(attribute: str) -> dict:

@@ -164,6 +164,13 @@ def vectors(spark: SparkSession, folder: str, dim: int = 64) -> DataFrame:
     )
 
 
+def article_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """A vector for every article; articles share the given vectors, so there are copies."""
+    ids = table(spark, folder, "documents").select(F.col("doc_id").alias("article_id"))
+    given = vectors(spark, folder).filter("article_id < 500").select(F.col("article_id").alias("_v"), "embedding")
+    return ids.join(given, F.pmod("article_id", F.lit(500)) == F.col("_v")).select("article_id", "embedding")
+
+
 def readers(spark: SparkSession, folder: str) -> DataFrame:
     """Readers with their preference knobs."""
     k = F.col("c_custkey")
