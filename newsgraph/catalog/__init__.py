@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "scores", "sets", "graphs", "feeds"]
+MODULES = ["scalars", "scores", "sets", "graphs", "feeds", "landings"]
 
 
 def _collect(attribute: str) -> dict:

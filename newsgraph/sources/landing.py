@@ -21,3 +21,245 @@ def correct_sitemap_dates(
         .filter(~(F.col("_older") & (F.col("published_at") < cutoff)))
         .drop("_older")
     )
+
+
+# --- candidates -------------------------------------------------------------------------------
+
+CANDIDATE = [
+    "external_id", "url", "title", "snippet", "author", "published_at", "fetched_at", "hn_points", "hn_comments",
+    "reddit_upvotes", "github_stars",
+]
+NO_LASTMOD_CAP = 200
+GITHUB_RUN_CAP = 60
+SCHOLAR_PAGE = 100
+# Words that mark a trending repository as relevant.
+TRENDING_WORDS = [
+    "llm", "transformer", "gpt", "diffusion", "neural", "machine-learning", "deep-learning", "ai", "nlp",
+    "computer-vision", "reinforcement-learning", "langchain", "rag", "embedding", "fine-tune", "lora", "gguf", "onnx",
+]
+
+# Payload schemas.
+SCHEMAS = {
+    "rss": "channel struct<item: array<struct<guid:string,link:string,title:string,description:string,author:string,pubDate:string,updated:string>>>",
+    "atom": "entry array<struct<id:string,title:string,summary:string,updated:string,author:struct<name:string>>>",
+    "sitemap": "url array<struct<loc:string,lastmod:string>>",
+    "hn": "hits array<struct<objectID:string,title:string,url:string,story_url:string,story_text:string,author:string,created_at:string,points:int,num_comments:int>>",
+    "reddit": "data array<struct<id:string,url:string,title:string,selftext:string,author:string,created_utc:double,score:int>>",
+    "github": "items array<struct<id:string,full_name:string,html_url:string,description:string,owner:struct<login:string>,stargazers_count:int>>",
+    "bluesky": "posts array<struct<uri:string,record:struct<text:string,createdAt:string>,author:struct<handle:string>,likeCount:int>>",
+    "mastodon": "posts array<struct<id:string,content:string,created_at:string,url:string,uri:string,account:struct<acct:string,username:string>,favourites_count:int>>",
+    "twitter": "tweets array<struct<id:string,rawContent:string,date:string,url:string,user:struct<username:string>,likeCount:int>>",
+    "hf_papers": "papers array<struct<paper:struct<id:string,title:string,summary:string,ai_summary:string,publishedAt:string,authors:array<struct<name:string>>,upvotes:int,githubRepo:string,githubStars:int>>>",
+    "semantic_scholar": "data array<struct<paperId:string,title:string,abstract:string,url:string,openAccessPdf:struct<url:string>,publicationDate:string,authors:array<struct<name:string>>,citationCount:int>>",
+    "nvd": "vulnerabilities array<struct<cve:struct<id:string,published:string,descriptions:array<struct<lang:string,value:string>>>>>",
+    "congress": "bills array<struct<url:string,title:string,updateDate:string>>",
+}
+_LIST = {
+    "hn": "hits", "reddit": "data", "github": "items", "bluesky": "posts", "mastodon": "posts", "twitter": "tweets",
+    "hf_papers": "papers", "semantic_scholar": "data", "nvd": "vulnerabilities", "congress": "bills",
+    "rss": "channel.item", "atom": "entry", "sitemap": "url",
+}
+
+
+def read_xml_items(spark, path: str, row_tag: str, schema: str) -> DataFrame:
+    """Feed files on disk, split by element: one row per item, files read in parallel."""
+    return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+
+
+def items_of(payloads: DataFrame, kind: str) -> DataFrame:
+    """One row per item of the landed payloads (payload_no, payload): order columns and the item struct."""
+    parse = F.from_xml if kind in ("rss", "atom", "sitemap") else F.from_json
+    parsed = payloads.withColumn("_doc", parse(F.col("payload"), SCHEMAS[kind]))
+    return parsed.select(*[c for c in payloads.columns if c != "payload"], F.posexplode(f"_doc.{_LIST[kind]}").alias("pos", "i"))
+
+
+def _time(text: Column) -> Column:
+    """ISO or mail-style time; null when neither."""
+    mail = F.regexp_replace(F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z)\s*$", " +0000")
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
+
+
+def _finish(rows: DataFrame, fields: dict[str, Column], as_of: Column, hours: int | None, required: Column) -> DataFrame:
+    """Candidate columns; items before the cutoff or without the required fields go; first per id wins."""
+    from newsgraph.operators.ranking import first_per_key
+
+    typed = {"external_id": "string", "published_at": "timestamp", "hn_points": "int", "hn_comments": "int", "reddit_upvotes": "int", "github_stars": "int"}
+    columns = {n: fields.get(n, F.lit(None)).cast(typed.get(n, "string")) for n in CANDIDATE if n != "fetched_at"}
+    columns["fetched_at"] = as_of
+    out = rows.filter(required).select("payload_no", "pos", *[columns[n].alias(n) for n in CANDIDATE])
+    out = out.filter((F.coalesce("external_id", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
+    if hours is not None:
+        cutoff = as_of - F.make_dt_interval(hours=F.lit(hours))
+        out = out.filter(F.col("published_at").isNull() | (F.col("published_at") >= cutoff))
+    return first_per_key(out, ["external_id"], ["payload_no", "pos"])
+
+
+def candidates(payloads: DataFrame, kind: str, as_of: Column, lookback_hours: int = 168) -> DataFrame:
+    """Candidate rows of one feed kind."""
+    i = lambda name: F.col(f"i.{name}")
+    ws = T.collapse_ws
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    rows, yes = items_of(payloads, kind), F.lit(True)
+    if kind == "rss":
+        fields = {
+            "external_id": F.coalesce(filled(i("guid")), filled(i("link"))), "url": i("link"), "title": ws(i("title")), "author": i("author"),
+            "snippet": F.when(i("description").isNotNull(), ws(T.strip_html(i("description")))),
+            "published_at": F.coalesce(_time(i("pubDate")), _time(i("updated"))),
+        }
+        return _finish(rows, fields, as_of, lookback_hours, yes)
+    if kind == "atom":
+        fields = {
+            "external_id": i("id"), "url": i("id"), "title": ws(i("title")), "snippet": ws(i("summary")),
+            "author": i("author.name"), "published_at": _time(i("updated")),
+        }
+        return _finish(rows, fields, as_of, lookback_hours, yes)
+    if kind == "hn":
+        fields = {
+            "external_id": i("objectID"), "url": F.coalesce(filled(i("url")), i("story_url")), "title": ws(i("title")), "snippet": ws(i("story_text")),
+            "author": i("author"), "published_at": _time(i("created_at")), "hn_points": i("points"), "hn_comments": i("num_comments"),
+        }
+        return _finish(rows, fields, as_of, lookback_hours, yes)
+    if kind == "reddit":
+        fields = {
+            "external_id": i("id"), "url": i("url"), "title": ws(i("title")), "snippet": ws(i("selftext")), "author": i("author"),
+            "published_at": F.timestamp_seconds(i("created_utc")), "reddit_upvotes": i("score"),
+        }
+        return _finish(rows, fields, as_of, 24, yes)
+    if kind == "bluesky":
+        text, handle = ws(i("record.text")), i("author.handle")
+        link = F.concat(F.lit("https://bsky.app/profile/"), handle, F.lit("/post/"), F.substring_index(i("uri"), "/", -1))
+        fields = {
+            "external_id": i("uri"), "url": F.when(filled(handle).isNotNull(), link).otherwise(i("uri")), "title": F.substring(text, 1, 140), "snippet": text,
+            "author": handle, "published_at": F.coalesce(_time(i("record.createdAt")), as_of), "reddit_upvotes": F.coalesce(i("likeCount"), F.lit(0)),
+        }
+        return _finish(rows, fields, as_of, 24, yes)
+    if kind == "mastodon":
+        text = ws(T.strip_html(i("content")))
+        fields = {
+            "external_id": i("id"), "url": F.coalesce(filled(i("url")), i("uri")), "title": F.substring(text, 1, 140), "snippet": text,
+            "author": F.coalesce(filled(i("account.acct")), i("account.username")), "published_at": F.coalesce(_time(i("created_at")), as_of),
+            "reddit_upvotes": F.coalesce(i("favourites_count"), F.lit(0)),
+        }
+        return _finish(rows, fields, as_of, 24, yes)
+    if kind == "twitter":
+        text, name = ws(i("rawContent")), filled(i("user.username"))
+        link = F.concat(F.lit("https://x.com/"), F.coalesce(name, F.lit("i")), F.lit("/status/"), i("id"))
+        fields = {
+            "external_id": i("id"), "url": F.coalesce(filled(i("url")), link), "title": F.substring(text, 1, 140), "snippet": text, "author": name,
+            "published_at": F.coalesce(_time(i("date")), as_of), "reddit_upvotes": F.coalesce(i("likeCount"), F.lit(0)),
+        }
+        return _finish(rows, fields, as_of, 24, yes)
+    names = lambda c: filled(F.array_join(F.transform(F.slice(c, 1, 5), lambda a: F.coalesce(a["name"], F.lit(""))), ", "))
+    if kind == "hf_papers":
+        p = lambda name: F.col(f"i.paper.{name}")
+        fields = {
+            "external_id": F.concat(F.lit("hf:"), filled(p("id"))), "url": F.concat(F.lit("https://arxiv.org/abs/"), p("id")), "title": ws(p("title")),
+            "snippet": ws(F.coalesce(filled(p("ai_summary")), p("summary"))), "author": names(p("authors")), "published_at": _time(p("publishedAt")),
+            "hn_points": F.coalesce(p("upvotes"), F.lit(0)), "github_stars": F.when(filled(p("githubRepo")).isNotNull(), F.coalesce(p("githubStars"), F.lit(0))),
+        }
+        return _finish(rows, fields, as_of, 48, yes)
+    if kind == "semantic_scholar":
+        page = F.concat(F.lit("https://www.semanticscholar.org/paper/"), i("paperId"))
+        fields = {
+            "external_id": F.concat(F.lit("s2:"), filled(i("paperId"))), "url": F.coalesce(filled(i("openAccessPdf.url")), filled(i("url")), page), "title": ws(i("title")),
+            "snippet": ws(i("abstract")), "author": names(i("authors")), "published_at": _time(i("publicationDate")), "hn_points": F.coalesce(i("citationCount"), F.lit(0)),
+        }
+        return _finish(rows, fields, as_of, None, F.col("pos") < SCHOLAR_PAGE)
+    if kind == "nvd":
+        english = F.coalesce(F.try_element_at(F.filter(i("cve.descriptions"), lambda d: d["lang"] == "en"), F.lit(1))["value"], F.lit(""))
+        fields = {
+            "external_id": i("cve.id"), "url": F.concat(F.lit("https://nvd.nist.gov/vuln/detail/"), i("cve.id")), "snippet": ws(english),
+            "title": F.concat(i("cve.id"), F.lit(": "), ws(F.substring(english, 1, 200))), "published_at": _time(i("cve.published")),
+        }
+        return _finish(rows, fields, as_of, 168, yes)
+    if kind == "congress":
+        fields = {
+            "external_id": i("url"), "url": i("url"), "title": ws(i("title")), "published_at": F.coalesce(_time(i("updateDate")), as_of),
+        }
+        return _finish(rows, fields, as_of, lookback_hours, yes)
+    if kind == "github":
+        fields = {
+            "external_id": i("id"), "url": i("html_url"), "title": ws(i("full_name")), "snippet": ws(i("description")), "author": i("owner.login"),
+            "github_stars": i("stargazers_count"),
+        }
+        return _finish(rows, fields, as_of, None, yes)
+    raise ValueError(kind)
+
+
+def github_candidates(payloads: DataFrame, as_of: Column, cap: int = GITHUB_RUN_CAP) -> DataFrame:
+    """Repository search per run: terms in order, first hit per repository, stop after the term that fills the cap.
+
+    ``payloads`` carries ``run`` next to ``payload_no`` (the term's place in the run).
+    """
+    from pyspark.sql import Window
+
+    from newsgraph.operators.ranking import first_per_key
+
+    i = lambda name: F.col(f"i.{name}")
+    rows = items_of(payloads, "github").select(
+        "run", "payload_no", "pos", i("id").alias("external_id"), i("html_url").alias("url"), T.collapse_ws(i("full_name")).alias("title"),
+        T.collapse_ws(i("description")).alias("snippet"), i("owner.login").alias("author"), i("stargazers_count").alias("github_stars"), as_of.alias("fetched_at"),
+    )
+    once = first_per_key(rows.filter(F.coalesce("external_id", F.lit("")) != ""), ["run", "external_id"], ["payload_no", "pos"]).filter("title <> ''")
+    per_term = once.groupBy("run", "payload_no").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("run").orderBy("payload_no").rowsBetween(Window.unboundedPreceding, -1)
+    filled = per_term.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < cap)
+    return once.join(F.broadcast(filled.select("run", "payload_no")), ["run", "payload_no"], "left_semi")
+
+
+def sitemap_candidates(
+    payloads: DataFrame, as_of: Column, path_filter: str | None = None, lastmod_optional: bool = False, lookback_hours: int = 168
+) -> DataFrame:
+    """Story URLs of landed sitemaps (source_name, payload_no, payload), titled from the slug."""
+    from newsgraph.functions import urls as U
+    from newsgraph.operators.ranking import top_per_group
+
+    rows = items_of(payloads, "sitemap").select(
+        "source_name", "payload_no", "pos", F.col("i.loc").alias("url"), F.try_to_timestamp(F.col("i.lastmod")).alias("published_at")
+    )
+    rows = rows.filter(U.is_news_candidate(F.col("url"), path_filter))
+    cutoff = as_of - F.make_dt_interval(hours=F.lit(lookback_hours))
+    dated = rows.filter(F.col("published_at") >= cutoff)
+    if lastmod_optional:
+        # The cap on undated URLs is the connector's own rule.
+        undated = top_per_group(rows.filter(F.col("published_at").isNull()), ["source_name"], [F.asc("payload_no"), F.asc("pos")], NO_LASTMOD_CAP)
+        dated = dated.unionByName(undated)
+    slug = F.regexp_extract(F.regexp_replace(U.path(F.col("url")), "/+$", ""), "([^/]*)$", 1)
+    title = T.collapse_ws(T.title_case(F.translate(slug, "-_", "  ")))
+    return dated.select("source_name", F.col("url").alias("external_id"), "url", title.alias("title"), "published_at", as_of.alias("fetched_at"))
+
+
+def trending_candidates(pages: DataFrame, html: str, as_of: Column) -> DataFrame:
+    """Trending repositories from a landed listing page, kept if a relevant word occurs."""
+    block = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<article\b[^>]*Box-row[^>]*>(.*?)</article>"), 1))
+    rows = pages.select(*[c for c in pages.columns if c != html], block.alias("b"))
+    path = F.regexp_replace(F.regexp_extract("b", r"(?is)<h2\b.*?<a\b[^>]*href=\"([^\"]*)\"", 1), "^/+|/+$", "")
+    text = T.collapse_ws(T.strip_html(F.regexp_extract("b", r"(?is)<p\b[^>]*>(.*?)</p>", 1)))
+    stars = F.regexp_extract("b", r"(?is)class=\"[^\"]*(?:stargazers|float-sm-right)[^\"]*\"[^>]*>\s*([0-9,]+)", 1)
+    staged = rows.select("*", path.alias("external_id"), text.alias("snippet"), F.coalesce(F.replace(stars, F.lit(","), F.lit("")).try_cast("int"), F.lit(0)).alias("github_stars"))
+    combined = F.lower(F.concat_ws(" ", "external_id", "snippet"))
+    relevant = combined.rlike("(?:" + "|".join(TRENDING_WORDS) + ")")
+    title = F.when(F.col("snippet") != "", F.concat("external_id", F.lit(": "), F.substring("snippet", 1, 100))).otherwise(F.col("external_id"))
+    return (
+        staged.filter((F.col("external_id") != "") & relevant)
+        .withColumn("title", title)
+        .withColumn("url", F.concat(F.lit("https://github.com/"), "external_id"))
+        .withColumn("fetched_at", as_of)
+        .drop("b")
+    )
+
+
+def source_catalogue(definitions: DataFrame) -> DataFrame:
+    """One row per source name: the last definition wins; defaults filled; sitemap fields moved."""
+    c = F.col
+    rest = [n for n in definitions.columns if n not in ("name", "place")]
+    last = definitions.filter(F.coalesce("name", F.lit("")) != "").groupBy("name").agg(F.max_by(F.struct(*rest), "place").alias("d")).select("name", "d.*")
+    sitemap = c("kind") == "sitemap"
+    return last.select(
+        "name", "kind",
+        F.when(sitemap, F.coalesce("base_url", "path_filter")).otherwise(c("base_url")).alias("base_url"),
+        F.when(sitemap, F.coalesce("feed_url", "sitemap_url")).otherwise(c("feed_url")).alias("feed_url"),
+        F.coalesce("authority", F.lit(0.5)).alias("authority"), F.coalesce("always_scrape", F.lit(False)).alias("always_scrape"),
+        F.coalesce("priority_poll", F.lit(False)).alias("priority_poll"), F.coalesce("enabled", F.lit(True)).alias("enabled"),
+        F.coalesce("rate_limit_rps", F.lit(0.5)).alias("rate_limit_rps"),
+    )
