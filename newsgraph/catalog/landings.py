@@ -56,7 +56,8 @@ def feed_rows(spark, sf):
 def payloads_of(rows, wrapper: str, item):
     """Every item lands twice, in two payloads."""
     doc = F.to_json(F.struct(F.array(item).alias(wrapper)))
-    return rows.select(F.explode(F.array(c("article_id"), c("article_id") + 1_000_000_000)).alias("payload_no"), doc.alias("payload"))
+    numbers = F.array(c("article_id"), c("article_id") + 1_000_000_000)
+    return rows.select(numbers.alias("numbers"), doc.alias("payload")).select(F.explode("numbers").alias("payload_no"), "payload")
 
 
 def shown(df):

@@ -8,7 +8,7 @@ from newsgraph import constants as K
 from newsgraph.catalog import sqlbase as B
 from newsgraph.functions import cards as CD, features as FT, maps, scoring as S, text as T, trust as TR, urls as U
 from newsgraph.sources import standin as D
-from newsgraph.sources.tables import as_of, table
+from newsgraph.sources.tables import as_of, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -230,7 +230,7 @@ def sql_sparse(source: str, key: str, text: str, name: str) -> str:
     B.with_(sql_sparse("documents", "doc_id", "text", "v")) + "SELECT id AS doc_id, bucket, round(weight, 6) AS weight FROM v",
 )
 def f13(spark, sf):
-    return FT.word_vectors(table(spark, sf, "documents"), "doc_id", "text").select(
+    return FT.word_vectors(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text").select(
         "doc_id", "bucket", F.round("weight", 6).alias("weight")
     )
 
@@ -292,7 +292,7 @@ def with_topics(df):
 def f15(spark, sf):
     return (
         with_topics(D.articles(spark, sf).select("article_id", "title", "text"))
-        .select("article_id", F.explode("topic_dist").alias("topic", "p"))
+        .select("article_id", F.explode_outer("topic_dist").alias("topic", "p"))
         .select("article_id", "topic", F.round("p", 6).alias("prob"))
     )
 
@@ -372,12 +372,45 @@ def f19(spark, sf):
     named = F.concat(
         D.pick(D.NAMES, c("doc_id")), F.lit(" and "), D.pick(D.NAMES, c("doc_id") * 3 + 1), F.lit(" met Open AI. "), c("text")
     )
-    docs = table(spark, sf, "documents").select("doc_id", named.alias("t"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", named.alias("t"))
     return FT.entity_mentions(docs, "doc_id", "t", F.broadcast(FT.static_aliases(spark))).select(
         "doc_id", "entity", F.round("weight", 6).alias("weight")
     )
 
 
+# The whole feature row: event type, strongest topic, entities with the publisher's own, amount.
+_F18_ENT = f"""own AS (SELECT article_id, {_SQL_OWNER.replace('label', "coalesce(source_name, '')")} AS e FROM articles),
+ent0 AS (SELECT id AS article_id, entity, weight FROM found),
+flagged AS (SELECT o.article_id, o.e, r.is_release, EXISTS (SELECT 1 FROM ent0 x WHERE x.article_id = o.article_id) AS any_ent,
+  EXISTS (SELECT 1 FROM ent0 x WHERE x.article_id = o.article_id AND x.entity = o.e) AS present FROM own o JOIN rel r USING (article_id)),
+step1 AS (SELECT x.article_id, x.entity, x.weight AS w FROM ent0 x UNION ALL SELECT article_id, e, CASE WHEN any_ent THEN 0.55 ELSE 1.0 END FROM flagged WHERE e IS NOT NULL AND NOT present),
+norm1 AS (SELECT article_id, entity, w / sum(w) OVER (PARTITION BY article_id) AS w FROM step1),
+step2 AS (SELECT n.article_id, n.entity, CASE WHEN f.is_release AND n.entity = f.e THEN greatest(w, 0.85) ELSE w END AS w FROM norm1 n JOIN flagged f USING (article_id)),
+norm2 AS (SELECT article_id, entity, w / sum(w) OVER (PARTITION BY article_id) AS w FROM step2),
+ents AS (SELECT article_id, string_agg(entity || '=' || printf('%.4f', w), '|' ORDER BY entity) AS entities FROM norm2 GROUP BY 1)"""
+_REL = _F12[len(A):].lstrip().lstrip(",").split("SELECT article_id, official AND artifact")[0]
+
+
+@query(
+    "f18_feature_row",
+    B.with_(
+        B.ARTICLES, f"tt AS ({_TOPIC_TEXT})", *sql_anchor_sims("tt", "article_id", "t"), _SOFTMAX, _REL.rstrip().rstrip(","),
+        "rel AS (SELECT article_id, official AND artifact IS NOT NULL AND (s > 0 OR (r >= 1 AND m >= 2) OR (r >= 2 AND m >= 1)) AS is_release FROM scored)",
+        "ft AS (SELECT article_id, title || chr(10) || substr(text, 1, 2000) AS t FROM articles)", *sql_mentions("ft", "article_id", "t"), _F18_ENT,
+    )
+    + f"""SELECT a.article_id, CASE WHEN is_release THEN 'MODEL_RELEASE' ELSE {_SQL_EVENT} END AS event_type, {sql_amount("title || chr(10) || substr(text, 1, 2000)")} AS amount, coalesce(entities, '') AS entities,
+ round(CASE WHEN is_release THEN greatest(p.prob, 0.72) / (greatest(p.prob, 0.72) + 0.28) ELSE p.prob END, 4) AS llms FROM articles a JOIN rel USING (article_id) LEFT JOIN ents USING (article_id)
+ JOIN dist p ON p.article_id = a.article_id AND p.topic = 'llms'""",
+)
+def f18(spark, sf):
+    rows = FT.build_features(D.articles(spark, sf), F.broadcast(FT.static_aliases(spark)))
+    pairs = F.array_sort(F.map_entries("entities"))
+    shown = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), "|")
+    return rows.select(
+        "article_id", "event_type", c("funding_usd").alias("amount"), shown.alias("entities"), F.round(maps.weight_of(c("topics"), "llms"), 4).alias("llms")
+    )
+
+
 def sql_entity_key(x: str) -> str:
     return (
         f"regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(trim({x}))), '[^A-Za-z0-9_\\s]', ' ', 'g'), "
@@ -476,7 +509,7 @@ def f23(spark, sf):
 def f24(spark, sf):
     text = T.page_text(c("html"))
     return (
-        table(spark, sf, "pages")
+        spread(table(spark, sf, "pages"), "page_id")
         .select("page_id", text.alias("text"), "html")
         .select("page_id", "text", F.round(T.extraction_quality(c("text"), c("html")), 6).alias("quality"))
     )

@@ -139,6 +139,12 @@ def word_bucket(word: Column) -> Column:
     return F.pmod(F.conv(swapped, 16, 10).cast("long"), F.lit(DIMENSIONS)).cast("int")
 
 
+def explode_once(values: Column) -> Column:
+    """Explode an expensive expression.  A plain explode also puts the expression into an inferred
+    not-empty filter and computes it again there; the outer form does not (empty rows carry a null)."""
+    return F.explode_outer(values)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
 
@@ -146,7 +152,8 @@ def words(text: Column) -> Column:
 def word_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """Sparse unit vectors, one row per (key, bucket).  Counts combine before the shuffle on the key."""
     counts = (
-        df.select(key, F.explode(words(F.col(text))).alias("word"))
+        df.select(key, explode_once(words(F.col(text))).alias("word"))
+        .filter("word is not null")
         .groupBy(key, "word")
         .agg(F.count("*").alias("n"))
         .select(key, word_bucket(F.col("word")).alias("bucket"), "n")
@@ -266,7 +273,7 @@ def entity_mentions(df: DataFrame, key: str, text: str, aliases: DataFrame, limi
         return F.when(F.size(t) > 0, F.flatten(per_start))
 
     found = (
-        df.select(key, F.explode(maps.let(tokens, runs)).alias("alias"))
+        df.select(key, explode_once(maps.let(tokens, runs)).alias("alias"))
         .join(aliases.select("alias", "canonical"), "alias")
         .groupBy(key, "canonical")
         .agg(F.count("*").alias("mentions"))
@@ -283,3 +290,42 @@ def entity_mentions(df: DataFrame, key: str, text: str, aliases: DataFrame, limi
 def static_aliases(spark) -> DataFrame:
     rows = sorted({(a.lower(), name) for name, names in K.ENTITY_ALIASES.items() for a in names})
     return spark.createDataFrame(rows, "alias string, canonical string")
+
+
+# --- the whole feature row --------------------------------------------------------------------
+
+def build_features(items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(article_id, event_type, topics, entities, funding_usd) from title and text.
+
+    The openings of 1,000 and 2,000 characters are part of the definition of topics and mentions.
+    """
+    c = F.col
+    opening = F.concat(c("title"), F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, 2000))
+    topic_text = F.when(
+        F.coalesce("text", F.lit("")) != "", F.concat(c("title"), F.lit("\n"), F.substring("text", 1, 1000))
+    ).otherwise(c("title"))
+    staged = with_anchor_similarity(items, topic_text, "_sims").select(
+        "article_id", opening.alias("_opening"), topic_distribution(c("_sims")).alias("_topics"),
+        event_type(c("title"), c("source_kind")).alias("_event"), T.funding_amount(opening).alias("funding_usd"),
+        release_assessment(c("title"), c("text"), c("final_url"), c("source_name")).alias("_release"),
+    )
+    found = entity_mentions(staged, "article_id", "_opening", aliases)
+    # At most five entities per item.
+    grouped = found.groupBy("article_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("entity", "weight"))).alias("_entities")
+    )
+    empty = F.expr("cast(map() as map<string,double>)")
+    release, owner = c("_release.is_release"), c("_release.source_entity")
+    merged = merge_source_entity(c("_found"), owner, F.lit(False))
+    return (
+        staged.join(grouped, "article_id", "left")
+        .withColumn("_found", F.coalesce("_entities", empty))
+        .withColumn("_merged", merged)
+        .select(
+            "article_id",
+            F.when(release, "MODEL_RELEASE").otherwise(c("_event")).alias("event_type"),
+            F.when(release, boost_release_topics(c("_topics"))).otherwise(c("_topics")).alias("topics"),
+            F.when(release, merge_source_entity(c("_merged"), owner, F.lit(True))).otherwise(c("_merged")).alias("entities"),
+            "funding_usd",
+        )
+    )

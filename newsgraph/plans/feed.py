@@ -190,7 +190,8 @@ def urgent_list(articles, clusters, reader, as_of, hours: int = 6) -> DataFrame:
     rows = fresh_rows(articles.filter("urgent"), as_of, hours, float("-inf"))
     rows = with_reader(with_context(hide_sample(rows, "source_name", SAMPLE_FEED), clusters, as_of, hours), reader)
     rows = rows.withColumn("user_score", personal(rows, "base_score")).filter(c("user_score") >= c("min_urgent_score"))
-    return R.top_rows(rows, [F.desc("base_score"), F.asc("article_id")], 10_000)
+    listed = rows.select("user_id", "article_id", "user_score", "base_score", (-c("base_score")).alias("order_score"))
+    return R.rank_all(cut_lineage(listed), [], ["order_score", "article_id"], "pos").drop("order_score")
 
 
 def today(articles, clusters, vectors, reader, as_of) -> DataFrame:

@@ -70,7 +70,7 @@ def items_of(payloads: DataFrame, kind: str) -> DataFrame:
     """One row per item of the landed payloads (payload_no, payload): order columns and the item struct."""
     parse = F.from_xml if kind in ("rss", "atom", "sitemap") else F.from_json
     parsed = payloads.withColumn("_doc", parse(F.col("payload"), SCHEMAS[kind]))
-    return parsed.select(*[c for c in payloads.columns if c != "payload"], F.posexplode(f"_doc.{_LIST[kind]}").alias("pos", "i"))
+    return parsed.select(*[c for c in payloads.columns if c != "payload"], F.posexplode_outer(f"_doc.{_LIST[kind]}").alias("pos", "i")).filter("pos is not null")
 
 
 def _time(text: Column) -> Column:

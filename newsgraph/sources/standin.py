@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsgraph import constants as K
 from newsgraph.functions import features as FT, maps
-from newsgraph.sources.tables import table
+from newsgraph.sources.tables import spread, table
 
 KINDS = ["rss", "arxiv", "hn", "reddit", "github", "sitemap", "nvd", "twitter", "bluesky", "rss"]
 EVENT_OF = {
@@ -115,6 +115,7 @@ def articles(spark: SparkSession, folder: str, text: bool = True) -> DataFrame:
     """Article with its raw item, source fields and grouping.  ``text=False`` leaves the long columns out."""
     i = F.col("doc_id")
     docs = table(spark, folder, "documents").select("doc_id", "source", *(["text"] if text else []))
+    docs = spread(docs, "doc_id") if text else docs
     # Every tenth event dates one article, so articles spread over the whole period.
     events = table(spark, folder, "events").filter(F.pmod("event_id", F.lit(10)) == 0).select(
         (F.col("event_id") / 10).cast("long").alias("doc_id"), "ts", "user_id", F.col("event_type").alias("raw_type"), "value"

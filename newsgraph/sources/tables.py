@@ -21,3 +21,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def as_of(spark: SparkSession, folder: str):
     """Reference time of the data: the latest event."""
     return table(spark, folder, "events").agg(F.max("ts").alias("t")).first()["t"]
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread over all cores by ``key`` when the table lies in fewer files than there are cores.
+
+    A file with one row group is one task, whatever its size, and work per row (regular expressions,
+    hashing, Python) would run on one core.  A table of many files is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
