@@ -6,7 +6,7 @@ import hashlib
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgraph import constants as K
 from newsgraph.functions import maps, text as T, urls as U
@@ -160,8 +160,9 @@ def word_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
         .groupBy(key, "bucket")
         .agg(F.sum("n").alias("n"))
     )
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    # A key has at most DIMENSIONS buckets, so its window is small.
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
 @lru_cache(maxsize=1)
