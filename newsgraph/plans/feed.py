@@ -94,7 +94,7 @@ def with_card(rows: DataFrame) -> DataFrame:
 
 
 CARD = [
-    "user_id", "article_id", "title", "final_url", "content_type", "event_time", "age_hours", "base_score", "editorial_rank",
+    "user_id", "article_id", "title", "final_url", "source_name", "content_type", "min_show_score", "event_time", "age_hours", "base_score", "editorial_rank",
     "user_score", "rank_score", "shown_score", "min_score", "category", "shown_source", "trust_label", "urgent", "serendipity",
 ]
 
@@ -141,25 +141,42 @@ def choose(
     return capped.select("user_id", key, "slot").unionByName(more)
 
 
+def _floor(content: str | None) -> float:
+    quiet = content is not None and content != "news"
+    return max(1, (10 if quiet else 15) - MAX_BOOST)
+
+
+def live_scores(articles: DataFrame, clusters: DataFrame, reader: Row, as_of: Column, hours: int, floor: float) -> DataFrame:
+    """All fresh rows scored once; every tab reads them."""
+    rows = with_reader(with_context(fresh_rows(articles, as_of, hours, floor), clusters, as_of, hours), reader)
+    return settled(with_card(scored(rows, "editorial_rank", 18.0)))
+
+
+def tab_of(rows: DataFrame, content: str | None) -> DataFrame:
+    """Rows of one tab with the tab's score floor and threshold."""
+    quiet = content is not None and content != "news"
+    kept = rows.filter(c("base_score") >= _floor(content))
+    kept = kept.filter(c("content_type") == content) if content else kept
+    kept = hide_sample(kept, "source_name", SAMPLE_FEED)
+    return kept.withColumn("min_score", F.least("min_show_score", F.lit(25.0)) if quiet else c("min_show_score"))
+
+
 def live_candidates(
     articles: DataFrame, clusters: DataFrame, reader: Row, as_of: Column, hours: int = 24, content: str | None = None
 ) -> DataFrame:
     """Scored rows that the live feed selects from."""
-    quiet = content is not None and content != "news"
-    rows = articles.filter(c("content_type") == content) if content else articles
-    rows = hide_sample(fresh_rows(rows, as_of, hours, max(1, (10 if quiet else 15) - MAX_BOOST)), "source_name", SAMPLE_FEED)
-    rows = with_reader(with_context(rows, clusters, as_of, hours), reader)
-    rows = with_card(scored(rows, "editorial_rank", 18.0))
-    rows = rows.withColumn("min_score", F.least("min_show_score", F.lit(25.0)) if quiet else c("min_show_score"))
-    return settled(rows)
+    return tab_of(live_scores(articles, clusters, reader, as_of, hours, _floor(content)), content)
 
 
-def live_feed(articles, clusters, vectors, reader, as_of, limit: int = 30, hours: int = 24, content: str | None = None) -> DataFrame:
-    rows = live_candidates(articles, clusters, reader, as_of, hours, content)
+def _picked(rows: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     picks = choose(rows, vectors, limit, 4, c("min_score"), "shown_score")
     return rows.join(F.broadcast(picks), ["user_id", "article_id"])
 
 
+def live_feed(articles, clusters, vectors, reader, as_of, limit: int = 30, hours: int = 24, content: str | None = None) -> DataFrame:
+    return _picked(live_candidates(articles, clusters, reader, as_of, hours, content), vectors, limit)
+
+
 def weekly_candidates(articles, clusters, reader, as_of, base: str = "editorial_rank") -> DataFrame:
     """Top articles of the clusters seen in the last week, the 200 best scored."""
     cutoff = as_of - F.expr("INTERVAL 7 DAYS")
@@ -198,14 +215,15 @@ def today(articles, clusters, vectors, reader, as_of) -> DataFrame:
     """Today's digest items: the mixed feed spread over categories, then each tab's own items."""
     priority = maps.lookup({n: i for i, n in enumerate(K.CATEGORY_PRIORITY)}, c("category"), len(K.CATEGORY_PRIORITY))
     keep = ["user_id", "article_id", "category", "content_type", "shown_score", "urgent", "slot"]
-    mixed = live_feed(articles, clusters, vectors, reader, as_of, 30).select(*keep)
+    rows = live_scores(articles, clusters, reader, as_of, 24, _floor("github"))
+    mixed = _picked(tab_of(rows, None), vectors, 30).select(*keep)
     mixed = mixed.withColumn("pos", F.struct((-c("shown_score")).alias("a"), c("slot").alias("b"))).drop("slot")
     lists = [
         R.interleave(mixed, ["user_id"], "category", priority, [F.desc("shown_score"), F.asc("pos")], "pos", 12)
         .withColumn("pos", c("slot")).drop("slot")
     ]
     for content in ("news", "research", "github"):
-        tab = live_feed(articles, clusters, vectors, reader, as_of, 10, content=content).select(*keep)
+        tab = _picked(tab_of(rows, content), vectors, 10).select(*keep)
         lists.append(tab.withColumn("pos", c("slot")).drop("slot"))
     lists = [df.withColumn("pos", c("pos").cast("int")) for df in lists]
     merged = R.union_first_wins(lists, ["user_id"], "article_id", "pos")
