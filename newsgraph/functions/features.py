@@ -180,7 +180,11 @@ def _anchor_rows() -> tuple:
 
 
 def with_anchor_similarity(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Add ``name``: similarity of ``text`` to every anchor phrase, per topic the best, as an array.
+    return df.withColumn(name, anchor_similarity(text))
+
+
+def anchor_similarity(text: Column) -> Column:
+    """Similarity of ``text`` to every anchor phrase, per topic the best, as an array.
 
     The text is short (a title, or a title with an opening), so everything stays inside the row:
     hash the words once, then read each anchor's buckets off the sorted list.
@@ -212,7 +216,7 @@ def with_anchor_similarity(df: DataFrame, text: Column, name: str) -> DataFrame:
         return F.array(*best)
 
     empty = F.array(*[F.lit(0.0)] * len(K.TOPICS))
-    sims = maps.let(
+    return maps.let(
         F.array_sort(F.transform(words(text), word_bucket)),
         lambda buckets: maps.let(
             F.filter(buckets, lambda b: b.isin(anchor_buckets)),
@@ -221,7 +225,6 @@ def with_anchor_similarity(df: DataFrame, text: Column, name: str) -> DataFrame:
             ),
         ),
     )
-    return df.withColumn(name, sims)
 
 
 def topic_distribution(similarity: Column, temperature: float = 0.07) -> Column:

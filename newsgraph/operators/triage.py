@@ -4,19 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsgraph.functions import features as FT, scoring as S
+from newsgraph.functions import features as FT, maps, scoring as S
 from newsgraph.operators.ranking import top_per_group
 
 
 def with_triage(items: DataFrame) -> DataFrame:
-    """Add relevance, pre_score, decision and reason.  Row-local: no shuffle."""
+    """Add relevance, pre_score, decision and reason.  Row-local: no shuffle.
+
+    The columns come out of a one-element explode: a later filter on the decision then stays above it
+    and the similarity is computed once per row.
+    """
     c = F.col
-    staged = FT.with_anchor_similarity(items, c("title"), "_sims").withColumn("relevance", FT.relevance(c("_sims")))
     social = S.social_score(c("hn_points"), c("reddit_upvotes"), c("github_stars"))
-    pre = S.pre_score(c("authority"), c("relevance"), S.keyword_score(c("title")), social)
-    staged = staged.withColumn("pre_score", F.round(pre, 6))
-    choice = S.scrape_decision(c("always_scrape"), c("relevance"), c("title"), c("pre_score"), c("authority"))
-    return staged.withColumn("_d", choice).select(*items.columns, "relevance", "pre_score", "_d.decision", "_d.reason")
+
+    def judge(relevance: Column, pre: Column) -> Column:
+        choice = S.scrape_decision(c("always_scrape"), relevance, c("title"), pre, c("authority"))
+        return maps.let(
+            choice,
+            lambda d: F.struct(
+                relevance.alias("relevance"), pre.alias("pre_score"), d["decision"].alias("decision"), d["reason"].alias("reason")
+            ),
+        )
+
+    judged = maps.let(
+        FT.relevance(FT.anchor_similarity(c("title"))),
+        lambda relevance: maps.let(
+            F.round(S.pre_score(c("authority"), relevance, S.keyword_score(c("title")), social), 6),
+            lambda pre: judge(relevance, pre),
+        ),
+    )
+    staged = items.withColumn("_t", F.explode_outer(F.array(judged)))
+    return staged.select(*items.columns, "_t.relevance", "_t.pre_score", "_t.decision", "_t.reason")
 
 
 def _order() -> list[Column]:
