@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def literal_map(values: dict) -> Column:
@@ -48,3 +48,9 @@ def round_half_even(value: Column, places: int) -> Column:
     """Half-even rounding of the scaled double, as the check statements do."""
     scale = 10.0**places
     return F.rint(value * scale) / scale
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column as a one-element explode: filters and later columns that use it then read the
+    value instead of getting a copy of the expression."""
+    return df.withColumn(name, F.explode_outer(F.array(value)))

@@ -33,7 +33,7 @@ def with_triage(items: DataFrame) -> DataFrame:
             lambda pre: judge(relevance, pre),
         ),
     )
-    staged = items.withColumn("_t", F.explode_outer(F.array(judged)))
+    staged = maps.once(items, "_t", judged)
     return staged.select(*items.columns, "_t.relevance", "_t.pre_score", "_t.decision", "_t.reason")
 
 

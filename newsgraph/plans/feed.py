@@ -81,7 +81,7 @@ def personal(rows: DataFrame, base: str) -> Column:
 def scored(rows: DataFrame, base: str, half_life: float) -> DataFrame:
     """Personal score, decayed rank and the displayed integer score."""
     return (
-        rows.withColumn("user_score", personal(rows, base))
+        maps.once(rows, "user_score", personal(rows, base))
         .withColumn("rank_score", F.round(S.feed_rank(c("user_score"), c("age_hours"), c("recency_bias"), half_life), 6))
         .withColumn("shown_score", S.clamp(F.rint("user_score"), 0.0, 100.0).cast("int"))
     )
@@ -206,7 +206,7 @@ def urgent_list(articles, clusters, reader, as_of, hours: int = 6) -> DataFrame:
     """Fresh urgent rows at or over the reader's urgent threshold, best final score first."""
     rows = fresh_rows(articles.filter("urgent"), as_of, hours, float("-inf"))
     rows = with_reader(with_context(hide_sample(rows, "source_name", SAMPLE_FEED), clusters, as_of, hours), reader)
-    rows = rows.withColumn("user_score", personal(rows, "base_score")).filter(c("user_score") >= c("min_urgent_score"))
+    rows = maps.once(rows, "user_score", personal(rows, "base_score")).filter(c("user_score") >= c("min_urgent_score"))
     listed = rows.select("user_id", "article_id", "user_score", "base_score", (-c("base_score")).alias("order_score"))
     return R.rank_all(cut_lineage(listed), [], ["order_score", "article_id"], "pos").drop("order_score")
 
@@ -260,7 +260,7 @@ def offers(pool: DataFrame, readers: DataFrame) -> DataFrame:
         raise ValueError("pool exceeds its bound")
     fanned = readers.withColumn("article_id", F.explode(F.array(*[F.lit(i) for i in ids]).cast("array<long>")))
     rows = fanned.join(F.broadcast(pool), "article_id")
-    rows = rows.withColumn("user_score", personal(rows, "base_score")).filter(c("user_score") >= c("min_show_score"))
+    rows = maps.once(rows, "user_score", personal(rows, "base_score")).filter(c("user_score") >= c("min_show_score"))
     bias = F.greatest("recency_bias", F.lit(0.01))
     rank = S.decayed_rank(c("user_score") / bias, c("event_type"), c("age_hours"), c("content_type"))
     return rows.withColumn("rank_score", rank)
