@@ -282,7 +282,6 @@ def s16(spark, sf):
 
 # --- sinks ------------------------------------------------------------------------------------
 
-_DIGESTS = "SELECT o_custkey AS user_id, o_orderpriority AS content_type, count(*) AS items, max(o_orderkey) AS top_id FROM orders WHERE o_custkey % 50 = 0 GROUP BY ALL"
 
 
 def digest_rows(spark, sf):
