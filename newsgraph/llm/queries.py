@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, pieces, sharding, simhash
+from . import ann, decontaminate, lm, pieces, sharding, simhash
 from .common import read
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -88,5 +88,16 @@ def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.coalesce(F.array_max("ends"), F.lit(0)).cast("bigint").alias("n_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_decontamination, op7_pieces)}
+def op9_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document, learned from those whose remainder modulo 7 is not 2."""
+    found = lm.score_documents(read(spark, folder, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_decontamination, op7_pieces, op9_lm, op10_ann)}
 ORACLE = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL}
