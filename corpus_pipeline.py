@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgraph.llm import decontaminate, pieces, queries, simhash
+from newsgraph.llm import decontaminate, language, pieces, queries, simhash, toxicity
 from newsgraph.llm.common import read
 from newsgraph.session import shared_folder
 
 
+#: A document in which no language holds this share is no running text of one.
+LANGUAGE_SHARE = 0.5
+
+
+def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents of a toxicity score below the threshold."""
+    names = docs.columns
+    model = toxicity.learn(docs, read(spark, folder, "labels"), toxicity.trainable())
+    # the model's columns replace columns of these names, which therefore wait under others
+    rows = docs.withColumnsRenamed({c: f"__doc_{c}" for c in names})
+    kept = toxicity.score(rows, model, rows.columns, "__doc_text").filter(F.col("score") < toxicity.THRESHOLD)
+    return kept.select(*(F.col(f"__doc_{c}").alias(c) for c in names))
+
+
+def languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents with a language: texts without a letter go, and those that no language holds half of."""
+    names = docs.columns
+    field = language.learn(docs, language.trainable())
+    rows = docs.withColumnsRenamed({c: f"__doc_{c}" for c in names})
+    kept = language.predict(rows, field, rows.columns, "__doc_text").filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
+    return kept.select(*(F.col(f"__doc_{c}").alias(c) for c in names))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies."""
     return simhash.deduplicate(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a benchmark passage."""
     return decontaminate.decontaminate(docs, read(spark, folder, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Ids and source spans of the pieces of each document."""
     return pieces.encode(docs, queries.model_path(), ["doc_id", "lang", "source"])
 
 
-STAGES = [("near_copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]
+STAGES = [("toxicity", toxic), ("language", languages), ("near_copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]
 ORACLE_SQL = None
 
 

@@ -80,10 +80,10 @@ def join_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join to a side with one row a key, where any key of ``left`` may hold most of its rows.
 
     Keys over a thousandth of the rows (fewer than 1,000 by that count) meet a broadcast of their rows; the others are
-    shuffled.  ``left`` is read three times: give a materialised one.  Rows with a null key stay, unmatched.
+    shuffled.  ``left`` is read several times: give a materialised one.  Rows with a null key stay, unmatched.
     """
-    total = left.agg(F.count("*").alias("__all"))
-    hot = left.groupBy(key).agg(F.count("*").alias("__n")).join(F.broadcast(total), F.col("__n") * HOT_SHARE > F.col("__all")).select(key).dropna()
+    most = left.count() / HOT_SHARE
+    hot = left.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).select(key).dropna()
     hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
     rows = left.join(hot, key, "left")
     few = right.join(hot, key, "left_semi")

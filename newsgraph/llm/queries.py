@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, lm, pieces, sharding, simhash
-from .common import read
+from . import ann, decontaminate, html, language, licenses, lm, pieces, sharding, simhash, toxicity
+from .common import held_out, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -74,6 +74,38 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows whose remainder modulo 4 is not 2."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, read(spark, folder, "labels"), toxicity.trainable())
+    found = toxicity.score(docs, model, ["doc_id"])
+    return found.select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and detections of every document."""
+    found = licenses.scan(read(spark, folder, "documents"), ["doc_id"])
+    words = F.col("places.word")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("places.label")), ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from rows whose remainder modulo 3 is not 1."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    field = language.learn(docs, language.trainable())
+    return language.predict(docs, field, ["doc_id"]).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract(read(spark, folder, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -99,5 +131,6 @@ def op10_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_decontamination, op7_pieces, op9_lm, op10_ann)}
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_simhash, op3_decontamination, op4_toxicity, op5_licenses, op6_language, op7_pieces, op8_html, op9_lm, op10_ann)}
 ORACLE = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL}
