@@ -13,7 +13,9 @@ from .license_rules import RULES
 
 #: Phrases looked for as consecutive words, whatever stands between the words.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-_GAP = r"(?:[\s,;:()\[\]-]|the\b|version\b|v\.)*"
+#: Rules of this priority or less are hints.
+HINT = 20
+_GAP = r"(?:[\s,;:()\[\]-]|the\b|version\b|v\.?(?=\s?\d))*"
 
 
 class Rule:
@@ -45,7 +47,7 @@ class Scanner:
         """Start, end and rule of what is left of all matches in a lower-case text, in text order.
 
         A match goes if another one contains it and is of higher priority, or of the same and longer, or of equal place
-        and listed earlier.  Matches that overlap only in part both stay.
+        and listed earlier.  Matches that overlap only in part both stay, but a hint goes if any better match overlaps it.
         """
         active: set[int] = set()
         for _, numbers in self.keywords.iter(text):
@@ -63,7 +65,8 @@ class Scanner:
         # a longer match of lower priority gives way to one inside it that says more
         out = []
         for start, end, rule in kept:
-            inner = any(s >= start and e <= end and r.priority > rule.priority for s, e, r in kept if (s, e) != (start, end) or r is not rule)
+            reach = (lambda s, e: s < end and e > start) if rule.priority <= HINT else (lambda s, e: s >= start and e <= end)
+            inner = any(r.priority > rule.priority and reach(s, e) for s, e, r in kept)
             if not inner:
                 out.append((start, end, rule))
         return out
