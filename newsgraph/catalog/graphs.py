@@ -171,7 +171,7 @@ def graph_nodes(spark, sf):
 
 _GA = f"""garticles AS (SELECT * REPLACE (CASE WHEN cluster_id IS NOT NULL THEN CAST(CAST(floor((epoch_us(created_at) / 1e6 - {_WEEK_START}) / 604800) AS BIGINT) AS VARCHAR) || '-' || (cluster_id % 60) END AS cluster_id) FROM articles)"""
 _GC = CLUSTER.replace("FROM articles", "FROM garticles")
-_NODE_CENT = f"""ncent AS (SELECT cluster_id, [{_MEANS}] AS v FROM members m JOIN embeddings e ON e.vec_id = m.article_id % 500 GROUP BY 1),
+_NODE_CENT = f"""ncent AS (SELECT cluster_id, [{_MEANS}] AS v FROM members m JOIN embeddings e ON e.vec_id = m.article_id % (SELECT count(*) FROM embeddings) GROUP BY 1),
 nunit AS (SELECT cluster_id, v, sqrt({sql_dot('v', 'v')}) AS len FROM ncent)"""
 _NODES = f"""lead AS (SELECT *, split_part(cluster_id, '-', 1) AS graph_id, coalesce({B.hours('first_seen', 'last_seen')}, 0.0) AS age_hours,
   coverage / greatest(coalesce({B.hours('first_seen', 'last_seen')}, 0.0), 0.1) AS velocity FROM cstats

@@ -188,7 +188,7 @@ def s08(spark, sf):
         F.lit('<article class="Box-row"><h2><a class="x" href="/org'), i.cast("string"), F.lit('/tool">t</a></h2><p> '), text,
         F.lit(' </p><a class="stargazers"> '), stars, F.lit("</a></article>"),
     )
-    pages = table(spark, sf, "pages").select("page_id", F.concat(F.substring("html", 1, 200), block).alias("html"))
+    pages = table(spark, sf, "pages").select("page_id", F.concat("html", block).alias("html"))
     return L.trending_candidates(pages, "html", now_of(spark, sf)).select("page_id", "external_id", "title", "github_stars")
 
 
@@ -511,7 +511,7 @@ def e08(spark, sf):
     n = F.substring("path", 4, 9).cast("int")
     log = request_log(spark, sf)
     budgets = log.select("path").distinct().select("path", (20 + n * 5).alias("max_ms"), (2000 + n * 400).alias("max_bytes"), (10 + n).alias("requests_per_day"))
-    return LG.budget_report(LG.request_rollup(log, 1000), budgets)
+    return LG.budget_report(LG.request_rollup(log, None), budgets)
 
 
 @query(

@@ -353,7 +353,7 @@ def sql_mentions(source: str, key: str, text: str) -> list[str]:
         _ALIAS,
         f"""toks AS (SELECT {key} AS id, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}#&]+') AS t FROM {source}),
 runs AS (SELECT id, array_to_string(list_slice(t, pos, pos + size - 1), ' ') AS alias FROM
-  (SELECT id, t, size, unnest(list_filter(range(1, len(t) - size + 2), lambda x: list_contains({_FIRST}, t[x]))) AS pos FROM toks, (SELECT unnest([1, 2, 3, 4, 5]) AS size))),
+  (SELECT id, t, size, unnest(list_filter(range(1, len(t) - size + 2), lambda x: list_contains({_FIRST}, t[x]))) AS pos FROM toks, (SELECT DISTINCT len(string_split(alias, ' ')) AS size FROM aliases))),
 counts AS (SELECT id, canonical, count(*) AS mentions FROM runs JOIN aliases USING (alias) GROUP BY ALL),
 kept AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY id ORDER BY mentions DESC, canonical) <= 5),
 found AS (SELECT id, canonical AS entity, mentions / sum(mentions) OVER (PARTITION BY id) AS weight FROM kept)""",
@@ -535,7 +535,7 @@ _F26_HTML = (
 
 @query(
     "f26_publication_date",
-    f"""WITH base AS (SELECT page_id, ts, {_F26_HTML} AS html FROM pages JOIN events ON event_id = page_id * 40),
+    f"""WITH base AS (SELECT page_id, ts, {_F26_HTML} AS html FROM pages JOIN (SELECT event_id // 40 AS page_id, max(ts) AS ts FROM events GROUP BY 1) e USING (page_id)),
 found AS (SELECT page_id, ts, try_cast(coalesce(
   nullif(regexp_extract(html, '(?is)<meta[^>]+(?:article:published_time|datePublished|pubdate|date)["''][^>]*content=["'']([0-9-]{{10}})', 1), ''),
   nullif(regexp_extract(html, '(?is)<time[^>]+datetime=["'']([0-9-]{{10}})', 1), '')) AS TIMESTAMP) AS page_time FROM base),
@@ -561,7 +561,7 @@ def f26(spark, sf):
     )
     rows = (
         table(spark, sf, "pages")
-        .join(table(spark, sf, "events").filter(F.pmod("event_id", F.lit(40)) == 0).select((c("event_id") / 40).cast("long").alias("page_id"), "ts"), "page_id")
+        .join(table(spark, sf, "events").groupBy(F.floor(c("event_id") / 40).cast("long").alias("page_id")).agg(F.max("ts").alias("ts")), "page_id")
         .withColumn("html", F.concat(lead, c("html")))
     )
     from newsgraph.sources.landing import correct_sitemap_dates

@@ -207,20 +207,20 @@ def d02(spark, sf):
 
 @query(
     "d03_fold_counters",
-    """WITH m AS (SELECT event_id % 500 AS item_id, max(CAST(round(value) AS INTEGER)) FILTER (event_type = 'click') AS hn,
-  max(CAST(round(value) AS INTEGER)) FILTER (event_type = 'view') AS rd FROM events WHERE event_id >= 500 GROUP BY 1),
-i AS (SELECT event_id AS item_id, CAST(round(value) AS INTEGER) AS hn, CAST(NULL AS INTEGER) AS rd FROM events WHERE event_id < 500)
+    """WITH m AS (SELECT event_id // 8 AS item_id, max(CAST(round(value) AS INTEGER)) FILTER (event_type = 'click') AS hn,
+  max(CAST(round(value) AS INTEGER)) FILTER (event_type = 'view') AS rd FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),
+i AS (SELECT event_id // 8 AS item_id, min(CAST(round(value) AS INTEGER)) AS hn, CAST(NULL AS INTEGER) AS rd FROM events GROUP BY 1)
 SELECT item_id, CASE WHEN coalesce(m.hn, 0) > coalesce(i.hn, 0) THEN m.hn ELSE i.hn END AS hn_points,
   CASE WHEN coalesce(m.rd, 0) > coalesce(i.rd, 0) THEN m.rd ELSE i.rd END AS reddit_upvotes FROM i LEFT JOIN m USING (item_id)""",
 )
 def d03(spark, sf):
     events = table(spark, sf, "events")
     points = F.round("value").cast("int")
-    items = events.filter("event_id < 500").select(
-        c("event_id").alias("item_id"), points.alias("hn_points"), F.lit(None).cast("int").alias("reddit_upvotes")
-    )
-    mentions = events.filter("event_id >= 500").select(
-        mod("event_id", 500).alias("item_id"),
+    # Eight events make an item: the least of their points is its own count, clicks and views are its mentions.
+    item = F.floor(c("event_id") / 8).cast("long").alias("item_id")
+    items = events.groupBy(item).agg(F.min(points).alias("hn_points")).withColumn("reddit_upvotes", F.lit(None).cast("int"))
+    mentions = events.filter(c("event_type").isin("click", "view")).select(
+        item,
         F.when(c("event_type") == "click", points).alias("hn_points"),
         F.when(c("event_type") == "view", points).alias("reddit_upvotes"),
     )

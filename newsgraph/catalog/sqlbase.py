@@ -80,9 +80,9 @@ articles AS (
     CASE WHEN d.doc_id % 17 <> 0 THEN e.ts END AS published_at,
     e.ts + to_minutes(d.doc_id % 180) AS fetched_at,
     e.ts + to_minutes(d.doc_id % 180 + 10) AS created_at,
-    CASE WHEN {_KIND} = 'hn' THEN CAST(round(e.value * 10) AS INTEGER) END AS hn_points,
-    CASE WHEN {_KIND} = 'reddit' THEN CAST(round(e.value * 10) AS INTEGER) END AS reddit_upvotes,
-    CASE WHEN {_KIND} = 'github' THEN CAST(round(e.value * 10) AS INTEGER) END AS github_stars,
+    CASE WHEN {_KIND} = 'hn' THEN e.points END AS hn_points,
+    CASE WHEN {_KIND} = 'reddit' THEN e.points END AS reddit_upvotes,
+    CASE WHEN {_KIND} = 'github' THEN e.points END AS github_stars,
     ((d.doc_id * 7919) % 10000) / 100.0::DOUBLE AS global_score,
     CASE WHEN d.doc_id % 4 <> 0 THEN ((d.doc_id * 104729) % 10000) / 100.0::DOUBLE END AS final_score,
     ((d.doc_id * 31) % 1000) / 10.0::DOUBLE AS trust_score,
@@ -90,7 +90,8 @@ articles AS (
     CASE WHEN d.doc_id % 19 <> 0 THEN e.user_id END AS cluster_id,
     {pick(D.LEADS, 'd.doc_id')} || ' ' || split_part(d.text, chr(10), 1) AS title,
     {pick(D.OPENINGS, 'd.doc_id')} || ' ' || d.text AS text
-  FROM documents d JOIN events e ON e.event_id = d.doc_id * 10 LEFT JOIN pages p ON p.page_id = d.doc_id
+  FROM documents d JOIN (SELECT event_id // 10 AS doc_id, min(ts) AS ts, arg_min(user_id, event_id) AS user_id, arg_max(event_type, event_id) AS event_type,
+    CAST(sum(CAST(round(value * 10) AS BIGINT)) AS INTEGER) AS points FROM events GROUP BY 1) e ON e.doc_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id
 )"""
 
 TOPIC_ROWS = f"""

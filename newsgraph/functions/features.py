@@ -12,7 +12,6 @@ from newsgraph import constants as K
 from newsgraph.functions import maps, text as T, urls as U
 
 DIMENSIONS = 384
-MAX_FIRST_WORDS = 20_000
 
 
 # --- event and content type -------------------------------------------------------------------
@@ -256,29 +255,20 @@ def relevance(similarity: Column) -> Column:
 def entity_mentions(df: DataFrame, key: str, text: str, aliases: DataFrame, limit: int = 5) -> DataFrame:
     """Top entities per row by number of mentions, weight = share among the kept ones.
 
-    ``aliases`` has ``alias`` (lower case words) and ``canonical``.  The words of a text are cut into
-    runs of one to five and met with the aliases in an equi-join.
+    ``aliases`` has ``alias`` (lower case words, of any number) and ``canonical``.  A word meets the aliases that it
+    opens in an equi-join, once for each of their lengths, and the run of that many words is compared with the alias.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}#&]+)"), 1)
-    first = [r[0] for r in aliases.select(F.substring_index("alias", " ", 1)).distinct().limit(MAX_FIRST_WORDS + 1).collect()]
-
-    def runs(t: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(t))
-        if len(first) <= MAX_FIRST_WORDS:
-            # Only a word that opens some alias can start a mention.
-            starts = F.filter(starts, lambda at: F.element_at(t, at).isin(first))
-        per_start = F.transform(
-            starts,
-            lambda at: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(5), F.size(t) - at + 1)),
-                lambda size: F.array_join(F.slice(t, at, size), " "),
-            ),
-        )
-        return F.when(F.size(t) > 0, F.flatten(per_start))
-
+    opened = aliases.select("alias", "canonical", F.split("alias", " ").alias("_words"))
+    opened = opened.select("canonical", "_words", F.element_at("_words", 1).alias("_first"), F.size("_words").alias("_size"))
+    longest = opened.agg(F.max("_size").alias("_most"))
+    # the run that starts at each word, as long as the longest alias
+    staged = df.select(key, tokens.alias("_t")).crossJoin(F.broadcast(longest))
+    runs = staged.select(key, explode_once(F.when(F.size("_t") > 0, F.transform("_t", lambda _w, at: F.slice(F.col("_t"), at + 1, F.col("_most"))))).alias("_run"))
     found = (
-        df.select(key, explode_once(maps.let(tokens, runs)).alias("alias"))
-        .join(aliases.select("alias", "canonical"), "alias")
+        runs.withColumn("_first", F.element_at("_run", 1))
+        .join(opened, "_first")
+        .filter(F.slice("_run", 1, F.col("_size")) == F.col("_words"))
         .groupBy(key, "canonical")
         .agg(F.count("*").alias("mentions"))
     )

@@ -81,8 +81,8 @@ def prepare(nodes: DataFrame) -> DataFrame:
 
 
 def pair_scores(nodes: DataFrame) -> DataFrame:
-    """Scores of the pairs of nodes of one graph (at most MAX_NODES nodes each)."""
-    ready = prepare(top_per_group(nodes, ["graph_id"], [F.desc("max_score"), F.asc("cluster_id")], MAX_NODES))
+    """Scores of all pairs of nodes of one graph.  How many nodes a graph has is for the caller to bound."""
+    ready = prepare(nodes)
     left, right = ready.alias("l"), ready.alias("r")
     pairs = left.join(right, (c("l.graph_id") == c("r.graph_id")) & (c("l.id") < c("r.id")))
     shared_keys = F.array_intersect(F.map_keys("l.ent"), F.map_keys("r.ent"))
@@ -261,9 +261,9 @@ def visible_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         nodes.filter(c("importance") >= 0.72).withColumn("node", c("cluster_id").cast("string")), ["graph_id"],
         [F.desc("importance"), F.desc("coverage_count"), F.asc("node")], 2, "_lead",
     ).select("graph_id", "node", "_lead")
-    # At most MAX_EDGES rows per graph, used three times below.
+    # Used three times below; as many edges as the caller gives.
     ranked = cut_lineage(
-        top_per_group(edges.select(*EDGE, "edge_type", "score"), ["graph_id"], _client_order(), MAX_EDGES, "_rank")
+        edges.select(*EDGE, "edge_type", "score").withColumn("_rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(*_client_order())))
     )
     touching = ranked.join(
         F.broadcast(leaders), (ranked["graph_id"] == leaders["graph_id"]) & ((c("source") == c("node")) | (c("target") == c("node")))

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from newsgraph.functions import cards as CD, maps
 
 
-def request_rollup(log: DataFrame, limit: int = 20) -> DataFrame:
-    """Totals per path; the largest paths by bytes."""
+def request_rollup(log: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Totals per path; the largest paths by bytes, or all paths for ``limit=None``."""
     total = F.col("response_bytes") + F.col("dependency_bytes")
     grouped = log.groupBy(F.coalesce("path", F.lit("unknown")).alias("path")).agg(
         F.count("*").alias("requests"),
@@ -19,13 +19,12 @@ def request_rollup(log: DataFrame, limit: int = 20) -> DataFrame:
         F.sum("cache_sets").alias("cache_sets"),
         F.sum("duration_ms").alias("_ms"),
     )
-    return (
+    rolled = (
         grouped.withColumn("avg_response_bytes", maps.round_half_even(F.col("response_bytes") / F.col("requests"), 2))
         .withColumn("avg_duration_ms", maps.round_half_even(F.col("_ms") / F.col("requests"), 2))
         .drop("_ms")
-        .orderBy(total.desc(), F.desc("requests"), "path")
-        .limit(limit)
     )
+    return rolled if limit is None else rolled.orderBy(total.desc(), F.desc("requests"), "path").limit(limit)
 
 
 def dependency_targets(log: DataFrame, limit: int = 20) -> DataFrame:
@@ -99,7 +98,7 @@ def budget_score(actual, budget):
 def budget_report(rollup: DataFrame, budgets: DataFrame, baseline_gb_per_day: float = 10.0) -> DataFrame:
     """Score per endpoint, and the transfer per day and month against the earlier volume."""
     c = F.col
-    rows = rollup.join(F.broadcast(budgets), "path")
+    rows = rollup.join(budgets, "path")
     daily = c("avg_response_bytes") * c("requests_per_day")
     per = rows.select(
         "path",

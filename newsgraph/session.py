@@ -18,6 +18,7 @@ def spark_session(app: str = "newsgraph", cores: str = "*", shuffle_partitions:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    spark.conf.set("newsgraph.spread", str(shuffle_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

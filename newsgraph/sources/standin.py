@@ -111,19 +111,34 @@ def entities_of(doc_id: Column) -> Column:
     return F.when(F.pmod(doc_id, F.lit(13)) == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))).otherwise(full)
 
 
-def articles(spark: SparkSession, folder: str, text: bool = True) -> DataFrame:
-    """Article with its raw item, source fields and grouping.  ``text=False`` leaves the long columns out."""
-    i = F.col("doc_id")
-    docs = table(spark, folder, "documents").select("doc_id", "source", *(["text"] if text else []))
-    docs = spread(docs, "doc_id") if text else docs
-    # Every tenth event dates one article, so articles spread over the whole period.
-    events = table(spark, folder, "events").filter(F.pmod("event_id", F.lit(10)) == 0).select(
-        (F.col("event_id") / 10).cast("long").alias("doc_id"), "ts", "user_id", F.col("event_type").alias("raw_type"), "value"
+def article_events(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per article from all its events (ten event ids an article).
+
+    The earliest time, the reader group of the first event, the type of the last, and the sum of the points.
+    """
+    events = table(spark, folder, "events").withColumn("doc_id", F.floor(F.col("event_id") / 10).cast("long"))
+    return events.groupBy("doc_id").agg(
+        F.min("ts").alias("ts"), F.min_by("user_id", "event_id").alias("user_id"), F.max_by("event_type", "event_id").alias("raw_type"),
+        F.sum(F.round(F.col("value") * 10).cast("long")).cast("int").alias("points"),
     )
+
+
+def articles(spark: SparkSession, folder: str, text: bool | str = True) -> DataFrame:
+    """Article with its raw item, source fields and grouping.
+
+    ``text=False`` leaves title and text out; ``text="title"`` adds the title only, so that no exchange carries a text.
+    """
+    i = F.col("doc_id")
+    docs = table(spark, folder, "documents")
+    title, body = title_text(i, F.col("text"))
+    long = {False: [], "title": [title.alias("title")], True: [title.alias("title"), body.alias("text")]}[text]
+    docs = docs.select("doc_id", "source", *long)
+    docs = spread(docs, "doc_id") if text is True else docs
+    events = article_events(spark, folder)
     pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "url")
     n = source_number(F.col("source"))
     kind = pick(KINDS, n)
-    points = F.round(F.col("value") * 10).cast("int")
+    points = F.col("points")
     minutes = F.pmod(i, F.lit(180))
     fetched = F.timestamp_micros(F.unix_micros("ts") + minutes * 60_000_000)
     built_url = F.concat(F.lit("https://"), pick(HOSTS, i), pick(PATHS, i), i.cast("string"))
@@ -152,10 +167,7 @@ def articles(spark: SparkSession, folder: str, text: bool = True) -> DataFrame:
         pick(["official", "confirmed", "likely", "developing", "unverified", "disputed"], i).alias("trust_label"),
         F.when(F.pmod(i, F.lit(19)) != 0, F.col("user_id")).alias("cluster_id"),
     ]
-    if text:
-        title, body = title_text(i, F.col("text"))
-        columns += [title.alias("title"), body.alias("text")]
-    return joined.select(*columns)
+    return joined.select(*columns, *{False: [], "title": ["title"], True: ["title", "text"]}[text])
 
 
 def vectors(spark: SparkSession, folder: str, dim: int = 64) -> DataFrame:
@@ -166,10 +178,13 @@ def vectors(spark: SparkSession, folder: str, dim: int = 64) -> DataFrame:
 
 
 def article_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """A vector for every article; articles share the given vectors, so there are copies."""
+    """A vector for every article: the given ones in turn, so that articles beyond their number share them."""
     ids = table(spark, folder, "documents").select(F.col("doc_id").alias("article_id"))
-    given = vectors(spark, folder).filter("article_id < 500").select(F.col("article_id").alias("_v"), "embedding")
-    return ids.join(given, F.pmod("article_id", F.lit(500)) == F.col("_v")).select("article_id", "embedding")
+    given = vectors(spark, folder).select(F.col("article_id").alias("_v"), "embedding")
+    # one row, joined in: the number of vectors is not asked for while the plan is built
+    number = table(spark, folder, "embeddings").agg(F.count("*").alias("_n"))
+    turn = ids.crossJoin(F.broadcast(number)).select("article_id", F.pmod("article_id", F.col("_n")).alias("_v"))
+    return turn.join(given, "_v").select("article_id", "embedding")
 
 
 def readers(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,10 +24,10 @@ def as_of(spark: SparkSession, folder: str):
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows spread over all cores by ``key`` when the table lies in fewer files than there are cores.
+    """Rows dealt by ``key`` to as many tasks as ``newsgraph.spread`` says; without that setting as they were read.
 
-    A file with one row group is one task, whatever its size, and work per row (regular expressions,
-    hashing, Python) would run on one core.  A table of many files is returned as it is: no shuffle.
+    A file of one row group is one task, whatever its size, so work per row on a few such files would run on few cores.
+    Whoever reads such files sets the number; a table of many files needs no exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    tasks = int(df.sparkSession.conf.get("newsgraph.spread", "0"))
+    return df.repartition(tasks, key) if tasks > 1 else df
