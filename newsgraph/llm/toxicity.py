@@ -25,6 +25,7 @@ REMEMBERED = 400_000
 
 _BREAKS = b".!?\n\r"
 _TABLE = bytes(1 if b in _BREAKS else WORD_BYTES[b] for b in range(256))
+_MARKS = {b"\0", b"\1"}
 _SENTENCE = re.compile(rb"[^.!?\n\r]+")
 
 
@@ -73,47 +74,41 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, rounds: in
     """
     if len(set(labels.tolist())) < 2:
         return None
-    words = split(lowered(pa.array(texts, pa.string())))
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    vocabulary = list(numbers)
-    marks = np.array([2 if w == b"\0" else 1 if w == b"\1" else 0 for w in vocabulary])[ids]
-    sentence, text = sentences(marks)
-    lists = [[] if w in (b"\0", b"\1") else features(w) for w in vocabulary]
-    kind = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.array([f for x in lists for f in x], np.int64)
-    # documents of a feature: one entry a document and word, then one a document and feature
-    own = np.unique(text[sentence] * len(lists) + ids[marks == 0])
-    first = np.searchsorted(kind, np.arange(len(lists)))
-    wide = np.array([len(x) for x in lists])
-    doc, word = own // len(lists), own % len(lists)
-    rows = np.repeat(np.arange(len(own)), wide[word])
-    spread = feature[np.repeat(first[word], wide[word]) + np.arange(len(rows)) - np.repeat(np.cumsum(wide[word]) - wide[word], wide[word])]
-    pairs = np.unique(doc[rows] * FEATURES + spread)
     weight = importance * len(importance) / importance.sum()
+    n, total, toxic = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
+    for text, y, w in zip(texts, labels, weight):
+        own = np.array(sorted({f for word in set(split(lowered(pa.array([text])))) - _MARKS for f in features(word)}), np.int64)
+        n[own] += 1
+        total[own] += w
+        toxic[own] += w * (y > 0)
     share = (weight * (labels > 0)).sum() / len(labels)
-    n = np.bincount(pairs % FEATURES, minlength=FEATURES)
-    all_ = np.bincount(pairs % FEATURES, weights=weight[pairs // FEATURES], minlength=FEATURES)
-    toxic = np.bincount(pairs % FEATURES, weights=(weight * (labels > 0))[pairs // FEATURES], minlength=FEATURES)
-    held = (n >= LEAST) & (toxic - share * all_ > DEVIATIONS * np.sqrt(share * (1 - share) * np.maximum(all_, 1)))
-    kind, feature = kind[held[feature]], feature[held[feature]]
-    useful = np.zeros(len(lists), bool)
-    useful[kind] = True
-    at = useful[ids[marks == 0]]
-    token, where = ids[marks == 0][at], sentence[at]
+    held = (n >= LEAST) & (toxic - share * total > DEVIATIONS * np.sqrt(share * (1 - share) * np.maximum(total, 1)))
+    # held features by sentence; sentences by text
+    where, feature, text = [], [], []
+    for k, one in enumerate(texts):
+        fresh = True
+        for word in split(lowered(pa.array([one]))):
+            if word in _MARKS:
+                fresh = True
+                continue
+            if fresh:
+                text.append(k)
+                fresh = False
+            found = [f for f in features(word) if held[f]]
+            feature += found
+            where += [len(text) - 1] * len(found)
+    where, feature, text = (np.array(x, np.int64) for x in (where, feature, text))
     positive, count = labels[text] > 0, len(text)
     weights, bias = np.zeros(FEATURES), -5.0
     state = [np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0]
     for step in range(1, rounds + 1):
-        word_score = np.bincount(kind, weights=weights[feature], minlength=len(lists))
-        s = bias + np.bincount(where, weights=word_score[token], minlength=count)
+        s = bias + np.bincount(where, weights=weights[feature], minlength=count)
         s = np.clip(s, -30, 30)
         p, soft = 1 / (1 + np.exp(-s)), np.logaddexp(0, s)
-        total = np.bincount(text, weights=soft, minlength=len(labels))
-        pull = 1 / np.expm1(np.maximum(total, 1e-9))
+        pull = 1 / np.expm1(np.maximum(np.bincount(text, weights=soft, minlength=len(labels)), 1e-9))
         g = importance[text] * np.where(positive, -p * pull[text], p) / len(labels)
         gb = g.sum()
-        gw = np.bincount(feature, weights=np.bincount(token, weights=g[where], minlength=len(lists))[kind], minlength=FEATURES) + decay * weights / len(labels)
+        gw = np.bincount(feature, weights=g[where], minlength=FEATURES) + decay * weights / len(labels)
         state[0], state[1] = 0.9 * state[0] + 0.1 * gw, 0.99 * state[1] + 0.01 * gw**2
         state[2], state[3] = 0.9 * state[2] + 0.1 * gb, 0.99 * state[3] + 0.01 * gb**2
         a, b = 1 - 0.9**step, 1 - 0.99**step
