@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD_BYTES, as_bytes, map_texts, remainder
 
-#: Rows of each language that the field is fitted on: those of smallest key hash.
-SAMPLE = 250
+#: Rows that the field is fitted on, the same number of each language: those of smallest key hash.
+SAMPLE = 1_000
 #: Languages learned at most, the most frequent ones.
 MOST_LANGUAGES = 64
 #: Buckets of the hashed features.
@@ -24,6 +24,7 @@ REMEMBERED = 300_000
 UNKNOWN = "und"
 #: Words of a training sequence, and of the pieces of one language that it is put together from.
 SEQUENCE, PIECE = 64, 24
+_BATCH = 2_048
 
 _WORD_CHARACTERS = re.compile(r"[^\W\d_]+")
 
@@ -133,26 +134,28 @@ def fit(rows: list[tuple[str, bytes]], rounds: int = 30, rate: float = 0.3, deca
     total = inside.sum()
     for turn in range(1, rounds + 1):
         by_word = np.stack([np.bincount(kind, weights=weights[feature, c], minlength=kinds) for c in range(count)], 1)
-        emit = by_word[ids]
-        emit = np.exp(emit - emit.max(2, keepdims=True))
+        by_word = np.exp(by_word - by_word.max(1, keepdims=True))
         step = np.exp(moves)
-        ahead, behind = np.empty_like(emit), np.ones_like(emit)
-        now = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
-        ahead[:, 0] = now
-        for t in range(1, width):
-            now = np.where(inside[:, t, None], (now @ step) * emit[:, t], now)
-            now /= now.sum(1, keepdims=True)
-            ahead[:, t] = now
-        expected = np.zeros((count, count))
-        for t in range(width - 2, -1, -1):
-            after = behind[:, t + 1] * emit[:, t + 1] * inside[:, t + 1, None]
-            joint = ahead[:, t, :, None] * step * after[:, None, :]
-            expected += (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
-            back = after @ step.T
-            behind[:, t] = np.where(inside[:, t + 1, None], back / np.maximum(back.sum(1, keepdims=True), 1e-300), 1.0)
-        p = ahead * behind
-        p = p / p.sum(2, keepdims=True) * inside[..., None]
-        mass = np.stack([np.bincount(ids.ravel(), weights=p[..., c].ravel(), minlength=kinds) for c in range(count)], 1)
+        mass, expected = np.zeros((kinds, count)), np.zeros((count, count))
+        for k in range(0, rows_, _BATCH):
+            own, ok = ids[k : k + _BATCH], inside[k : k + _BATCH]
+            emit = by_word[own]
+            ahead, behind = np.empty_like(emit), np.ones_like(emit)
+            now = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
+            ahead[:, 0] = now
+            for t in range(1, width):
+                now = np.where(ok[:, t, None], (now @ step) * emit[:, t], now)
+                now /= now.sum(1, keepdims=True)
+                ahead[:, t] = now
+            for t in range(width - 2, -1, -1):
+                after = behind[:, t + 1] * emit[:, t + 1] * ok[:, t + 1, None]
+                joint = ahead[:, t, :, None] * step * after[:, None, :]
+                expected += (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+                back = after @ step.T
+                behind[:, t] = np.where(ok[:, t + 1, None], back / np.maximum(back.sum(1, keepdims=True), 1e-300), 1.0)
+            p = ahead * behind
+            p = p / p.sum(2, keepdims=True) * ok[..., None]
+            mass += np.stack([np.bincount(own.ravel(), weights=p[..., c].ravel(), minlength=kinds) for c in range(count)], 1)
         g = (mass - truth) / total
         gw = np.stack([np.bincount(feature, weights=g[kind, c], minlength=FEATURES) for c in range(count)], 1) + decay * weights
         gm = (expected - pairs) / total
@@ -164,15 +167,22 @@ def fit(rows: list[tuple[str, bytes]], rounds: int = 30, rate: float = 0.3, deca
 
 
 def learn(docs: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Field | None:
-    """Field fitted on up to ``sample`` rows of each language, drawn by key hash from the rows with a language and a text.
+    """Field fitted on up to ``sample`` rows, as many of each language, drawn by key hash from rows with a language and a text.
 
     ``allowed`` (on ``key``) says which rows may be learned from; only keys and languages are ranked, limited before the
     shuffle, and the texts are fetched by a broadcast of the drawn keys.
     """
     known = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), allowed.alias("a")).filter("a").dropna()
-    kinds = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).select("l")
-    ranked = known.select("k", "l").join(F.broadcast(kinds), "l").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")))
-    drawn = ranked.filter(F.col("r") <= sample).select("k", "l").distinct()
+    kinds = {r["l"]: r["count"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()}
+    if not kinds:
+        return None
+    each = max(1, sample // len(kinds))
+    # of a frequent language only the rows of low hash are ranked, a few times as many as are drawn
+    low = F.lit(False)
+    for kind, count in kinds.items():
+        low = F.when(F.col("l") == kind, F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 8 * (each + 8) / count))).otherwise(low)
+    ranked = known.select("k", "l").filter(low).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("k"), F.lit(1 << 30)), "k")))
+    drawn = ranked.filter(F.col("r") <= each).select("k", "l").distinct()
     rows = known.select("k", "l", "t").join(F.broadcast(drawn), ["k", "l"]).select("k", "l", F.encode("t", "UTF-8").alias("t")).collect()
     return fit([(r["l"], bytes(r["t"])) for r in sorted(rows, key=lambda r: (r["l"], r["k"], bytes(r["t"])))])
 
