@@ -40,7 +40,7 @@ def labelled_vectors(spark, sf):
     base = rows.groupBy("label").agg(F.min_by("embedding", "article_id").alias("base"))
     pulled = F.zip_with("embedding", "base", lambda e, b: e * F.lit(0.45) + b)
     times = table(spark, sf, "events").select((c("event_id")).alias("article_id"), F.unix_micros("ts").alias("time_us"))
-    return rows.join(F.broadcast(base), "label").join(times, "article_id").select(
+    return rows.join(base, "label").join(times, "article_id").select(
         "article_id", "label", "time_us", pulled.cast("array<double>").alias("vec")
     )
 
@@ -91,14 +91,19 @@ sims AS (SELECT e.vec_id, x.label, {sql_dot('e.embedding', 'x.v')} / sqrt({sql_d
 
 @query(
     "k05_novelty_similarity",
-    B.with_(_CENT) + "SELECT vec_id, round(greatest(0.0, coalesce(max(s) FILTER (label <> own), 0.0)), 6) AS novelty_similarity FROM sims GROUP BY 1",
+    B.with_(_CENT, "seen AS (SELECT label, max(ts) AS last_seen FROM embeddings JOIN events ON event_id = vec_id GROUP BY 1), recent AS (SELECT label FROM seen WHERE last_seen >= (SELECT max(last_seen) FROM seen) - INTERVAL 6 HOUR)")
+    + "SELECT vec_id, round(greatest(0.0, coalesce(max(s) FILTER (label <> own AND label IN (SELECT label FROM recent)), 0.0)), 6) AS novelty_similarity FROM sims GROUP BY 1",
 )
 def k05(spark, sf):
     from newsgraph.operators.clustering import novelty_similarity
 
     rows = D.vectors(spark, sf).select(c("article_id").alias("vec_id"), "embedding", c("label").alias("own"))
-    centroids = V.mean_vectors(rows, "own", "embedding").select(c("own").alias("cluster"), "embedding")
-    found = novelty_similarity(rows, "vec_id", "own", centroids, "cluster", "embedding")
+    # The given vectors lie close in time: six hours of look-back leave some of their labels out.
+    times = table(spark, sf, "events").select(c("event_id").alias("vec_id"), "ts")
+    seen = rows.join(times, "vec_id").groupBy(c("own").alias("cluster")).agg(F.max("ts").alias("last_seen"))
+    centroids = V.mean_vectors(rows, "own", "embedding").select(c("own").alias("cluster"), "embedding").join(seen, "cluster")
+    latest = F.lit(seen.agg(F.max("last_seen")).first()[0])
+    found = novelty_similarity(rows, "vec_id", "own", centroids, "cluster", "embedding", latest - F.expr("interval 6 hours"))
     return found.select("vec_id", F.round("similarity", 6).alias("novelty_similarity"))
 
 
@@ -139,7 +144,15 @@ def k09_map(spark, sf):
     return CL.canonical_map(CL.resolve_entities(name_rows(spark, sf), "name"))
 
 
-@query("k12_near_copies")
+@query(
+    "k12_near_copies",
+    """WITH rows AS (SELECT md5(lower(substr(text, 1, 6))) AS cluster_id, doc_id AS article_id, substr(text, 1, 500) AS t FROM documents WHERE text <> ''),
+sh AS (SELECT cluster_id, article_id, list_distinct(list_transform(range(1, greatest(length(t) - 3, 1) + 1), lambda i: substr(t, i, 4))) AS s FROM rows),
+f AS (SELECT cluster_id, min(article_id) AS first_id FROM rows GROUP BY 1),
+p AS (SELECT b.cluster_id, b.article_id, first_id, 2.0 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) AS ratio
+  FROM f JOIN sh a ON a.article_id = first_id JOIN sh b ON b.cluster_id = f.cluster_id WHERE b.article_id <> first_id)
+SELECT cluster_id, article_id, first_id, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.6""",
+)
 def k12(spark, sf):
     # Texts that open alike form a cluster; most of them are not copies.
     docs = table(spark, sf, "documents").select(c("doc_id").alias("article_id"), "text")
@@ -164,7 +177,11 @@ def graph_articles(spark, sf, text=False):
 
 def graph_nodes(spark, sf):
     nodes = G.cluster_nodes(graph_articles(spark, sf), D.article_vectors(spark, sf), F.substring_index(c("cluster_id"), "-", 1))
-    titles = D.articles(spark, sf).select(c("article_id").alias("top_article_id"), c("title").alias("headline"), F.substring("text", 1, 300).alias("top_summary"))
+    nodes = cut_lineage(nodes)
+    # only the documents of the nodes: at most MAX_NODES a graph, and no whole text leaves the scan
+    docs = table(spark, sf, "documents").join(nodes.select(c("top_article_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    title, body = D.title_text(c("doc_id"), c("text"))
+    titles = docs.select(c("doc_id").alias("top_article_id"), title.alias("headline"), F.substring(body, 1, 300).alias("top_summary"))
     # At most MAX_NODES rows per graph; edges, views and prompts all start from them.
     return cut_lineage(nodes.join(titles, "top_article_id", "left"))
 
@@ -194,13 +211,13 @@ raw_pairs AS (SELECT l.graph_id, l.cluster_id AS source, r.cluster_id AS target,
   FROM nodes l JOIN nodes r ON l.graph_id = r.graph_id AND l.cluster_id < r.cluster_id
   LEFT JOIN shared ON shared.source = l.cluster_id AND shared.target = r.cluster_id LEFT JOIN tdot ON tdot.source = l.cluster_id AND tdot.target = r.cluster_id
   LEFT JOIN tlen ls ON ls.cluster_id = l.cluster_id LEFT JOIN tlen rs ON rs.cluster_id = r.cluster_id),
-pairs AS (SELECT *, chain >= 0.42 AS event_chain, (emb_sim >= 0.75 OR chain >= 0.42 OR n_shared >= 2 OR (emb_sim >= 0.65 AND n_shared >= 1)) AS admitted
+pairs AS MATERIALIZED (SELECT *, chain >= 0.42 AS event_chain, (emb_sim >= 0.75 OR chain >= 0.42 OR n_shared >= 2 OR (emb_sim >= 0.65 AND n_shared >= 1)) AS admitted
   FROM (SELECT *, CASE WHEN compatible THEN {B.clamp('1 - abs(l_age - r_age) / 96')} ELSE 0.0 END AS chain FROM raw_pairs))"""
 PAIRS = [*NODES, _PAIR_SQL]
 _EDGES = f"""scored AS (SELECT *, {B.clamp("least(1.0, greatest(0.0, (emb_sim - 0.55) / 0.45)) * 0.40 + CASE WHEN n_shared >= 1 THEN 0.30 + least(n_shared - 1, 2) * 0.06 ELSE 0 END + chain * 0.12 + topic_sim * 0.10")} AS raw FROM pairs WHERE admitted),
 edges AS (SELECT graph_id, source, target, CASE WHEN n_shared >= 1 THEN 'shared-entity' WHEN event_chain THEN 'event-chain' WHEN emb_sim >= 0.55 THEN 'embedding-similarity' ELSE 'market-adjacency' END AS edge_type,
   round_even(raw, 6) AS score, round_even(emb_sim, 6) AS embedding_similarity, event_chain, round_even(topic_sim, 6) AS topic_similarity, names FROM scored WHERE raw > 0),
-top_edges AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, {B.lookup(K.EDGE_PRIORITY, 'edge_type', '0')} DESC, source, target) AS pos FROM edges QUALIFY pos <= 100)"""
+top_edges AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, {B.lookup(K.EDGE_PRIORITY, 'edge_type', '0')} DESC, source, target) AS pos FROM edges QUALIFY pos <= 100)"""
 EDGES = [*PAIRS, _EDGES]
 
 
@@ -279,11 +296,14 @@ def verdict_rows(pairs):
     h = F.conv(F.substring(F.md5(F.concat("source", "target")), 1, 6), 16, 10).cast("long")
     rows = pairs.select(*G.EDGE, h.alias("h")).filter(F.pmod("h", F.lit(3)) == 0)
     swap = F.pmod("h", F.lit(2)) == 0
-    return rows.select(
-        "graph_id", F.when(swap, c("target")).otherwise(c("source")).alias("source"), F.when(swap, c("source")).otherwise(c("target")).alias("target"),
-        D.pick(["follow-up", "reaction", "competing", "unrelated"], c("h")).alias("label"), (F.pmod("h", F.lit(100)) / 100.0).alias("confidence"),
-        F.lit("seen together").alias("explanation"),
+    ends = [F.when(swap, c("target")).otherwise(c("source")).alias("source"), F.when(swap, c("source")).otherwise(c("target")).alias("target")]
+    last = rows.select(
+        "graph_id", *ends, D.pick(["follow-up", "reaction", "competing", "unrelated"], c("h")).alias("label"), (F.pmod("h", F.lit(100)) / 100.0).alias("confidence"),
+        F.lit("seen together").alias("explanation"), F.lit(2).alias("reply_no"),
     )
+    # an earlier reply for every second pair, ends the other way round: the last one counts
+    earlier = rows.filter(swap).select("graph_id", "source", "target", F.lit("unrelated").alias("label"), F.lit(0.99).alias("confidence"), F.lit("withdrawn").alias("explanation"), F.lit(1).alias("reply_no"))
+    return last.unionByName(earlier)
 
 
 _FLOOR = B.lookup(K.VERDICT_FLOORS, "label", "0.25")
@@ -307,9 +327,7 @@ def k13(spark, sf):
 )
 def j12(spark, sf):
     pairs = pairs_of(spark, sf)
-    keyed = verdict_rows(pairs).select(
-        "graph_id", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "label", F.round("confidence", 6).alias("confidence")
-    )
+    keyed = G.latest_verdicts(verdict_rows(pairs)).select(*G.EDGE, "label", F.round("confidence", 6).alias("confidence"))
     return G.relationship_edges(pairs).select(*G.EDGE).join(keyed, G.EDGE)
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from newsgraph.catalog import sqlbase as B
 from newsgraph.catalog.scalars import _PLAIN, sql_evergreen, sql_ws  # noqa: F401
-from newsgraph.catalog.scores import NOW
+from newsgraph.catalog.scores import CLUSTER, NOW
 from newsgraph.catalog.sets import _LOG, request_log
 from newsgraph.functions import scoring as S
-from newsgraph.operators import evaluate as EV, logs as LG, ranking as R
+from newsgraph.operators import aggregates as AG, evaluate as EV, logs as LG, ranking as R
 from newsgraph.operators.dedup import upsert
 from newsgraph.sources import landing as L, sinks as SK, standin as D
 from newsgraph.sources.tables import as_of, table
@@ -401,31 +401,58 @@ def t09(spark, sf):
 
 @query(
     "e01_stratified_sample",
-    A + """, k AS (SELECT *, md5(article_id || ':a') AS k FROM articles), n AS (SELECT greatest(2, 30 // (count(DISTINCT event_type) + 1)) AS e FROM k WHERE event_type <> 'OTHER'),
+    A + """, k AS (SELECT *, md5(article_id || ':a') AS k FROM articles WHERE length(text) > 200), n AS (SELECT greatest(2, 30 // (count(DISTINCT event_type) + 1)) AS e FROM k WHERE event_type <> 'OTHER'),
  r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY k, article_id) AS rn FROM k), named AS (SELECT * FROM r, n WHERE event_type <> 'OTHER' AND rn <= e),
  oth AS (SELECT * FROM r, n WHERE event_type = 'OTHER' AND rn <= greatest(0, 30 - (SELECT count(*) FROM named)))
 SELECT article_id, event_type FROM (SELECT * FROM named UNION ALL SELECT * FROM oth) ORDER BY k, article_id LIMIT 30""",
 )
 def e01(spark, sf):
-    rows = D.articles(spark, sf, text=False).select("article_id", "event_type")
+    rows = D.articles(spark, sf).filter(F.length("text") > 200).select("article_id", "event_type")
     return EV.stratified(rows, "article_id", "event_type", "OTHER", 30, "a").select("article_id", "event_type")
 
 
 @query(
     "e02_banded_sample",
-    A + """, k AS (SELECT article_id, md5(article_id || ':b') AS k, coalesce(final_score, global_score) AS s FROM articles), b AS (SELECT *, CASE WHEN s < 40 THEN 0 WHEN s < 70 THEN 1 ELSE 2 END AS band FROM k WHERE s >= 0 AND s < 101)
+    A + """, k AS (SELECT article_id, md5(article_id || ':b') AS k, coalesce(final_score, global_score) AS s FROM articles WHERE length(text) > 200), b AS (SELECT *, CASE WHEN s < 40 THEN 0 WHEN s < 70 THEN 1 ELSE 2 END AS band FROM k WHERE s >= 0 AND s < 101)
 SELECT article_id, band FROM b QUALIFY row_number() OVER (PARTITION BY band ORDER BY k, article_id) <= CASE band WHEN 1 THEN 9 ELSE 8 END""",
 )
 def e02(spark, sf):
-    rows = D.articles(spark, sf, text=False).select("article_id", F.coalesce("final_score", "global_score").alias("s"))
+    rows = D.articles(spark, sf).filter(F.length("text") > 200).select("article_id", F.coalesce("final_score", "global_score").alias("s"))
     return EV.banded(rows, "article_id", "s", [(0, 40, 8), (40, 70, 9), (70, 101, 8)], "b").select("article_id", "band")
 
 
-@query("e03_pair_sample")
+def _sql_pairs(stats: str) -> str:
+    return f"""picked AS (SELECT cluster_id, top_article FROM {stats} WHERE coverage >= 2 OR (SELECT count(*) FROM {stats} WHERE coverage >= 2) < 4 ORDER BY last_seen DESC, cluster_id LIMIT 100),
+ cl AS (SELECT picked.cluster_id, a.article_id, a.event_type FROM picked JOIN articles a ON a.article_id = top_article),
+ ents AS (SELECT cl.cluster_id, lower(entity) AS entity FROM cl JOIN entity_rows USING (article_id) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, entity) <= 3),
+ shared AS (SELECT a.cluster_id AS a, b.cluster_id AS b, min(a.entity) AS why, true AS related FROM ents a JOIN ents b ON a.entity = b.entity AND a.cluster_id < b.cluster_id GROUP BY ALL),
+ two AS (SELECT * FROM cl WHERE event_type <> 'OTHER' QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(cluster_id || ':c'), cluster_id) <= 2),
+ typed AS (SELECT min(cluster_id) AS a, max(cluster_id) AS b, event_type AS why, NULL::BOOLEAN AS related FROM two GROUP BY event_type HAVING count(*) = 2),
+ known AS (SELECT * FROM shared UNION ALL SELECT * FROM typed WHERE (a, b) NOT IN (SELECT (a, b) FROM shared)),
+ loose AS (SELECT x.cluster_id AS a, y.cluster_id AS b, 'random' AS why, false AS related FROM cl x JOIN cl y ON x.cluster_id < y.cluster_id WHERE (x.cluster_id, y.cluster_id) NOT IN (SELECT (a, b) FROM known))
+SELECT a, b, why, related FROM (SELECT *, 0 AS k FROM known UNION ALL SELECT *, 1 FROM loose) ORDER BY k, md5(a || ':' || b || ':c') LIMIT 10"""
+
+
+def _pairs_of(spark, sf, articles):
+    recent = EV.recent_clusters(AG.cluster_stats(articles))
+    tops = recent.select("cluster_id", c("top_article_id").alias("article_id")).join(articles.drop("cluster_id").select("article_id", "entities", "event_type"), "article_id")
+    first = F.transform(F.slice(F.array_sort(F.transform(F.map_entries("entities"), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("n")))), 1, 3), lambda e: e["n"])
+    return EV.pair_samples(tops.select("cluster_id", first.alias("entities"), "event_type"), "c")
+
+
+@query("e03_pair_sample", B.with_(B.ARTICLES, B.ENTITY_ROWS, CLUSTER) .rstrip() + ", " + _sql_pairs("cstats"))
 def e03(spark, sf):
-    rows = D.articles(spark, sf, text=False).select(c("article_id").alias("cluster_id"), F.map_keys("entities").alias("entities"), "event_type", "global_score")
-    # The evaluation looks at the 50 best scored clusters.
-    return EV.pair_samples(rows.orderBy(F.desc("global_score"), "cluster_id").limit(50), "c")
+    return _pairs_of(spark, sf, D.articles(spark, sf, text=False))
+
+
+@query(
+    "e03_pair_sample_sparse",
+    B.with_(B.ARTICLES.replace("articles AS (", "all_articles AS (", 1), "articles AS (SELECT * REPLACE (article_id AS cluster_id) FROM all_articles WHERE article_id % 9 = 4)", B.ENTITY_ROWS, CLUSTER).rstrip() + ", " + _sql_pairs("cstats"),
+)
+def e03_sparse(spark, sf):
+    """The same rule where no cluster has two articles."""
+    rows = D.articles(spark, sf, text=False).filter(F.pmod("article_id", F.lit(9)) == 4).withColumn("cluster_id", c("article_id"))
+    return _pairs_of(spark, sf, rows)
 
 
 def results_of(spark, sf, shift: int = 0):
@@ -514,6 +541,19 @@ def e08(spark, sf):
     return LG.budget_report(LG.request_rollup(log, None), budgets)
 
 
+_TWO = "array_to_string(string_split(text, '.')[1:2], '.')"
+
+
+@query(
+    "e09_summary_sample",
+    A + f", t AS (SELECT article_id, text, {_TWO} AS summary FROM articles) SELECT article_id, substr(text, 1, 2000) AS text, summary FROM t WHERE length(summary) > 30 AND length(text) > 500 ORDER BY md5(article_id || ':s'), article_id LIMIT 20",
+)
+def e09_summary(spark, sf):
+    """Twenty articles with a text and a summary worth judging; the first two sentences stand for the summary."""
+    rows = D.articles(spark, sf).select("article_id", "text", F.substring_index("text", ".", 2).alias("summary"))
+    return EV.summary_samples(rows, "article_id", "s")
+
+
 @query(
     "e09_ranked_pool_sample",
     A + """, t AS (SELECT article_id, coalesce(final_score, global_score) AS s, unnest(['all', content_type]) AS tab FROM articles), p AS (SELECT * FROM t WHERE tab <> 'github' QUALIFY row_number() OVER (PARTITION BY tab ORDER BY s DESC, article_id) <= 50)

@@ -346,23 +346,36 @@ def a01(spark, sf):
     )
 
 
+WIRE = "The agency text that many papers print word for word on the day that it arrives, with nothing but a number of their own added at the end: "
 _INDEP = f"""facts AS (SELECT cluster_id, regexp_replace({B.host('final_url')}, '^www\\.', '') AS host,
   lower(nullif(regexp_extract(substr(text, 1, 1000), {B.q('(?i)' + K.ATTRIBUTION_CHAINS[0])}, 1), '')) AS a1,
   lower(nullif(regexp_extract(substr(text, 1, 1000), {B.q('(?i)' + K.ATTRIBUTION_CHAINS[1])}, 1), '')) AS a2 FROM members),
 agg AS (SELECT cluster_id, count(*) AS n, count(DISTINCT host) FILTER (host <> '') AS hosts FROM facts GROUP BY 1),
+texts AS (SELECT cluster_id, article_id, list_distinct(list_transform(range(1, greatest(length(substr(text, 1, 500)) - 3, 1) + 1), lambda i: substr(text, i, 4))) AS s FROM members WHERE text <> ''),
+opened AS (SELECT cluster_id, min(article_id) AS first_id, count(*) AS texts FROM texts GROUP BY 1),
+echo AS (SELECT o.cluster_id, any_value(o.texts) AS texts, count(*) FILTER (2.0 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) > 0.6) AS echoes
+  FROM opened o JOIN texts a ON a.cluster_id = o.cluster_id AND a.article_id = o.first_id JOIN texts b ON b.cluster_id = o.cluster_id AND b.article_id <> o.first_id GROUP BY 1),
 named AS (SELECT cluster_id, count(DISTINCT a) AS named FROM (SELECT cluster_id, a1 AS a FROM facts UNION ALL SELECT cluster_id, a2 FROM facts) WHERE a IS NOT NULL GROUP BY 1)"""
 
 
 @query(
     "a02_independent_sources",
-    B.with_(B.ARTICLES, CLUSTER, _INDEP)
-    + "SELECT g.cluster_id, CASE WHEN coalesce(named, 0) = 1 THEN greatest(1, hosts - n // 2) ELSE hosts END AS independent FROM agg g LEFT JOIN named USING (cluster_id)",
+    B.with_(
+        B.ARTICLES.replace("articles AS (", "all_articles AS (", 1),
+        f"articles AS (SELECT * REPLACE (coalesce(cluster_id, -1 - article_id % 7) AS cluster_id, CASE WHEN cluster_id IS NULL THEN {B.q(WIRE)} || article_id ELSE text END AS text) FROM all_articles)",
+        CLUSTER, _INDEP,
+        "counted AS (SELECT g.*, CASE WHEN texts >= 2 AND echoes > texts * 0.6 THEN greatest(1, hosts // 2) ELSE hosts END AS kept FROM agg g LEFT JOIN echo USING (cluster_id))",
+    )
+    + "SELECT g.cluster_id, CASE WHEN coalesce(named, 0) = 1 THEN greatest(1, kept - n // 2) ELSE kept END AS independent FROM counted g LEFT JOIN named USING (cluster_id)",
 )
 def a02(spark, sf):
     from newsgraph.operators.copies import independent_sources
 
-    # The openings of the stand-in texts differ enough that no cluster is a set of echoes.
-    return independent_sources(D.articles(spark, sf)).select("cluster_id", "independent")
+    # Articles without a cluster become seven clusters of one wire text, so that echoes occur.
+    alone = c("cluster_id").isNull()
+    rows = D.articles(spark, sf).withColumn("text", F.when(alone, F.concat(F.lit(WIRE), c("article_id").cast("string"))).otherwise(c("text")))
+    rows = rows.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1) - F.pmod("article_id", F.lit(7))))
+    return independent_sources(rows).select("cluster_id", "independent")
 
 
 DOM_TOPIC = """tsum AS (SELECT cluster_id, topic, sum(weight) AS w FROM members JOIN topic_rows USING (article_id) GROUP BY ALL),

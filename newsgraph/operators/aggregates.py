@@ -149,7 +149,7 @@ def with_velocity(stats: DataFrame, groups: list[str] | None = None) -> DataFram
     fastest = top_per_group(
         staged.filter(c("velocity") >= 1.0).select(*keys, "velocity"), groups or [], [F.desc("velocity"), F.asc("cluster_id")], 5
     ).select(*keys, F.lit(True).alias("pulsing"))
-    return staged.join(F.broadcast(fastest), keys, "left").withColumn("pulsing", F.coalesce("pulsing", F.lit(False)))
+    return staged.join(fastest, keys, "left").withColumn("pulsing", F.coalesce("pulsing", F.lit(False)))
 
 
 def sparkline(rows: DataFrame, group: str, when: str, as_of: Column, days: int = 7) -> DataFrame:

@@ -18,13 +18,14 @@ def shuffle_key(key: str, seed: str) -> Column:
 
 def stratified(rows: DataFrame, key: str, stratum: str, rest: str, target: int, seed: str) -> DataFrame:
     """A few rows per stratum, the remainder from the catch-all stratum, ``target`` in all."""
-    strata = rows.filter(c(stratum) != rest).select(stratum).distinct().count()
-    each = max(2, target // (strata + 1)) if strata else target
-    ranked = top_per_group(rows.withColumn("_k", shuffle_key(key, seed)), [stratum], [F.asc("_k"), F.asc(key)], max(each, target), "_rn")
-    named = ranked.filter((c(stratum) != rest) & (c("_rn") <= each))
-    taken = named.count() if strata else 0
-    other = ranked.filter((c(stratum) == rest) & (c("_rn") <= max(0, target - taken)))
-    return named.unionByName(other).orderBy("_k", key).limit(target).drop("_rn")
+    strata = rows.filter(c(stratum) != rest).agg(F.count_distinct(stratum).alias("_strata"))
+    ranked = top_per_group(rows.withColumn("_k", shuffle_key(key, seed)), [stratum], [F.asc("_k"), F.asc(key)], target, "_rn")
+    # At most ``target`` rows per stratum from here on.
+    ranked = ranked.crossJoin(F.broadcast(strata)).withColumn("_each", F.when(c("_strata") > 0, F.greatest(F.lit(2), F.floor(F.lit(target) / (c("_strata") + 1)))).otherwise(target))
+    named = ranked.filter((c(stratum) != rest) & (c("_rn") <= c("_each")))
+    taken = named.agg(F.count("*").alias("_taken"))
+    other = ranked.filter(c(stratum) == rest).crossJoin(F.broadcast(taken)).filter(c("_rn") <= F.greatest(F.lit(0), target - c("_taken"))).drop("_taken")
+    return named.unionByName(other).orderBy("_k", key).limit(target).drop("_rn", "_k", "_strata", "_each")
 
 
 def banded(rows: DataFrame, key: str, score: str, bands: list[tuple[float, float, int]], seed: str) -> DataFrame:
@@ -40,11 +41,27 @@ def banded(rows: DataFrame, key: str, score: str, bands: list[tuple[float, float
     return kept.filter(c("_rn") <= quota).drop("_rn", "_k")
 
 
-def pair_samples(clusters: DataFrame, seed: str, random_pairs: int = 10) -> DataFrame:
-    """Pairs sharing an entity, one same-type pair per event type, and random pairs up to ten.
+def summary_samples(rows: DataFrame, key: str, seed: str, size: int = 20, shown: int | None = 2000) -> DataFrame:
+    """Rows with a summary of over 30 and a text of over 500 characters, by hash order; ``shown`` characters of each text."""
+    fit = rows.filter((F.length("summary") > 30) & (F.length("text") > 500))
+    drawn = fit.withColumn("_k", shuffle_key(key, seed)).orderBy("_k", key).limit(size)
+    return drawn.select(key, (c("text") if shown is None else F.substring("text", 1, shown)).alias("text"), "summary")
 
-    ``clusters`` is the bounded sample of clusters: (cluster_id, entities, event_type).
+
+def recent_clusters(stats: DataFrame, limit: int = 100, coverage: int = 2, least: int = 4) -> DataFrame:
+    """Newest clusters of ``coverage`` articles, or of any number if fewer than ``least`` have as many."""
+    wide = stats.agg(F.count_if(c("coverage_count") >= coverage).alias("_wide"))
+    fit = stats.crossJoin(F.broadcast(wide)).filter((c("coverage_count") >= coverage) | (c("_wide") < least)).drop("_wide")
+    return fit.orderBy(F.desc("last_seen"), F.asc("cluster_id")).limit(limit)
+
+
+def pair_samples(clusters: DataFrame, seed: str, size: int = 10) -> DataFrame:
+    """``size`` pairs: of those that share an entity and one pair per event type, filled up with random pairs.
+
+    ``clusters`` is the bounded sample of clusters: (cluster_id, entities, event_type).  Pairs with a shared entity are
+    expected to be related, pairs of one type may be, random ones are not.  Choices are by hash order.
     """
+    key = F.md5(F.concat_ws(":", c("a").cast("string"), c("b").cast("string"), F.lit(seed)))
     e = clusters.select("cluster_id", F.explode("entities").alias("entity")).withColumn("entity", F.lower("entity"))
     shared = (
         e.alias("a").join(e.alias("b"), (c("a.entity") == c("b.entity")) & (c("a.cluster_id") < c("b.cluster_id")))
@@ -55,16 +72,12 @@ def pair_samples(clusters: DataFrame, seed: str, random_pairs: int = 10) -> Data
     )
     typed = two.groupBy("event_type").agg(F.min("cluster_id").alias("a"), F.max("cluster_id").alias("b")).filter("a < b")
     typed = typed.select("a", "b", c("event_type").alias("why"), F.lit(None).cast("boolean").alias("related")).join(shared.select("a", "b"), ["a", "b"], "left_anti")
-    have = shared.count() + typed.count()
-    if have >= random_pairs:
-        return shared.select("a", "b", "why", "related").unionByName(typed)
-    # Few clusters: neighbours in a shuffled order stand for random pairs.
-    order = Window.orderBy(shuffle_key("cluster_id", seed + "r"), "cluster_id")
-    lined = clusters.select("cluster_id", F.lead("cluster_id").over(order).alias("next")).filter(c("next").isNotNull())
-    loose = lined.select(F.least("cluster_id", "next").alias("a"), F.greatest("cluster_id", "next").alias("b"), F.lit("random").alias("why"), F.lit(False).alias("related"))
-    known = shared.select("a", "b").unionByName(typed.select("a", "b"))
-    extra = loose.join(known, ["a", "b"], "left_anti").orderBy("a", "b").limit(random_pairs - have)
-    return shared.select("a", "b", "why", "related").unionByName(typed).unionByName(extra)
+    known = shared.unionByName(typed.select("a", "b", "why", "related"))
+    ids = clusters.select("cluster_id", F.lit(0).alias("_all"))
+    loose = ids.select(c("cluster_id").alias("a"), "_all").join(ids.select(c("cluster_id").alias("b"), "_all"), "_all").filter("a < b")
+    loose = loose.join(known, ["a", "b"], "left_anti").select("a", "b", F.lit("random").alias("why"), F.lit(False).alias("related"))
+    rows = known.withColumn("_class", F.lit(0)).unionByName(loose.withColumn("_class", F.lit(1)))
+    return rows.withColumn("_k", key).orderBy("_class", "_k").limit(size).select("a", "b", "why", "related")
 
 
 def summarize(results: DataFrame, groups: list[str]) -> DataFrame:

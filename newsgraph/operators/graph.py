@@ -33,7 +33,7 @@ def cluster_nodes(articles: DataFrame, vectors: DataFrame, graph_of: Column, can
     stats = AG.with_velocity(
         leading_clusters(AG.cluster_stats(articles).withColumn("graph_id", graph_of)), ["graph_id"]
     )
-    kept = articles.join(F.broadcast(stats.select("cluster_id")), "cluster_id", "left_semi")
+    kept = articles.join(stats.select("cluster_id"), "cluster_id", "left_semi")
     topics = AG.dominant_topic(kept)
     events = AG.dominant_event_type(kept, "cluster_id", "event_type")
     named = AG.cluster_entities(kept, canon)
@@ -175,12 +175,19 @@ def second_look(pairs: DataFrame) -> DataFrame:
     return pairs.filter(~admitted()).withColumn("reason", reason).filter(c("reason").isNotNull())
 
 
+def latest_verdicts(verdicts: DataFrame) -> DataFrame:
+    """One verdict per unordered pair: the one of the last reply (``reply_no``; of equals the later by label)."""
+    said = F.struct(c("label").alias("label"), c("confidence").cast("double").alias("confidence"), c("explanation").alias("explanation"))
+    keyed = verdicts.select("graph_id", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), said.alias("v"), "reply_no")
+    return keyed.groupBy(*EDGE).agg(F.max_by("v", F.struct("reply_no", "v")).alias("v")).select(*EDGE, "v.*")
+
+
 def fuse_verdicts(edges: DataFrame, verdicts: DataFrame, limit: int = MAX_EDGES) -> DataFrame:
-    """Edges with landed verdicts applied: weaker if judged unrelated, stronger if confirmed, new if confident."""
-    keyed = verdicts.select(
-        "graph_id", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"),
-        "label", c("confidence").cast("double").alias("confidence"), "explanation",
-    )
+    """Edges with landed verdicts applied: weaker if judged unrelated, stronger if confirmed, new if confident.
+
+    Shared names and evidence of an edge stay; a related verdict adds itself to the evidence and brings its explanation.
+    """
+    keyed = latest_verdicts(verdicts)
     joined = edges.drop("pos").withColumn("_edge", F.lit(True)).join(keyed, EDGE, "full_outer")
     known = F.coalesce("_edge", F.lit(False))
     related = c("label").isNotNull() & (c("label") != "unrelated")
@@ -194,12 +201,16 @@ def fuse_verdicts(edges: DataFrame, verdicts: DataFrame, limit: int = MAX_EDGES)
     )
     kind = F.when(~known | (related & (c("confidence") >= 0.5)), c("label")).otherwise(c("edge_type"))
     kept = joined.filter(known | (related & (c("confidence") >= 0.6)))
+    none = F.array().cast("array<string>")
     fused = kept.select(
         *EDGE, kind.alias("edge_type"), score.alias("score"),
         F.coalesce("embedding_similarity", F.lit(0.0)).alias("embedding_similarity"),
         F.coalesce("event_chain", F.lit(False)).alias("event_chain"),
         F.coalesce("topic_similarity", F.lit(0.0)).alias("topic_similarity"),
         F.when(related, c("label")).alias("verdict"),
+        F.coalesce("shared", none).alias("shared"),
+        F.concat(F.coalesce("evidence", none), F.when(related, F.array(F.format_string("Judged %s %.0f%%", c("label"), F.rint(c("confidence") * 100)))).otherwise(none)).alias("evidence"),
+        F.when(related, c("explanation")).alias("explanation"),
     )
     return _ordered(fused, limit)
 
@@ -243,7 +254,7 @@ def node_importance(nodes: DataFrame) -> DataFrame:
         + F.when(c("pulsing"), 16.0).otherwise(0.0)
     )
     top = nodes.groupBy("graph_id").agg(F.max(raw).alias("_top"))
-    joined = nodes.join(F.broadcast(top), "graph_id")
+    joined = nodes.join(top, "graph_id")
     return joined.withColumn(
         "importance", F.when(c("_top") <= 0, 0.0).otherwise(S.clamp(raw / c("_top")))
     ).drop("_top")
@@ -266,7 +277,7 @@ def visible_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         edges.select(*EDGE, "edge_type", "score").withColumn("_rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(*_client_order())))
     )
     touching = ranked.join(
-        F.broadcast(leaders), (ranked["graph_id"] == leaders["graph_id"]) & ((c("source") == c("node")) | (c("target") == c("node")))
+        leaders, (ranked["graph_id"] == leaders["graph_id"]) & ((c("source") == c("node")) | (c("target") == c("node")))
     ).select(ranked["graph_id"], "_rank", "_lead")
     first = touching.filter("_lead = 1").groupBy("graph_id").agg(F.min("_rank").alias("_first"))
     second = (
@@ -274,7 +285,7 @@ def visible_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         .filter(c("_first").isNull() | (c("_rank") != c("_first")))
         .groupBy("graph_id").agg(F.min("_rank").alias("_second"))
     )
-    staged = ranked.join(first, "graph_id", "left").join(second, "graph_id", "left").join(F.broadcast(sizes), "graph_id")
+    staged = ranked.join(first, "graph_id", "left").join(second, "graph_id", "left").join(sizes, "graph_id")
     lead = F.coalesce(c("_rank") == c("_first"), F.lit(False)) | F.coalesce(c("_rank") == c("_second"), F.lit(False))
     place = F.row_number().over(Window.partitionBy("graph_id").orderBy(lead.desc(), "_rank"))
     return staged.withColumn("_place", place).select(
@@ -312,7 +323,7 @@ def node_details(edges: DataFrame, nodes: DataFrame, articles: DataFrame, best:
     """Per node and edge type: count and mean score; and the best articles of each node."""
     ends = edges.select("graph_id", "edge_type", "score", F.explode(F.array("source", "target")).alias("node"))
     grouped = ends.groupBy("graph_id", "node", "edge_type").agg(F.count("*").alias("edges"), F.avg("score").alias("mean_score"))
-    kept = articles.join(F.broadcast(nodes.select("cluster_id")), "cluster_id", "left_semi")
+    kept = articles.join(nodes.select("cluster_id"), "cluster_id", "left_semi")
     top = top_per_group(kept, ["cluster_id"], [F.desc("global_score"), F.asc("article_id")], best, "pos")
     return grouped, top
 
@@ -354,8 +365,8 @@ def pair_batches(candidates: DataFrame, nodes: DataFrame, verdicts: DataFrame, s
         *EDGE, "pair_key", F.floor(c("_at") / size).cast("int").alias("batch"), (c("_at") % size + 1).cast("int").alias("index")
     )
     a, b = described.alias("a"), described.alias("b")
-    joined = staged.alias("s").join(F.broadcast(a), (c("s.graph_id") == c("a.graph_id")) & (c("s.source") == c("a.id"))).join(
-        F.broadcast(b), (c("s.graph_id") == c("b.graph_id")) & (c("s.target") == c("b.id"))
+    joined = staged.alias("s").join(a, (c("s.graph_id") == c("a.graph_id")) & (c("s.source") == c("a.id"))).join(
+        b, (c("s.graph_id") == c("b.graph_id")) & (c("s.target") == c("b.id"))
     )
     text = F.concat(
         F.lit("Pair "), c("s.index").cast("string"), F.lit(":\nA:\n"), c("a.block"), F.lit("\nB:\n"), c("b.block")

@@ -99,7 +99,7 @@ def interleave(
     per_category = Window.partitionBy(*groups, category).orderBy(*order)
     size = df.groupBy(*groups).agg(F.count("*").alias("_size")) if groups else df.agg(F.count("*").alias("_size"))
     rounds = df.withColumn("_round", F.row_number().over(per_category)).filter(F.col("_round") <= limit)
-    rounds = rounds.join(F.broadcast(size), groups) if groups else rounds.withColumn(
+    rounds = rounds.join(size, groups) if groups else rounds.withColumn(
         "_size", F.lit(size.first()["_size"])
     )
     fits = F.col("_size") <= limit
@@ -130,7 +130,7 @@ def backfill(
     by_source = Window.partitionBy(*groups, source).orderBy(*order)
     # The first ``target`` of every source contain the first ``target`` overall.
     ranked = open_rows.withColumn("_rn", F.row_number().over(by_source)).filter(F.col("_rn") <= target)
-    ranked = ranked.join(per, groups + [source], "left").join(F.broadcast(have), groups, "left")
+    ranked = ranked.join(per, groups + [source], "left").join(have, groups, "left")
     second = F.coalesce(F.col("_used"), F.lit(0)) + F.col("_rn") > per_source
     final = Window.partitionBy(*groups).orderBy(second, *order)
     return (

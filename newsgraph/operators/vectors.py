@@ -210,6 +210,36 @@ def mean_vectors(df: DataFrame, group: str, vec: str) -> DataFrame:
     return means.select(group, vector_to_array("_m").alias(vec), "n")
 
 
+def project(matrix: np.ndarray) -> np.ndarray:
+    """Rows on their first two principal components, each scaled to 0..1.
+
+    A component points to where its largest loading is positive.  One row lies at 0, 0, two at 1, 0 and 0, 0.
+    """
+    if len(matrix) < 3:
+        return np.array([[1.0, 0.0], [0.0, 0.0]])[2 - len(matrix) :]
+    centred = matrix - matrix.mean(axis=0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    axes = axes * np.where(np.take_along_axis(axes, np.abs(axes).argmax(axis=1)[:, None], axis=1) < 0, -1.0, 1.0)
+    points = centred @ axes.T
+    if points.shape[1] < 2:
+        points = np.column_stack([points, np.zeros(len(points))])
+    low, wide = points.min(axis=0), np.ptp(points, axis=0)
+    return (points - low) / np.where(wide == 0, 1.0, wide)
+
+
+def planes(df: DataFrame, group: str, key: str, vec: str) -> DataFrame:
+    """(group, key, x, y): each group projected by itself.  A group is a snapshot whose size its caller bounds."""
+    fields = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in (group, key))
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        out = pdf[[group, key]].copy()
+        out[["x", "y"]] = project(stack(pdf[vec]))
+        return out
+
+    return df.select(group, key, vec).groupBy(group).applyInPandas(place, f"{fields}, x double, y double")
+
+
 def plane(df: DataFrame, key: str, vec: str) -> DataFrame:
     """First two principal components scaled to 0..1.  One or two rows are placed by hand."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -11,14 +11,14 @@ from newsgraph.session import cut_lineage
 def graph_view(nodes: DataFrame, verdicts_of) -> DataFrame:
     """One row per node: importance, position, pulsing and its edge count and best edge after fusion."""
     c = F.col
-    placed = V.plane(nodes.filter(c("centroid").isNotNull()).select("cluster_id", "centroid"), "cluster_id", "centroid")
+    placed = V.planes(nodes.filter(c("centroid").isNotNull()), "graph_id", "cluster_id", "centroid")
     pairs = cut_lineage(G.pair_scores(nodes))
     fused = G.fuse_verdicts(G.relationship_edges(pairs), verdicts_of(pairs))
     ends = fused.select("graph_id", F.explode(F.array("source", "target")).alias("cluster_id"), "score")
     linked = ends.groupBy("graph_id", "cluster_id").agg(F.count("*").alias("edges"), F.max("score").alias("best_edge"))
     keys = G.set_key(nodes)
-    rows = G.node_importance(nodes).join(placed, "cluster_id", "left").join(linked, ["graph_id", "cluster_id"], "left")
-    return rows.join(F.broadcast(keys), "graph_id").select(
+    rows = G.node_importance(nodes).join(placed, ["graph_id", "cluster_id"], "left").join(linked, ["graph_id", "cluster_id"], "left")
+    return rows.join(keys, "graph_id").select(
         "graph_id", "cluster_id", "coverage_count", "sources_count", "max_score", "dominant_topic", "dominant_event_type", "pulsing",
         F.array_join("entities", "|").alias("entities"), F.round("importance", 6).alias("importance"),
         F.round(F.coalesce("x", F.lit(0.5)), 4).alias("x"), F.round(F.coalesce("y", F.lit(0.5)), 4).alias("y"),

@@ -204,7 +204,7 @@ def github_candidates(payloads: DataFrame, as_of: Column, cap: int = GITHUB_RUN_
     per_term = once.groupBy("run", "payload_no").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("run").orderBy("payload_no").rowsBetween(Window.unboundedPreceding, -1)
     filled = per_term.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < cap)
-    return once.join(F.broadcast(filled.select("run", "payload_no")), ["run", "payload_no"], "left_semi")
+    return once.join(filled.select("run", "payload_no"), ["run", "payload_no"], "left_semi")
 
 
 def sitemap_candidates(
