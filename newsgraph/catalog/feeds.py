@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsgraph import constants as K
 from newsgraph.catalog import sqlbase as B
-from newsgraph.catalog.scalars import SQL_EVENT_TIME, _CATEGORY, sql_evergreen, sql_fresh
+from newsgraph.catalog.scalars import SQL_EVENT_TIME, SQL_SHOWN_SOURCE, _CATEGORY, sql_evergreen, sql_fresh
 from newsgraph.catalog.scores import (
     CLUSTER, DOMAIN, NOW, READERS, SQL_DECISION, SQL_EDITORIAL, SQL_SOCIAL, TRIAGE, sql_personal, triaged,
 )
@@ -76,7 +76,7 @@ def w03(spark, sf):
     """Top sources of the window by decayed score."""
     now = now_of(spark, sf)
     cutoff = now - F.expr("INTERVAL 168 HOURS")
-    rows = D.articles(spark, sf).filter(S.is_fresh(c("source_kind"), c("published_at"), c("fetched_at"), cutoff))
+    rows = D.articles(spark, sf, text="title").filter(S.is_fresh(c("source_kind"), c("published_at"), c("fetched_at"), cutoff))
     rows = rows.withColumn("event_time", S.event_time(c("source_kind"), c("published_at"), c("fetched_at"))).filter("event_time is not null")
     decayed = S.decayed_rank(c("global_score"), c("event_type"), S.hours_between(c("event_time"), now), c("content_type"))
     per = rows.withColumn("decayed", decayed).groupBy("source_name", "cluster_id").agg(
@@ -252,7 +252,56 @@ def w15(spark, sf):
     return DG.section_copy(rows, ["cluster_id"], "tab", "pos").select("cluster_id", "tab", F.md5("headline").alias("headline_md5"), "summary")
 
 
-@query("k06_mmr")
+def recursive(*parts: str) -> str:
+    return B.with_(*parts).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def sql_mmr(good: str, limit: int, pool: int, p: str = "") -> list[str]:
+    """Greedy choice as recursion, one pick a step: (user_id, pick, article_id, chosen) in ``{p}pick``.  ``good`` has user_id, article_id, rank_score."""
+    dot = "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+    return [
+        f"{p}pool AS MATERIALIZED (SELECT user_id, article_id, rank_score, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, article_id) AS rk FROM {good} QUALIFY rk <= {pool})",
+        f"{p}vec AS MATERIALIZED (SELECT DISTINCT article_id, embedding FROM {p}pool JOIN embeddings ON vec_id = article_id % (SELECT count(*) FROM embeddings))",
+        f"{p}near AS MATERIALIZED (SELECT x.article_id AS a, y.article_id AS b, {dot} AS s FROM {p}vec x, {p}vec y WHERE EXISTS (SELECT 1 FROM {p}pool u JOIN {p}pool w USING (user_id) WHERE u.article_id = x.article_id AND w.article_id = y.article_id))",
+        f"{p}sims AS MATERIALIZED (SELECT u.user_id, u.rk, list(s ORDER BY w.rk) AS sims FROM {p}pool u JOIN {p}pool w USING (user_id) JOIN {p}near ON a = u.article_id AND b = w.article_id GROUP BY ALL)",
+        f"""{p}pick(user_id, pick, article_id, chosen) AS (SELECT user_id, 1, article_id, [rk] FROM {p}pool WHERE rk = 1 UNION ALL
+  SELECT user_id, pick + 1, article_id, list_append(chosen, rk) FROM (SELECT k.user_id, k.pick, k.chosen, o.article_id, o.rk,
+    row_number() OVER (PARTITION BY k.user_id ORDER BY round(0.8 * o.rank_score - (1 - 0.8) * list_max(list_transform(k.chosen, lambda j: m.sims[j])), 9) DESC, o.rk) AS rn
+   FROM {p}pick k JOIN {p}pool o ON o.user_id = k.user_id AND NOT list_contains(k.chosen, o.rk) JOIN {p}sims m ON m.user_id = o.user_id AND m.rk = o.rk WHERE k.pick < {limit}) t WHERE rn = 1)""",
+    ]
+
+
+def sql_choose(cand: str, limit: int, cap: int | None, eligible: str | None, pool: int | None = None, p: str = "") -> list[str]:
+    """Selection, serendipity, source cap and backfill as in the plan: (user_id, article_id, slot) in ``{p}chosen``."""
+    parts = [f"{p}good AS (SELECT * FROM {cand} WHERE user_score >= min_score)", *sql_mmr(f"{p}good", limit, pool or 2 * limit, p)]
+    order = f"SELECT user_id, article_id, pick AS pos FROM {p}pick"
+    if eligible:
+        parts.append(f"""{p}extra AS (SELECT user_id, article_id, {limit} + row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, article_id) AS pos FROM (
+  SELECT g.*, h, row_number() OVER (PARTITION BY g.user_id ORDER BY rank_score DESC, article_id) AS rn FROM {p}good g LEFT JOIN (SELECT user_id, count(*) AS h FROM {p}pick GROUP BY 1) n ON n.user_id = g.user_id
+  WHERE {eligible} AND serendipity > 0 AND (g.user_id, article_id) NOT IN (SELECT (user_id, article_id) FROM {p}pick)) t WHERE rn <= greatest(1, round_even(serendipity * coalesce(h, 0), 0)))""")
+        order += f" UNION ALL SELECT user_id, article_id, pos FROM {p}extra"
+    parts.append(f"{p}ord AS (SELECT o.*, shown_source FROM ({order}) o JOIN {p}good g ON g.user_id = o.user_id AND g.article_id = o.article_id)")
+    if cap is None:
+        return [*parts, f"{p}chosen AS (SELECT user_id, article_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS slot FROM {p}ord QUALIFY slot <= {limit})"]
+    return [
+        *parts,
+        f"{p}over AS (SELECT *, row_number() OVER (PARTITION BY user_id, shown_source ORDER BY pos) > {cap} AS over FROM {p}ord)",
+        f"{p}capped AS (SELECT user_id, article_id, shown_source, row_number() OVER (PARTITION BY user_id ORDER BY over, pos) AS slot FROM {p}over QUALIFY slot <= {limit})",
+        f"{p}used AS (SELECT user_id, shown_source, count(*) AS u FROM {p}capped GROUP BY ALL)",
+        f"{p}have AS (SELECT user_id, count(*) AS h FROM {p}capped GROUP BY 1)",
+        f"""{p}spare AS (SELECT s.*, coalesce(u, 0) + row_number() OVER (PARTITION BY s.user_id, s.shown_source ORDER BY rank_score DESC, article_id) > 2 AS second
+  FROM {cand} s LEFT JOIN {p}used x ON x.user_id = s.user_id AND x.shown_source = s.shown_source WHERE user_score < min_score)""",
+        f"""{p}fill AS (SELECT s.user_id, article_id, coalesce(h, 0) + row_number() OVER (PARTITION BY s.user_id ORDER BY second, rank_score DESC, article_id) AS slot FROM {p}spare s LEFT JOIN {p}have n ON n.user_id = s.user_id
+  QUALIFY slot <= {min(limit, 20)})""",
+        f"{p}chosen AS (SELECT user_id, article_id, slot FROM {p}capped UNION ALL SELECT user_id, article_id, slot FROM {p}fill)",
+    ]
+
+
+@query(
+    "k06_mmr",
+    recursive("scored AS (SELECT label AS user_id, vec_id AS article_id, value / 500 AS rank_score FROM embeddings JOIN events ON event_id = vec_id)", *sql_mmr("scored", 30, 60))
+    + "SELECT user_id AS label, article_id, CAST(pick AS INTEGER) AS pick FROM pick",
+)
 def k06(spark, sf):
     rows = D.vectors(spark, sf).join(table(spark, sf, "events").select(c("event_id").alias("article_id"), "value"), "article_id").select("label", "article_id", (c("value") / 500).alias("score"))
     return mmr(rows, D.vectors(spark, sf), ["label"], "article_id", "score", 30)
@@ -305,7 +354,17 @@ def q01_candidates(spark, sf):
     return rows.select("article_id", "user_score", "rank_score", "shown_score")
 
 
-@query("q01_live_feed")
+def sql_cards(base: str, half_life: float) -> str:
+    """Scored rows with their card fields, for the default reader."""
+    return f"""cand AS (SELECT *, round(user_score * pow(2.0, -age_hours / {half_life}), 6) AS rank_score, CAST(round_even(user_score, 0) AS INTEGER) AS shown_score, min_show AS min_score, 0.15 AS serendipity,
+  {SQL_SHOWN_SOURCE} AS shown_source, global_score >= 60 AS urgent FROM (SELECT ctx.*, reader.*, category, {sql_personal(base, 'cov')} AS user_score FROM ctx JOIN categories USING (article_id), reader) t)"""
+
+
+@query(
+    "q01_live_feed",
+    recursive(*_LIVE, _CATEGORY, sql_cards("editorial_rank", 18), *sql_choose("cand", 30, 4, "shown_score >= 75"))
+    + "SELECT slot, article_id, shown_score, category, shown_source, content_type FROM chosen JOIN cand USING (article_id)",
+)
 def q01(spark, sf):
     rows = FD.live_feed(story_rows(spark, sf), cluster_view(spark, sf), D.article_vectors(spark, sf), one_reader(spark), now_of(spark, sf))
     return rows.select("slot", "article_id", "shown_score", "category", "shown_source", "content_type")
@@ -329,13 +388,34 @@ def q02_candidates(spark, sf):
     return rows.select("article_id", "user_score", "rank_score")
 
 
-@query("q02_weekly_top")
+@query(
+    "q02_weekly_top",
+    recursive(*_WEEK, _CATEGORY, sql_cards("editorial_rank", 72), *sql_choose("cand", 20, 3, None))
+    + "SELECT slot, article_id, shown_score, category, shown_source FROM chosen JOIN cand USING (article_id)",
+)
 def q02(spark, sf):
     rows = FD.weekly_top(story_rows(spark, sf), cluster_view(spark, sf), D.article_vectors(spark, sf), one_reader(spark), now_of(spark, sf))
     return rows.select("slot", "article_id", "shown_score", "category", "shown_source")
 
 
-@query("q03_today")
+_TODAY_TABS = {"m": ("base_score >= 2", "min_show", 30), "n": ("base_score >= 2 AND content_type = 'news'", "min_show", 10),
+               "r": ("base_score >= 1 AND content_type = 'research'", "least(min_show, 25.0)", 10), "g": ("base_score >= 1 AND content_type = 'github'", "least(min_show, 25.0)", 10)}
+_TODAY = [
+    *_LIVE[:-2], _LIVE[-2].replace(f"{_BASE} >= 2", f"{_BASE} >= 1"), _LIVE[-1], _CATEGORY, sql_cards("editorial_rank", 18),
+    *[part for t, (where, least, limit) in _TODAY_TABS.items() for part in (
+        f"{t}cand AS (SELECT * REPLACE ({least} AS min_score) FROM cand WHERE {where})", *sql_choose(f"{t}cand", limit, 4, "shown_score >= 75", p=t))],
+    "mixed AS (SELECT x.*, slot, count(*) OVER () AS n, row_number() OVER (PARTITION BY category ORDER BY shown_score DESC, slot) AS rd FROM mchosen JOIN cand x USING (article_id))",
+    f"""spread AS (SELECT article_id, row_number() OVER (ORDER BY CASE WHEN n <= 12 THEN 0 ELSE rd END, CASE WHEN n <= 12 THEN 0 ELSE coalesce(list_position({B.arr(K.CATEGORY_PRIORITY)}, category), 99) END, shown_score DESC, slot) AS place
+  FROM mixed WHERE rd <= 12 QUALIFY place <= 12)""",
+    "lists AS (SELECT article_id, place AS slot, 0 AS list_no FROM spread UNION ALL SELECT article_id, slot, 1 FROM nchosen UNION ALL SELECT article_id, slot, 2 FROM rchosen UNION ALL SELECT article_id, slot, 3 FROM gchosen)",
+    "firsts AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY list_no, slot) = 1)",
+]
+
+
+@query(
+    "q03_today",
+    recursive(*_TODAY) + "SELECT row_number() OVER (ORDER BY list_no, slot) AS place, article_id, category, content_type, shown_score, urgent, list_no FROM firsts JOIN cand USING (article_id)",
+)
 def q03(spark, sf):
     items = FD.today(story_rows(spark, sf), cluster_view(spark, sf), D.article_vectors(spark, sf), one_reader(spark), now_of(spark, sf))
     return items.select("place", "article_id", "category", "content_type", "shown_score", "urgent", "list_no")
@@ -369,7 +449,15 @@ def j11(spark, sf):
     return FD.offers(pool_of(spark, sf), readers_of(spark, sf)).select("user_id", "article_id", "user_score")
 
 
-@query("q04_reader_digests")
+_DIGESTS = [
+    *_POOL,
+    f"""cand AS (SELECT *, min_show AS min_score, 'x' AS shown_source, round_even(user_score / greatest(recency, 0.01) * pow(2.0, -age_hours / CASE WHEN content_type = 'github' THEN 48.0 ELSE {B.lookup(K.HALF_LIFE_HOURS, 'event_type', '18.0')} END), 2) AS rank_score
+  FROM (SELECT *, {sql_personal('base_score', 'cov')} AS user_score FROM offers) t)""",
+    *sql_choose("cand", 30, None, "base_score >= 75", pool=300),
+]
+
+
+@query("q04_reader_digests", recursive(*_DIGESTS) + "SELECT c.user_id, c.article_id, a.content_type, slot FROM chosen c JOIN articles a ON a.article_id = c.article_id")
 def q04(spark, sf):
     return FD.reader_digests(pool_of(spark, sf), readers_of(spark, sf), D.article_vectors(spark, sf))
 
@@ -423,7 +511,10 @@ def q08(spark, sf):
     )
 
 
-@query("q09_week_list")
+@query(
+    "q09_week_list",
+    recursive(*_WEEK, _CATEGORY, sql_cards("base_score", 72), *sql_choose("cand", 50, None, "base_score >= 75")) + "SELECT slot, article_id, shown_score, base_score FROM chosen JOIN cand USING (article_id)",
+)
 def q09(spark, sf):
     rows = FD.week_list(story_rows(spark, sf), cluster_view(spark, sf), D.article_vectors(spark, sf), one_reader(spark), now_of(spark, sf))
     return rows.select("slot", "article_id", "shown_score", "base_score")

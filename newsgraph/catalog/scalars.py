@@ -62,7 +62,7 @@ def f02(spark, sf):
     A + "SELECT article_id, sha256(lower(trim(title, chr(32)||chr(9)||chr(10)||chr(13))) || chr(10) || lower(trim(final_url))) AS hash FROM articles",
 )
 def f03(spark, sf):
-    return D.articles(spark, sf).select("article_id", T.canonical_hash(c("title"), c("final_url")).alias("hash"))
+    return D.articles(spark, sf, text="title").select("article_id", T.canonical_hash(c("title"), c("final_url")).alias("hash"))
 
 
 _PAIRS = (
@@ -145,7 +145,7 @@ _SQL_EVENT = "CASE WHEN source_kind = 'arxiv' THEN 'RESEARCH_PAPER' WHEN source_
 
 @query("f08_event_type", A + f"SELECT article_id, {_SQL_EVENT} AS event_type FROM articles")
 def f08(spark, sf):
-    return D.articles(spark, sf).select("article_id", FT.event_type(c("title"), c("source_kind")).alias("event_type"))
+    return D.articles(spark, sf, text="title").select("article_id", FT.event_type(c("title"), c("source_kind")).alias("event_type"))
 
 
 def sql_amount(x: str) -> str:
@@ -269,7 +269,7 @@ def f14(spark, sf):
         for bucket, weight in weights.items()
     ]
     anchors = spark.createDataFrame(rows, "topic string, phrase string, bucket int, anchor_weight double")
-    vectors = FT.word_vectors(D.articles(spark, sf), "article_id", "title")
+    vectors = FT.word_vectors(D.articles(spark, sf, text="title"), "article_id", "title")
     return (
         vectors.join(F.broadcast(anchors), "bucket")
         .groupBy("article_id", "topic", "phrase")
@@ -632,9 +632,12 @@ _LINKED = f"({_SITE} <> '' AND (" + " OR ".join(
 ) + "))"
 
 
+SQL_SHOWN_SOURCE = f"(CASE WHEN {_LINKED} THEN {B.lookup(K.HOST_BRANDS, _SITE, _TITLED)} ELSE source_name END)"
+
+
 @query(
     "f29_source_attribution",
-    A + f"SELECT article_id, CASE WHEN {_LINKED} THEN {B.lookup(K.HOST_BRANDS, _SITE, _TITLED)} ELSE source_name END AS source, "
+    A + f"SELECT article_id, {SQL_SHOWN_SOURCE} AS source, "
     f"CASE WHEN {_LINKED} THEN source_name END AS via FROM articles",
 )
 def f29(spark, sf):

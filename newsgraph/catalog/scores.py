@@ -644,7 +644,7 @@ RELEVANCE = [*sql_anchor_sims("articles", "article_id", "title"),
 
 @query("c33_relevance", B.with_(B.ARTICLES, *RELEVANCE) + "SELECT article_id, round(relevance, 6) AS relevance FROM relevance")
 def c33(spark, sf):
-    rows = FT.with_anchor_similarity(D.articles(spark, sf).select("article_id", "title"), c("title"), "sims")
+    rows = FT.with_anchor_similarity(D.articles(spark, sf, text="title").select("article_id", "title"), c("title"), "sims")
     return rows.select("article_id", r6(FT.relevance(c("sims"))).alias("relevance"))
 
 
@@ -653,7 +653,7 @@ SQL_KEYWORD = B.clamp(" + ".join(f"CASE WHEN contains(lower(title), {B.q(p)}) TH
 
 @query("c34_keyword_score", A + f"SELECT article_id, round({SQL_KEYWORD}, 6) AS score FROM articles")
 def c34(spark, sf):
-    return D.articles(spark, sf).select("article_id", r6(S.keyword_score(c("title"))).alias("score"))
+    return D.articles(spark, sf, text="title").select("article_id", r6(S.keyword_score(c("title"))).alias("score"))
 
 
 @query("c35_social_score", A + f"SELECT article_id, round({SQL_SOCIAL}, 6) AS score FROM articles")

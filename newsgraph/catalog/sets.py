@@ -339,7 +339,7 @@ def d10(spark, sf):
     + "SELECT s.cluster_id, coverage, sources, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us, top_article, top_score, md5(title) AS headline_md5 FROM cstats s JOIN articles a ON a.article_id = top_article",
 )
 def a01(spark, sf):
-    return AG.cluster_stats(D.articles(spark, sf)).select(
+    return AG.cluster_stats(D.articles(spark, sf, text="title")).select(
         "cluster_id", c("coverage_count").alias("coverage"), c("sources_count").alias("sources"),
         F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"),
         c("top_article_id").alias("top_article"), c("max_score").alias("top_score"), F.md5("headline").alias("headline_md5"),

@@ -10,22 +10,34 @@ from newsgraph.operators.ranking import top_per_group
 
 
 def mmr(
-    ranked: DataFrame, vectors: DataFrame, groups: list[str], key: str, score: str, limit: int,
+    ranked: DataFrame, vectors: DataFrame | dict, groups: list[str], key: str, score: str, limit: int,
     weight: float = 0.8, pool: int | None = None,
 ) -> DataFrame:
     """Greedy selection, weight * score - (1 - weight) * largest similarity to the chosen ones.
 
     (groups, key, pick).  The pool is the first ``pool`` rows per group by score (2 * limit unless
-    given), so one group is a bounded task; rows without a vector drop out.  Vectors join after the cut.
+    given), so one group is a bounded task; rows without a vector drop out.  Vectors join after the cut;
+    a dict of a bounded number of vectors by key is broadcast instead, and no vector is shuffled.
     """
     size = pool or 2 * limit
     candidates = top_per_group(ranked.select(*groups, key, score), groups, [F.desc(score), F.asc(key)], size)
-    staged = candidates.join(vectors.select(key, "embedding"), key)
+    if isinstance(vectors, dict):
+        shared = ranked.sparkSession.sparkContext.broadcast((
+            {k: i for i, k in enumerate(vectors)}, np.array(list(vectors.values()), dtype=np.float64).reshape(len(vectors), -1)))
+        staged = candidates
+    else:
+        shared = None
+        staged = candidates.join(vectors.select(key, "embedding"), key)
     fields = ", ".join(f"`{n}` {ranked.schema[n].dataType.simpleString()}" for n in groups + [key])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        if shared is not None:
+            pdf = pdf[pdf[key].isin(shared.value[0])]
         pdf = pdf.sort_values([score, key], ascending=[False, True]).reset_index(drop=True)
-        matrix = np.array(pdf["embedding"].tolist(), dtype=np.float64)
+        if shared is not None:
+            matrix = shared.value[1][[shared.value[0][k] for k in pdf[key]]]
+        else:
+            matrix = np.array(pdf["embedding"].tolist(), dtype=np.float64)
         scores = pdf[score].to_numpy(dtype=np.float64)
         left = np.ones(len(pdf), dtype=bool)
         nearest = np.full(len(pdf), -np.inf)

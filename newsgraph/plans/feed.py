@@ -100,7 +100,10 @@ CARD = [
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """Scored rows written once: the selection steps read them several times and need few columns."""
+    """Scored rows written once: the selection steps read them several times and need few columns.
+
+    The scores' expressions are large; from here on plans start at the written rows.
+    """
     return cut_lineage(rows.select(*[n for n in CARD if n in rows.columns]))
 
 
@@ -112,7 +115,8 @@ def choose(
     g, key = ["user_id"], "article_id"
     keep = ["user_id", key, "rank_score", "shown_source", "serendipity"] + ([serendipity_on] if serendipity_on else [])
     good = rows.filter(c("user_score") >= min_score).select(*keep)
-    picked = cut_lineage(mmr(good, vectors, g, key, "rank_score", limit))
+    # a few dozen rows a reader, used twice: kept in memory, computed again if lost
+    picked = mmr(good, vectors, g, key, "rank_score", limit).persist()
     order = picked.select("user_id", key, c("pick").alias("pos"))
     if serendipity_on:
         # Ranks beyond MMR's picks; the quota never exceeds the selection itself.
@@ -129,7 +133,7 @@ def choose(
         final = R.Window.partitionBy("user_id").orderBy("pos")
         return named.withColumn("slot", F.row_number().over(final)).filter(c("slot") <= limit).select("user_id", key, "slot")
     # At most ``limit`` rows per reader from here on.
-    capped = cut_lineage(R.soft_cap(named, g, "shown_source", "pos", cap, limit).select("user_id", key, "slot", "shown_source"))
+    capped = R.soft_cap(named, g, "shown_source", "pos", cap, limit).select("user_id", key, "slot", "shown_source").persist()
     if not fill:
         return capped.select("user_id", key, "slot")
     low = rows.filter(c("user_score") < min_score).select("user_id", key, "rank_score", "shown_source")
@@ -270,8 +274,10 @@ def reader_digests(pool: DataFrame, readers: DataFrame, vectors: DataFrame, limi
     """Digest ids of every reader: (user_id, article_id, content_type, slot)."""
     g, key = ["user_id"], "article_id"
     rows = cut_lineage(offers(pool, readers).select("user_id", key, "rank_score", "base_score", "serendipity", "content_type"))
-    held = vectors.join(F.broadcast(pool.select(key)), key, "left_semi")
-    picks = cut_lineage(mmr(rows, F.broadcast(held), g, key, "rank_score", limit, pool=POOL))
+    # The pool's vectors (at most POOL) go to the tasks once; the shuffle to the readers carries ids and scores.
+    held = vectors.join(F.broadcast(pool.select(key)), key, "left_semi").select(key, "embedding").limit(POOL).collect()
+    matrix = {r[0]: r[1] for r in held}
+    picks = mmr(rows, matrix, g, key, "rank_score", limit, pool=POOL).persist()
     order = picks.select("user_id", key, c("pick").alias("pos"))
     ranked = rows.withColumn("_ord", F.struct((-c("rank_score")).alias("a"), c(key).alias("b")))
     extra = R.serendipity(ranked, order, g, key, "serendipity", c("base_score") >= 75, "_ord", limit)
