@@ -9,8 +9,8 @@ from newsgraph.llm.common import read
 from newsgraph.session import shared_folder
 
 
-#: A document in which no language holds this share is no running text of one.
-LANGUAGE_SHARE = 0.5
+#: A document in which no language holds this share has no language; text that mixes two keeps the larger one.
+LANGUAGE_SHARE = 1 / 3
 
 
 def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -24,7 +24,7 @@ def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with a language: texts without a letter go, and those that no language holds half of."""
+    """Documents with a language: texts without a letter go, and those in which no language holds a third."""
     names = docs.columns
     field = language.learn(docs, language.trainable())
     rows = docs.withColumnsRenamed({c: f"__doc_{c}" for c in names})

@@ -70,7 +70,7 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, rounds: in
     A document is toxic unless all its sentences are clean: P = 1 - prod(1 - p), p the logistic of the summed weights.
     The gradient of -log P falls on the sentences of large p, which is how sentences are told apart without labels.
     Only features that toxic documents hold more often than chance take part, and no weight is negative: a sentence is
-    toxic for what it says, and no clean words beside it make up for that.
+    toxic for what it says, and no clean words beside it make up for that.  A word counts once in a sentence.
     """
     if len(set(labels.tolist())) < 2:
         return None
@@ -86,14 +86,17 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, rounds: in
     # held features by sentence; sentences by text
     where, feature, text = [], [], []
     for k, one in enumerate(texts):
-        fresh = True
+        said = None
         for word in split(lowered(pa.array([one]))):
             if word in _MARKS:
-                fresh = True
+                said = None
                 continue
-            if fresh:
+            if said is None:
                 text.append(k)
-                fresh = False
+                said = set()
+            if word in said:
+                continue
+            said.add(word)
             found = [f for f in features(word) if held[f]]
             feature += found
             where += [len(text) - 1] * len(found)
@@ -177,7 +180,13 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "te
             values = np.fromiter(map(sums.__getitem__, words), np.float64, len(words))
             marks = np.where(values == -np.inf, 2, np.where(values == np.inf, 1, 0))
             sentence, owner = sentences(marks)
-            s = np.clip(bias + np.bincount(sentence, weights=values[marks == 0], minlength=len(owner)), -60, 60)
+            own = values[marks == 0]
+            told = np.flatnonzero(own > 0)  # few words; repeated in a sentence, one counts once by its value
+            told = told[np.lexsort((own[told], sentence[told]))]
+            once = np.ones(len(told), bool)
+            once[1:] = (own[told][1:] != own[told][:-1]) | (sentence[told][1:] != sentence[told][:-1])
+            told = told[once]
+            s = np.clip(bias + np.bincount(sentence[told], weights=own[told], minlength=len(owner)), -60, 60)
             clean = np.bincount(owner, weights=np.logaddexp(0, s), minlength=len(texts))
             scores = -np.expm1(-clean)
             if bias == -np.inf:
