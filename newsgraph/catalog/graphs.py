@@ -45,13 +45,55 @@ def labelled_vectors(spark, sf):
     )
 
 
-@query("k01_ordered_clusters")
+_LABELLED = f"""base AS (SELECT label, arg_min(embedding, vec_id) AS b FROM embeddings GROUP BY 1),
+pulled AS (SELECT vec_id AS id, epoch_us(ts) AS t, list_transform(list_zip(embedding, b), lambda z: z[1]::DOUBLE * 0.45 + z[2]::DOUBLE) AS p
+  FROM embeddings JOIN base USING (label) JOIN events ON event_id = vec_id),
+queue AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t, id) AS i, id, t, list_transform(p, lambda c: c / sqrt({sql_dot('p', 'p')})) AS x FROM pulled)"""
+
+
+def sql_leaders(threshold: float, unit_centroid: bool, lookback_us: int | None, name: str) -> str:
+    """Items one by one against the clusters so far, kept as lists: ``{name}(i, id, cluster, similarity)``."""
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+    sim = dot("k.v", "x") if unit_centroid else f"(CASE WHEN {dot('k.v', 'k.v')} > 0 THEN {dot('k.v', 'x')} / sqrt({dot('k.v', 'k.v')}) ELSE 0 END)"
+    sim = f"round({sim}, 9)"
+    if lookback_us is not None:
+        sim = f"CASE WHEN k.seen >= t - {lookback_us} THEN {sim} ELSE -2.0 END"
+    moved = "list_transform(list_zip(held[best].v, x), lambda z: (z[1] * held[best].n + z[2]) / (held[best].n + 1))"
+    place = f"list_transform(moved, lambda c: c / sqrt({dot('moved', 'moved')}))" if unit_centroid else "moved"
+    return f"""{name}_run(i, id, cluster, similarity, held) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, CAST([] AS STRUCT(name BIGINT, v DOUBLE[], n BIGINT, seen BIGINT)[])
+  UNION ALL
+  SELECT i, id, CASE WHEN hit THEN held[best].name ELSE id END, CASE WHEN hit THEN top ELSE 1.0 END,
+    CASE WHEN hit THEN list_transform(held, lambda k, j: CASE WHEN j = best THEN struct_pack(name := k.name, v := {place}, n := k.n + 1, seen := greatest(k.seen, t)) ELSE k END)
+         ELSE list_append(held, struct_pack(name := id, v := x, n := 1::BIGINT, seen := t)) END
+  FROM (SELECT *, CASE WHEN hit THEN {moved} END AS moved FROM (SELECT *, coalesce(top >= {threshold}, false) AS hit, list_position(sims, top) AS best FROM (SELECT *, list_max(sims) AS top
+    FROM (SELECT q.i, q.id, q.t, q.x, r.held, list_transform(r.held, lambda k: {sim}) AS sims FROM {name}_run r JOIN queue q ON q.i = r.i + 1) a) b) c) d),
+{name} AS (SELECT i, id, cluster, similarity FROM {name}_run WHERE i > 0)"""
+
+
+def recursive(*parts: str) -> str:
+    return B.with_(*parts).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(
+    "k01_ordered_clusters",
+    recursive(_LABELLED, sql_leaders(0.86, True, CL.WEEK_US, "lead")) + "SELECT id AS article_id, cluster, round(similarity, 6) AS similarity FROM lead",
+)
 def k01(spark, sf):
     found = CL.ordered_clusters(labelled_vectors(spark, sf), "article_id", "vec", "time_us", 0.86)
     return found.select("article_id", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
-@query("k02_threshold_sweep")
+def _sweep(threshold: float) -> str:
+    name = f"s{round(threshold * 100)}"
+    return f"""SELECT {threshold} AS threshold, count(*) AS clusters, round(avg(n), 6) AS mean_size, count(*) FILTER (n = 1) AS singletons,
+ round(count(*) FILTER (n = 1) / greatest(count(*), 1), 6) AS fragmentation FROM (SELECT cluster, count(*) AS n FROM {name} GROUP BY 1)"""
+
+
+@query(
+    "k02_threshold_sweep",
+    recursive(_LABELLED, *(sql_leaders(t, False, None, f"s{round(t * 100)}") for t in (0.78, 0.82, 0.86))) + " UNION ALL ".join(map(_sweep, (0.78, 0.82, 0.86))),
+)
 def k02(spark, sf):
     report = CL.threshold_sweep(labelled_vectors(spark, sf), "article_id", "vec", "time_us", [0.78, 0.82, 0.86])
     return report.select("threshold", "clusters", F.round("mean_size", 6).alias("mean_size"), "singletons", F.round("fragmentation", 6).alias("fragmentation"))

@@ -505,7 +505,15 @@ def f23(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.round(T.extraction_quality(text, c("html")), 6).alias("quality"))
 
 
-@query("f24_page_text")
+_PARAGRAPHS = f"""scoped AS (SELECT page_id, html AS page, CASE WHEN b <> '' THEN b ELSE html END AS scope FROM (SELECT *, regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1) AS b FROM pages) t),
+cut AS (SELECT page_id, page, array_to_string(list_transform(list_filter(string_split(regexp_replace(scope, '(?i)<(/?)(p|h1|h2|h3|li)\\b[^>]*>', chr(1) || '\\1' || chr(2), 'g'), chr(1))[2:],
+  lambda x: starts_with(x, chr(2))), lambda x: substr(x, 2)), chr(10) || '<br>' || chr(10)) AS html FROM scoped),
+first AS (SELECT page_id, page, {sql_ws(_PLAIN)} AS joined FROM cut),
+whole AS (SELECT page_id, html, {sql_ws(_PLAIN)} AS plain FROM pages),
+texts AS (SELECT w.page_id, html, CASE WHEN joined <> '' THEN joined ELSE plain END AS t FROM first f JOIN whole w ON w.page_id = f.page_id)"""
+
+
+@query("f24_page_text", B.with_(_PARAGRAPHS) + f"SELECT page_id, t AS text, {_QUALITY.format(t='t')} AS quality FROM texts")
 def f24(spark, sf):
     text = T.page_text(c("html"))
     return (

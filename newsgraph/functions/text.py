@@ -131,7 +131,10 @@ def page_text(html: Column) -> Column:
     """Paragraph text of the article block, else of all paragraphs, else of the whole page."""
     block = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
     scope = F.when(block != "", block).otherwise(html)
-    paragraphs = F.regexp_extract_all(scope, F.lit(r"(?is)<(?:p|h1|h2|h3|li)\b[^>]*>(.*?)(?=</?(?:p|h1|h2|h3|li)\b|$)"), 1)
+    # Cut at the tags of paragraphs: what follows an opening one, up to the next tag of either kind, is a paragraph.
+    parts = F.split(F.regexp_replace(scope, r"(?i)<(/?)(p|h1|h2|h3|li)\b[^>]*>", "\u0001$1\u0002"), "\u0001")
+    opened = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.startswith(x, F.lit("\u0002")))
+    paragraphs = F.transform(opened, lambda x: F.substr(x, F.lit(2)))
     joined = collapse_ws(strip_html(F.array_join(paragraphs, "\n<br>\n")))
     return F.when(joined != "", joined).otherwise(collapse_ws(strip_html(html)))
 
