@@ -481,12 +481,39 @@ def q05(spark, sf):
     return FD.urgent_list(story_rows(spark, sf), cluster_view(spark, sf), reader, now_of(spark, sf), 72).select("article_id", "user_score", "pos")
 
 
+def view_of(spark, sf):
+    from newsgraph.catalog.graphs import graph_articles, graph_nodes, verdict_rows
+    from newsgraph.plans.graph_view import graph_view
+
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["other"], x["edge_type"], F.round(x["score"] * 1000000).cast("bigint").cast("string"))), "|")
+    view = graph_view(graph_nodes(spark, sf), verdict_rows, graph_articles(spark, sf))
+    return view.withColumns({"links": links, "articles": F.array_join(c("articles").cast("array<string>"), ",")})
+
+
 @query("q06_graph_view")
 def q06(spark, sf):
-    from newsgraph.catalog.graphs import graph_nodes, verdict_rows
-    from newsgraph.plans.graph_view import graph_view
+    """The whole response; positions come from a decomposition that SQL lacks, all other columns stand in q06_graph_nodes."""
+    return view_of(spark, sf)
+
+
+def _sql_view() -> str:
+    from newsgraph.catalog import graphs as GR
+
+    return B.with_(*GR.EDGES, GR._VERD, GR._FUSED, GR._IMPORTANCE) + f""", ftop AS ({GR._FUSED_TOP}),
+ ends AS (SELECT graph_id, source AS node, target AS other, edge_type, score FROM ftop UNION ALL SELECT graph_id, target, source, edge_type, score FROM ftop),
+ linked AS (SELECT graph_id, node, count(*) AS edges, max(score) AS best_edge,
+   string_agg(other || ':' || edge_type || ':' || CAST(round(score * 1000000) AS BIGINT), '|' ORDER BY score DESC, other) AS links FROM ends GROUP BY ALL),
+ keys AS (SELECT graph_id, sha256(string_agg(cluster_id, ',' ORDER BY cluster_id)) AS set_key FROM nodes GROUP BY 1),
+ best AS (SELECT cluster_id, string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY pos) AS articles FROM (SELECT cluster_id, article_id, row_number() OVER (PARTITION BY cluster_id ORDER BY global_score DESC, article_id) AS pos
+   FROM members QUALIFY pos <= 6) t GROUP BY 1)
+SELECT i.graph_id, i.cluster_id, coverage AS coverage_count, sources AS sources_count, top_score AS max_score, round(age_hours, 6) AS age_hours, dominant_topic, dominant_event_type, pulsing,
+ coalesce((SELECT string_agg(entity, '|' ORDER BY pos) FROM cents x WHERE x.cluster_id = i.cluster_id), '') AS entities, round(importance, 6) AS importance, coalesce(edges, 0) AS edges, best_edge, links, articles, set_key
+FROM imp i JOIN keys k ON k.graph_id = i.graph_id LEFT JOIN linked l ON l.graph_id = i.graph_id AND l.node = i.cluster_id LEFT JOIN best b ON b.cluster_id = i.cluster_id"""
+
 
-    return graph_view(graph_nodes(spark, sf), verdict_rows)
+@query("q06_graph_nodes", _sql_view())
+def q06_nodes(spark, sf):
+    return view_of(spark, sf).drop("x", "y")
 
 
 @query("q07_scoring_pass")
