@@ -340,6 +340,26 @@ def t01(spark, sf):
     return ST.drain_append(stream.select("event_id", F.round(rank, 6).alias("rank")), ST.work_folder(spark))
 
 
+def _sql_stream_feed() -> str:
+    from newsgraph.catalog import feeds as FE
+    from newsgraph.catalog.scalars import _CATEGORY
+
+    return FE.B.with_(*FE._LIVE, _CATEGORY, FE.sql_cards("editorial_rank", 18)) + (
+        "SELECT article_id, title, category, shown_source, user_score, rank_score, shown_score FROM cand JOIN articles USING (article_id, title) WHERE user_score >= min_score")
+
+
+@query("t01_article_stream", _sql_stream_feed())
+def t01_stream(spark, sf):
+    """Documents as they land, scored as the live feed scores them: evergreen filter, event time, reader score, threshold, category."""
+    from newsgraph.catalog import feeds as FE
+    from newsgraph.plans import feed as FD
+
+    landed = ST.read_landing(spark, sf, "documents")
+    rows = D.articles(spark, sf, text="title", docs=landed).withColumn("urgent", c("global_score") >= 60)
+    items = FD.stream_items(rows, FE.cluster_view(spark, sf), FE.one_reader(spark), now_of(spark, sf))
+    return ST.drain_append(items.select("article_id", "title", "category", "shown_source", "user_score", "rank_score", "shown_score"), ST.work_folder(spark))
+
+
 @query("t02_lateness", f"SELECT event_id, event_type FROM events WHERE ts >= {NOW} - INTERVAL 168 HOUR")
 def t02(spark, sf):
     stream = ST.within_lateness(ST.read_landing(spark, sf, "events"), now_of(spark, sf))
@@ -365,6 +385,13 @@ def t05(spark, sf):
     return ST.alert_once(stream, ST.work_folder(spark), "user_id", c("value") >= 100, ["user_id", "event_id", "sent"])
 
 
+@query("t05_new_cluster_alerts", "SELECT user_id AS cluster_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def t05_new(spark, sf):
+    """A cluster is announced with its first item (coverage 1), once."""
+    stream = ST.read_landing(spark, sf, "events").withColumn("cluster_id", c("user_id"))
+    return ST.alert_once(stream, ST.work_folder(spark), "cluster_id", F.lit(True), ["cluster_id", "event_id"])
+
+
 _BUCKET = "SELECT epoch_us({b}) // 1000000 AS bucket, count(*) AS requests, sum(CAST(round(value * 100) AS BIGINT)) AS bytes FROM events GROUP BY 1"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsgraph import constants as K
 from newsgraph.catalog import sqlbase as B
-from newsgraph.catalog.scalars import SQL_EVENT_TIME, sql_anchor_sims, sql_ws  # noqa: F401
+from newsgraph.catalog.scalars import SQL_EVENT_TIME, sql_anchor_sims, sql_fresh, sql_ws  # noqa: F401
 from newsgraph.functions import features as FT, maps, scoring as S, text as T, trust as TR, urls as U
 from newsgraph.operators import people
 from newsgraph.sources import standin as D
@@ -613,7 +613,7 @@ def sql_personal(base: str, coverage: str) -> str:
 _FOLLOWED = f"""pairs AS (SELECT r.*, a.*, d.* EXCLUDE (article_id), {SQL_SOCIAL} AS social, {B.official('final_url')} AS off, coalesce(final_score, global_score) AS base_score,
   (SELECT max(weight) FROM entity_rows x WHERE x.article_id = a.article_id AND x.entity = r.w_entity) AS me,
   (SELECT max(weight) FROM topic_rows x WHERE x.article_id = a.article_id AND x.topic = r.w_topic) AS mt
-  FROM readers r JOIN articles a ON a.source_name = r.w_source JOIN domain d USING (article_id))"""
+  FROM readers r JOIN articles a ON a.source_name = r.w_source JOIN domain d USING (article_id) WHERE {sql_fresh(NOW + ' - INTERVAL 168 HOUR')})"""
 
 
 @query(
@@ -624,8 +624,11 @@ _FOLLOWED = f"""pairs AS (SELECT r.*, a.*, d.* EXCLUDE (article_id), {SQL_SOCIAL
 def c32(spark, sf):
     readers = people.with_weights(D.readers(spark, sf), D.reader_weights(spark, sf))
     followed = D.reader_weights(spark, sf)["source"].select("user_id", c("key").alias("source_name"))
+    # A reader is scored against the last week of the followed source only.
+    cutoff = F.lit(as_of(spark, sf)) - F.expr("INTERVAL 168 HOURS")
     rows = (
         D.articles(spark, sf, text=False)
+        .filter(S.is_fresh(c("source_kind"), c("published_at"), c("fetched_at"), cutoff))
         .withColumn("social", S.social_score(c("hn_points"), c("reddit_upvotes"), c("github_stars")))
         .withColumn("base_score", F.coalesce("final_score", "global_score"))
         .join(followed, "source_name")

@@ -149,15 +149,16 @@ def words(text: Column) -> Column:
 
 
 def word_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Sparse unit vectors, one row per (key, bucket).  Counts combine before the shuffle on the key."""
+    """Sparse unit vectors, one row per (key, bucket).
+
+    Words become buckets before anything is shuffled, so the exchange carries at most DIMENSIONS counts of a key.
+    """
     counts = (
         df.select(key, explode_once(words(F.col(text))).alias("word"))
         .filter("word is not null")
-        .groupBy(key, "word")
-        .agg(F.count("*").alias("n"))
-        .select(key, word_bucket(F.col("word")).alias("bucket"), "n")
+        .select(key, word_bucket(F.col("word")).alias("bucket"))
         .groupBy(key, "bucket")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count("*").alias("n"))
     )
     # A key has at most DIMENSIONS buckets, so its window is small.
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))

@@ -56,18 +56,25 @@ def cluster_confirmation(rows: DataFrame) -> DataFrame:
 
 
 def with_cluster_trust(articles: DataFrame, as_of: Column) -> DataFrame:
-    """Five-part trust score and label of every clustered article."""
+    """Five-part trust score and label of every clustered article, without its text.
+
+    What the text says is read once in its own row; no aggregate and no join carries it.
+    """
     c = F.col
     rows = articles.filter(c("cluster_id").isNotNull()).withColumn(
         "primary_entity", F.try_element_at(maps.ranked_entries(c("entities")), F.lit(1))["name"]
     )
     flags = TR.confirmation_flags(c("text"), c("final_url"), c("primary_entity"))
+    rows = rows.withColumns({
+        **{f"_is_{n}": v for n, v in flags.items()}, "_contradictory": TR.is_contradictory(c("text")), "claims": TR.claim_quality(c("text")),
+        "_primary": TR.has_primary_document(c("text"), c("final_url")),
+    }).drop("text", "title")
     sources = rows.groupBy("cluster_id", "source_name").agg(F.count("*").alias("_n")).groupBy("cluster_id").agg(
         F.count("*").alias("independent")
     )
     grouped = rows.groupBy("cluster_id").agg(
-        *[F.bool_or(v).alias(f"_{n}") for n, v in flags.items()],
-        F.bool_or(TR.is_contradictory(c("text"))).alias("contradictory"),
+        *[F.bool_or(f"_is_{n}").alias(f"_{n}") for n in flags],
+        F.bool_or("_contradictory").alias("contradictory"),
         F.avg("authority").alias("avg_authority"),
         F.min("created_at").alias("first_report"),
     )
@@ -78,13 +85,13 @@ def with_cluster_trust(articles: DataFrame, as_of: Column) -> DataFrame:
         .withColumn("first_hours", hours)
         .drop("_official", "_entity", "_unattributed")
     )
-    joined = rows.join(facts, "cluster_id").withColumn("claims", TR.claim_quality(c("text")))
+    joined = rows.drop(*(f"_is_{n}" for n in flags), "_contradictory").join(facts, "cluster_id")
     scored = joined.withColumn(
         "trust",
         TR.trust_score(
             TR.corroboration_trust(c("independent"), c("avg_authority")), c("confirmation.score"),
             TR.source_trust(c("authority"), F.lit(False)), c("claims.quality"),
-            TR.has_primary_document(c("text"), c("final_url")), c("event_type"), c("first_hours"),
+            c("_primary"), c("event_type"), c("first_hours"),
         ),
     )
     label = TR.trust_label(c("trust"), c("confirmation.level"), c("independent"), c("first_hours"), c("contradictory"))

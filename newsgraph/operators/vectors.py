@@ -18,6 +18,7 @@ from newsgraph.operators.ranking import top_per_group
 from newsgraph.session import cut_lineage
 
 PIVOTS = 64
+MOST_PIVOTS = 4_096
 CHUNK = 2048
 SLACK = 1e-5
 
@@ -31,8 +32,12 @@ def stack(column: pd.Series) -> np.ndarray:
     return unit(np.array(column.tolist(), dtype=np.float64)) if len(column) else np.zeros((0, 1))
 
 
-def choose_pivots(df: DataFrame, vec: str, count: int = PIVOTS) -> np.ndarray:
-    """A bounded sample of the vectors themselves, picked by hash: at most ``count`` rows reach the driver."""
+def choose_pivots(df: DataFrame, vec: str, count: int | None = None) -> np.ndarray:
+    """A sample of the vectors themselves, picked by hash: as many as the root of their number (PIVOTS to MOST_PIVOTS).
+
+    A cell then holds about the root of the number too, whatever the number.
+    """
+    count = count or min(MOST_PIVOTS, max(PIVOTS, int(df.count() ** 0.5)))
     rows = df.select(vec).orderBy(F.xxhash64(vec)).limit(count).collect()
     return unit(np.array([r[0] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
 
@@ -85,7 +90,7 @@ def _blocks(homes: DataFrame, probes: DataFrame, hid: str, pid: str) -> tuple[Da
         .join(spread.groupBy("cell").agg(F.count("*").alias("_p")), "cell")
         .select("cell", F.ceil(F.col("_h") / CHUNK).cast("int").alias("hn"), F.ceil(F.col("_p") / CHUNK).cast("int").alias("pn"))
     )
-    sizes = F.broadcast(sizes)  # one row per pivot, at most PIVOTS
+    sizes = F.broadcast(sizes)  # one row per pivot, at most MOST_PIVOTS
     chunk = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = resting.join(sizes, "cell").withColumn("hc", chunk(hid, "hn")).withColumn("pc", every("pn"))
@@ -95,7 +100,7 @@ def _blocks(homes: DataFrame, probes: DataFrame, hid: str, pid: str) -> tuple[Da
 
 def nearest(
     probes: DataFrame, homes: DataFrame, pid: str, hid: str, vec: str, k: int, at_least: float | None = None,
-    count: int = PIVOTS, same: bool = False,
+    count: int | None = None, same: bool = False,
 ) -> DataFrame:
     """Exact k most similar ``homes`` per probe: (pid, hid, similarity, rank).  Ties go to the smaller id.
 

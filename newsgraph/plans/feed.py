@@ -156,12 +156,12 @@ def live_scores(articles: DataFrame, clusters: DataFrame, reader: Row, as_of: Co
     return settled(with_card(scored(rows, "editorial_rank", 18.0)))
 
 
-def tab_of(rows: DataFrame, content: str | None) -> DataFrame:
-    """Rows of one tab with the tab's score floor and threshold."""
+def tab_of(rows: DataFrame, content: str | None, sample: bool = False) -> DataFrame:
+    """Rows of one tab with the tab's score floor and threshold.  ``sample`` keeps the sample feed beside others."""
     quiet = content is not None and content != "news"
     kept = rows.filter(c("base_score") >= _floor(content))
     kept = kept.filter(c("content_type") == content) if content else kept
-    kept = hide_sample(kept, "source_name", SAMPLE_FEED)
+    kept = kept if sample else hide_sample(kept, "source_name", SAMPLE_FEED)
     return kept.withColumn("min_score", F.least("min_show_score", F.lit(25.0)) if quiet else c("min_show_score"))
 
 
@@ -172,6 +172,16 @@ def live_candidates(
     return tab_of(live_scores(articles, clusters, reader, as_of, hours, _floor(content)), content)
 
 
+def stream_items(articles: DataFrame, clusters: DataFrame, reader: Row, as_of: Column, hours: int = 24, content: str | None = None) -> DataFrame:
+    """New articles of a stream scored as in the live feed, those over the reader's threshold, with their card fields.
+
+    Every step is a map or a join with a table, so a stream of articles stays a stream without state.
+    """
+    rows = with_reader(with_context(fresh_rows(articles, as_of, hours, _floor(content)), clusters, as_of, hours), reader)
+    kept = tab_of(with_card(scored(rows, "editorial_rank", 18.0)), content, sample=True)
+    return kept.filter(c("user_score") >= c("min_score"))
+
+
 def _picked(rows: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     picks = choose(rows, vectors, limit, 4, c("min_score"), "shown_score")
     return rows.join(F.broadcast(picks), ["user_id", "article_id"])

@@ -123,13 +123,13 @@ def article_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def articles(spark: SparkSession, folder: str, text: bool | str = True) -> DataFrame:
+def articles(spark: SparkSession, folder: str, text: bool | str = True, docs: DataFrame | None = None) -> DataFrame:
     """Article with its raw item, source fields and grouping.
 
-    ``text=False`` leaves title and text out; ``text="title"`` adds the title only, so that no exchange carries a text.
+    ``docs`` may be a stream of documents.  ``text=False`` leaves title and text out; ``text="title"`` adds the title only, so that no exchange carries a text.
     """
     i = F.col("doc_id")
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents") if docs is None else docs
     title, body = title_text(i, F.col("text"))
     long = {False: [], "title": [title.alias("title")], True: [title.alias("title"), body.alias("text")]}[text]
     docs = docs.select("doc_id", "source", *long)
