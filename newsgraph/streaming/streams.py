@@ -20,12 +20,8 @@ LATENESS = "168 hours"
 def read_landing(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
     """Stream over the parquet files of one table in a landing folder."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    # a table is one file or a folder of files; later files land beside or in it
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}*.parquet")
     for field in schema:
         if field.dataType.typeName() == "timestamp_ntz":
             stream = stream.withColumn(field.name, F.col(field.name).cast("timestamp"))
