@@ -50,11 +50,11 @@ def source_entity(source_name: Column, url: Column) -> Column:
     return result
 
 
-def release_assessment(title: Column, text: Column, url: Column, source_name: Column) -> Column:
+def release_assessment(title: Column, text: Column, url: Column, source_name: Column, near_size: int | None = 400, wide_size: int | None = 1200) -> Column:
     """Struct: official, is_release, confidence, artifact_name, source_entity, evidence."""
     filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
-    near = F.concat_ws(" ", filled(title), filled(url), filled(F.substring(F.coalesce(text, F.lit("")), 1, 400)))
-    wide = F.concat_ws(" ", filled(title), filled(F.substring(F.coalesce(text, F.lit("")), 1, 1200)), filled(url))
+    near = F.concat_ws(" ", filled(title), filled(url), filled(T.opening(F.coalesce(text, F.lit("")), near_size)))
+    wide = F.concat_ws(" ", filled(title), filled(T.opening(F.coalesce(text, F.lit("")), wide_size)), filled(url))
     names = [F.nullif(F.regexp_extract(near, p, 1), F.lit("")) for p in K.ARTIFACT_NAME_PATTERNS]
     artifact = F.trim(F.regexp_replace(F.coalesce(*names), r"\s+", " "))
     official = U.is_official(url)
@@ -289,15 +289,15 @@ def static_aliases(spark) -> DataFrame:
 
 # --- the whole feature row --------------------------------------------------------------------
 
-def build_features(items: DataFrame, aliases: DataFrame) -> DataFrame:
+def build_features(items: DataFrame, aliases: DataFrame, mention_size: int | None = 2000, topic_size: int | None = 1000) -> DataFrame:
     """(article_id, event_type, topics, entities, funding_usd) from title and text.
 
     The openings of 1,000 and 2,000 characters are part of the definition of topics and mentions.
     """
     c = F.col
-    opening = F.concat(c("title"), F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, 2000))
+    opening = F.concat(c("title"), F.lit("\n"), T.opening(F.coalesce("text", F.lit("")), mention_size))
     topic_text = F.when(
-        F.coalesce("text", F.lit("")) != "", F.concat(c("title"), F.lit("\n"), F.substring("text", 1, 1000))
+        F.coalesce("text", F.lit("")) != "", F.concat(c("title"), F.lit("\n"), T.opening("text", topic_size))
     ).otherwise(c("title"))
     staged = with_anchor_similarity(items, topic_text, "_sims").select(
         "article_id", opening.alias("_opening"), topic_distribution(c("_sims")).alias("_topics"),

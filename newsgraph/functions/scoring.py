@@ -104,13 +104,13 @@ def funding(amount: Column) -> Column:
     return log_share(amount, 5_000_000_000)
 
 
-def research_rigor(kind: Column, text: Column) -> Column:
-    opening = F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 5000)
+def research_rigor(kind: Column, text: Column, size: int | None = 5000) -> Column:
+    opening = T.opening(F.lower(F.coalesce(text, F.lit(""))), size)
     holds = lambda *p: T.any_match(opening, list(p))
     return (
         F.when(kind == "arxiv", 0.90)
-        .when(holds("arxiv:", r"doi\.org/"), 0.70)
-        .when(holds("we propose", "experiments", "dataset", "ablation"), 0.55)
+        .when(holds(*K.RIGOR_IDENTIFIERS), 0.70)
+        .when(holds(*K.RIGOR_WORDS), 0.55)
         .otherwise(0.35)
     )
 

@@ -11,6 +11,11 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def opening(text: Column, size: int | None) -> Column:
+    """The first ``size`` characters, which many rules are confined to; the whole text for None."""
+    return text if size is None else F.substring(text, 1, size)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Case-insensitive search."""
     return text.rlike("(?i)" + pattern)

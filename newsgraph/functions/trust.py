@@ -20,9 +20,9 @@ def source_trust(authority: Column, primary: Column) -> Column:
     return F.when(primary, F.least(F.lit(1.0), base * 1.15)).otherwise(base)
 
 
-def claim_quality(text: Column) -> Column:
+def claim_quality(text: Column, size: int | None = 5000) -> Column:
     """Struct: quality, hedging, attribution, specificity."""
-    sample = F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 5000)
+    sample = T.opening(F.lower(F.coalesce(text, F.lit(""))), size)
 
     def measure(sentences: Column) -> Column:
         n = F.greatest(F.size(sentences), F.lit(1))
@@ -47,15 +47,15 @@ def claim_quality(text: Column) -> Column:
     return maps.let(maps.let(sentences, measure), judge)
 
 
-def has_primary_document(text: Column, url: Column) -> Column:
+def has_primary_document(text: Column, url: Column, size: int | None = 5000) -> Column:
     both = F.concat(
-        F.substring(F.coalesce(text, F.lit("")), 1, 5000), F.lit(" "), F.coalesce(url, F.lit(""))
+        T.opening(F.coalesce(text, F.lit("")), size), F.lit(" "), F.coalesce(url, F.lit(""))
     )
     return T.any_match(both, K.PRIMARY_DOCS)
 
 
-def is_contradictory(text: Column) -> Column:
-    return F.coalesce(T.matches(F.substring(F.lower(text), 1, 2000), K.CONTRADICTIONS), F.lit(False))
+def is_contradictory(text: Column, size: int | None = 2000) -> Column:
+    return F.coalesce(T.matches(T.opening(F.lower(text), size), K.CONTRADICTIONS), F.lit(False))
 
 
 def confirmation(any_official: Column, any_entity: Column, any_unattributed: Column) -> Column:
@@ -131,10 +131,10 @@ def is_artifact(url: Column) -> Column:
     first = F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
     return (
         F.when(
-            site.isin("github.com", "www.github.com"),
-            (F.size(parts) >= 2) & ~first.isin("topics", "orgs", "explore", "sponsors"),
+            site.isin(K.REPOSITORY_HOSTS),
+            (F.size(parts) >= 2) & ~first.isin(K.REPOSITORY_PAGES),
         )
-        .when(site == "huggingface.co", (F.size(parts) >= 2) & ~first.isin("docs", "blog", "spaces"))
+        .when(site == "huggingface.co", (F.size(parts) >= 2) & ~first.isin(K.MODEL_HUB_PAGES))
         .otherwise(site.isin(K.ARTIFACT_HOSTS))
     )
 
@@ -155,8 +155,8 @@ def freshness_state(age: Column) -> Column:
     return F.when(age < 6, "fresh").when(age < 24, "maturing").otherwise("stable")
 
 
-def update_status(text: Column) -> Column:
-    sample = F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 400)
+def update_status(text: Column, size: int | None = 400) -> Column:
+    sample = T.opening(F.lower(F.coalesce(text, F.lit(""))), size)
     return (
         F.when(T.any_match(sample, K.RETRACTIONS), "retracted")
         .when(T.any_match(sample, K.CORRECTIONS), "corrected")
@@ -164,8 +164,8 @@ def update_status(text: Column) -> Column:
     )
 
 
-def _contains_any(text: Column, patterns: list[str]) -> Column:
-    return T.any_match(F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 5000), patterns)
+def _contains_any(text: Column, patterns: list[str], size: int | None = 5000) -> Column:
+    return T.any_match(T.opening(F.lower(F.coalesce(text, F.lit(""))), size), patterns)
 
 
 def verification_signals(mode: Column, url: Column, text: Column, kind: Column, authority: Column, independent: Column) -> Column:
@@ -180,7 +180,7 @@ def verification_signals(mode: Column, url: Column, text: Column, kind: Column,
     research, news = preprint | published, mode == "reported_news"
     community = ~(artifact | statement | research | news)
     integrity = F.when(
-        F.contains(U.path(url), F.lit("/releases")) | site.isin("pypi.org", "npmjs.com", "crates.io"), 0.85
+        F.contains(U.path(url), F.lit("/releases")) | site.isin(K.PACKAGE_HOSTS), 0.85
     ).otherwise(0.68)
     integrity = F.when(site == "huggingface.co", F.greatest(integrity, F.lit(0.75))).otherwise(integrity)
     return F.struct(
@@ -277,7 +277,7 @@ def label_for_state(state: Column, confidence: Column) -> Column:
     )
 
 
-def trust_components(mode: Column, state: Column, parts: Column, text: Column) -> Column:
+def trust_components(mode: Column, state: Column, parts: Column, text: Column, size: int | None = 5000) -> Column:
     """Struct of display components derived from the verification result."""
     level = (
         F.when(state == "official_statement", "official")
@@ -285,7 +285,7 @@ def trust_components(mode: Column, state: Column, parts: Column, text: Column) -
         .otherwise("rumor")
     )
     tenth = lambda c: maps.round_half_even(maps.round_half_even(c * 100.0, 1), 1)
-    sample = F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 5000)
+    sample = T.opening(F.lower(F.coalesce(text, F.lit(""))), size)
     sentences = F.greatest(
         F.lit(1), F.size(F.filter(F.split(sample, "[.!?]+"), lambda s: F.regexp_replace(s, r"(?U)\s+", "") != ""))
     )
