@@ -243,7 +243,7 @@ def predict(docs: DataFrame, field: Field | None, keep: list[str], text: str = "
 
         return kernel
 
-    return map_texts(docs, make, "lang_pred string, score double, shares map<string, double>", keep, text, most=6 << 20)
+    return map_texts(docs, make, "lang_pred string, score double, shares map<string, double>", keep, text, most=4 << 20)
 
 
 def trainable(key: str = "doc_id", modulus: int = 3, rest: int = 1) -> Column:
