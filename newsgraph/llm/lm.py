@@ -14,8 +14,12 @@ from newsgraph.session import cut_lineage
 
 from .common import LOWER, UPPER, as_bytes, held_out, map_texts, slices
 
-#: Bits of the filter, whatever the corpus: what is broadcast stays at an eighth of that in bytes.
+#: Bits of the filter at least; it grows with the n-grams, none of which is left out.
 FILTER_BITS = 1 << 27
+#: Bits of the largest filter that is broadcast; n-grams of the texts meet the segments of a larger one in a join.
+MOST_BROADCAST = 1 << 29
+#: Bytes of segments, and of texts, that meet in one group of that join, about.
+_PART = 32 << 20
 #: Bits set for each n-gram and level.
 PROBES = 4
 #: Words of a larger share than one in so many are head words: so many at most, broadcast as hash and count (16 bytes).
@@ -107,24 +111,24 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """Bits in segments, one a counting group; the lowest level a group has kept; mean counts by level."""
+    """Bits in segments, one a counting group in their order; where each starts, and the end; mean counts by level."""
 
     bits: np.ndarray
-    groups: int
-    cut: np.ndarray
+    starts: np.ndarray
     mean: np.ndarray
 
     def place(self, h: np.ndarray, level: np.ndarray | int, probe: int) -> tuple[np.ndarray, np.ndarray]:
-        """Byte and bit of a probe."""
-        group = _group(h, self.groups)
-        size = np.uint64(8 * len(self.bits) // self.groups)
+        """Byte and bit of a probe.  The n-grams are of groups with a segment."""
+        group = _group(h, len(self.starts) - 1)
+        start = self.starts[group]
+        size = (8 * (self.starts[group + 1] - start)).astype(np.uint64)
         bit = mix(_rest(h) * np.uint64(0xA0761D6478BD642F) + np.asarray(level).astype(np.uint64) * np.uint64(PROBES) + np.uint64(probe)) % size
-        return group * (len(self.bits) // self.groups) + (bit >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+        return start + (bit >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Mean count of the level found by probing upwards from the group's cut; 0 for an n-gram below it."""
-        level = self.cut[_group(h, self.groups)].astype(np.int64)
-        left = np.arange(len(h))
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The level found by probing upwards; 0 for an n-gram that was not learned."""
+        level = np.ones(len(h), np.int64)
+        left = np.flatnonzero(np.diff(self.starts)[_group(h, len(self.starts) - 1)])
         top = np.zeros(len(h), np.int64)
         while len(left):
             for probe in range(PROBES):
@@ -133,7 +137,23 @@ class Filter:
             left = left[level[left] < len(self.mean) - 1] if len(left) else left
             top[left] = level[left]
             level[left] += 1
-        return self.mean[top]
+        return top
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Mean count of the level found; 0 for an n-gram that was not learned."""
+        return self.mean[self.levels(h)]
+
+
+def assembled(segments: dict[int, bytes], groups: int, mean: np.ndarray) -> Filter:
+    """The filter of some groups' segments."""
+    sizes = np.zeros(groups, np.int64)
+    for g, segment in segments.items():
+        sizes[g] = len(segment)
+    starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    bits = np.zeros(starts[-1], np.uint8)
+    for g, segment in segments.items():
+        bits[starts[g] : starts[g + 1]] = np.frombuffer(segment, np.uint8)
+    return Filter(bits, starts, mean)
 
 
 def _group(h: np.ndarray, groups: int) -> np.ndarray:
@@ -193,18 +213,18 @@ def _blobs(parts, groups: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["grp", "grams", "counts"])
 
 
-def build(docs: DataFrame, tokens_in: int, text: str = "text", bits: int = FILTER_BITS) -> Filter:
-    """The filter over all of ``docs``.  ``tokens_in`` (their tokens) sets how many groups count n-grams side by side.
+def segments(docs: DataFrame, tokens_in: int, text: str = "text", bits: int = FILTER_BITS) -> tuple[DataFrame, int, int, np.ndarray]:
+    """Segments of the filter over all of ``docs`` (``grp``, ``segment``), the groups, bytes in all, and mean counts by level.
 
-    Tasks add up equal n-grams and send packed partial counts to each group, so a frequent n-gram is one entry a task.
-    A group adds these, quantises the counts and fills its own segment of the filter, from the lowest level at which the
-    segment stays at most half full; rarer n-grams are left to the unigram or to the floor.  Only segments and sums by
-    level reach the driver: ``bits`` / 8 bytes and some dozen numbers a group.
+    ``tokens_in`` (their tokens) sets how many groups count n-grams side by side.  Tasks add up equal n-grams and send
+    packed partial counts to each group, so a frequent n-gram is one entry a task.  A group adds these, quantises the
+    counts and fills its own segment, sized to be at most half full with every n-gram at all of its levels, and to its
+    share of ``bits`` at least.  The segments are written to the shared folder; only sums by level reach the driver.
     """
     groups = 16
-    while groups * GROUP < 2 * tokens_in and groups * 512 < bits:
+    while groups * GROUP < 2 * tokens_in:
         groups *= 2
-    size = bits // 8 // groups
+    least = max(1, bits // 8 // groups)
 
     def fill(key, table):
         parts = []
@@ -216,40 +236,116 @@ def build(docs: DataFrame, tokens_in: int, text: str = "text", bits: int = FILTE
         level = levels(n)
         held = np.bincount(level, minlength=65)[:65]
         total = np.bincount(level, weights=n, minlength=65)[:65]
-        above = np.cumsum(held[::-1])[::-1]  # n-grams of a level or a higher one
-        cut, set_bits = 64, 0
-        while cut > 1 and set_bits + PROBES * above[cut - 1] <= 0.69 * 8 * size:
-            cut -= 1
-            set_bits += PROBES * above[cut]
-        own = Filter(np.zeros(size, np.uint8), 1, np.array([cut]), np.zeros(65))
-        for j in range(cut, int(level.max()) + 1):
+        size = max(least, int(np.ceil(PROBES * level.sum() / (0.69 * 8))))
+        own = Filter(np.zeros(size, np.uint8), np.array([0, size]), np.zeros(65))
+        for j in range(1, int(level.max()) + 1):
             some = h[level >= j]
             for probe in range(PROBES):
                 byte, mask = own.place(some, j, probe)
                 np.bitwise_or.at(own.bits, byte, mask)
-        return pa.table({"grp": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([own.bits.tobytes()], pa.binary()), "cut": pa.array([cut], pa.int32()),
+        return pa.table({"grp": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([own.bits.tobytes()], pa.binary()),
                          "held": pa.array([held.tolist()], pa.list_(pa.int64())), "total": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
-    made = counted(docs, groups, text).groupBy("grp").applyInArrow(fill, "grp int, segment binary, cut int, held array<bigint>, total array<double>")
-    all_bits, cuts = np.zeros(size * groups, np.uint8), np.full(groups, 64)
+    made = cut_lineage(counted(docs, groups, text).groupBy("grp").applyInArrow(fill, "grp int, segment binary, held array<bigint>, total array<double>"))
+    size = made.agg(F.coalesce(F.sum(F.octet_length("segment").cast("bigint")), F.lit(0))).first()[0]
     held, total = np.zeros(65), np.zeros(65)
-    for row in made.toLocalIterator():
-        all_bits[row["grp"] * size : (row["grp"] + 1) * size] = np.frombuffer(row["segment"], np.uint8)
-        cuts[row["grp"]] = row["cut"]
-        held += row["held"]
-        total += row["total"]
-    return Filter(all_bits, groups, cuts, np.divide(total, held, out=np.zeros(65), where=held > 0))
+    for row in made.select(F.posexplode(F.arrays_zip("held", "total"))).groupBy("pos").agg(F.sum("col.held").alias("held"), F.sum("col.total").alias("total")).collect():
+        held[row["pos"]], total[row["pos"]] = row["held"], row["total"]
+    return made.select("grp", "segment"), groups, size, np.divide(total, held, out=np.zeros(65), where=held > 0)
+
+
+def build(docs: DataFrame, tokens_in: int, text: str = "text", bits: int = FILTER_BITS) -> Filter:
+    """The filter over all of ``docs``, with the :func:`segments` brought to the driver."""
+    made, groups, _, mean = segments(docs, tokens_in, text, bits)
+    return assembled({r["grp"]: r["segment"] for r in made.toLocalIterator()}, groups, mean)
+
+
+def estimate(c1: np.ndarray, c2: np.ndarray, first: np.ndarray, start: float, add_one: int, bigram: float) -> np.ndarray:
+    """log10 of each token's interpolated estimate, from counts of its unigram and bigram in token order."""
+    c0 = np.where(first, start, np.concatenate((c1[:1], c1[:-1])))
+    p2 = np.minimum(1.0, np.divide(c2, c0, out=np.zeros(len(c0)), where=c0 > 0))
+    return np.log10(bigram * p2 + (1 - bigram) * (c1 + 1) / add_one)
+
+
+def joined_scores(
+    source: DataFrame, made: DataFrame, groups: int, size: int, mean: np.ndarray, ends: int, add_one: int, bigram: float, part: int = _PART,
+) -> DataFrame:
+    """``k``, ``digest`` and ``score`` of the texts ``t``, by a filter too large to broadcast.
+
+    Slices of the texts send their distinct n-grams, packed, to the parts of the filter, and get levels back in the same
+    order; a slice's places of n-grams travel with them.  A part holds about ``part`` bytes of segments.  Many texts meet
+    copies of the parts, as many as keep what meets in one of them near ``part`` bytes of text.
+    """
+    kind = source.schema["k"].dataType.simpleString()
+    read = source.agg(F.coalesce(F.sum(F.octet_length("t").cast("bigint")), F.lit(0))).first()[0]
+    parts = min(groups, -(-size // part))
+    copies = max(1, -(-read // (part * parts)))
+    names = ["slice", "part", "copy", "grams", "keys", "digests", "sizes", "places"]
+    carried = f"keys array<{kind}>, digests binary, sizes binary, places binary"
+
+    def send(batches):
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get(), 0
+        for batch in batches:
+            for some in slices(batch, "t", _SLICE):
+                texts = as_bytes(some.column("t"))
+                _, _, _, hashes, owner = tokens(texts)
+                one, two, _, _ = grams(hashes, owner, len(texts))
+                distinct, places = np.unique(np.concatenate((one, two)), return_inverse=True)
+                to = _group(distinct, groups) * parts // groups
+                order = np.argsort(to, kind="stable")
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order))
+                distinct, edges = distinct[order], np.searchsorted(to[order], np.arange(parts + 1))
+                digests = np.array([xxhash.xxh64_intdigest(t or b"") for t in texts], np.uint64)
+                name, copy = f"{task.partitionId()}:{number}", (task.partitionId() + number) % copies
+                number += 1
+                filled = np.flatnonzero(np.diff(edges))
+                m = len(filled)
+                none = pa.nulls(m, pa.binary())
+                keys = some.column("k")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * m, pa.string()), pa.array(filled, pa.int32()), pa.array([copy] * m, pa.int32()),
+                    pa.array([distinct[edges[g] : edges[g + 1]].tobytes() for g in filled], pa.binary()), pa.nulls(m, pa.list_(keys.type)), none, none, none], names=names)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name]), pa.array([number % parts], pa.int32()), pa.array([copy], pa.int32()), pa.nulls(1, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([digests.tobytes()]),
+                    pa.array([(np.bincount(owner, minlength=len(texts)) + 1).astype(np.int64).tobytes()]), pa.array([rank[places].tobytes()])], names=names)
+
+    def look(key, left, right):
+        f = assembled(dict(zip(right.column("grp").to_pylist(), right.column("segment").to_pylist())), groups, mean)
+        found = [None if g is None else f.levels(np.frombuffer(g, np.uint64)).astype(np.uint8).tobytes() for g in left.column("grams").to_pylist()]
+        return left.drop_columns(["copy", "grams"]).append_column("levels", pa.array(found, pa.binary())).combine_chunks()
+
+    def finish(key, table):
+        rows = table.select(["part", "levels", "digests", "sizes", "places"]).to_pylist()
+        own = next(i for i, r in enumerate(rows) if r["places"] is not None)
+        level = np.frombuffer(b"".join(r["levels"] for r in sorted((r for r in rows if r["levels"] is not None), key=lambda r: r["part"])), np.uint8)
+        sizes, places = np.frombuffer(rows[own]["sizes"], np.int64), np.frombuffer(rows[own]["places"], np.int32)
+        c1, c2 = np.split(mean[level][places], 2)
+        first = np.zeros(len(c1), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        p = estimate(c1, c2, first, mean[levels(np.array([ends]))[0]], add_one, bigram)
+        keys = table.column("keys").combine_chunks().slice(own, 1).flatten()
+        return pa.table({"k": keys, "digest": pa.array(np.frombuffer(rows[own]["digests"], np.int64)),
+                         "score": pa.array(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=p, minlength=len(sizes)))})
+
+    sent = source.mapInArrow(send, f"slice string, part int, copy int, grams binary, {carried}")
+    held = made.select((F.col("grp").cast("bigint") * parts / groups).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "grp", "segment")
+    found = sent.groupBy("part", "copy").cogroup(held.groupBy("part", "copy")).applyInArrow(look, f"slice string, part int, {carried}, levels binary")
+    return found.groupBy("slice").applyInArrow(finish, f"k {kind}, digest bigint, score double")
 
 
 def score(
     docs: DataFrame, learn: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", head: int = HEAD, bits: int = FILTER_BITS,
-    bigram: float = BIGRAM,
+    bigram: float = BIGRAM, most: int = MOST_BROADCAST,
 ) -> DataFrame:
     """Columns ``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of each text of ``docs``.
 
     ``learn`` are the texts learned from.  Tokens are runs without ASCII white space, A-Z in lower case, and one end a
     text.  ``base_score`` sums log10 of add-one unigram estimates from exact counts; ``score`` is log10 of bigram
-    estimates from the filter, interpolated with its unigrams.  Counts of head words (a share over 1 / ``head``, so
+    estimates from the filter, interpolated with its unigrams; one of over ``most`` bits is joined.  Counts of head words (a share over 1 / ``head``, so
     fewer than ``head`` words) are broadcast; the rest of a text's words, once a text, meet the table of counts in a
     join on the word, which no word can dominate.  A null text is empty: one end.  Rows that repeat key and text stay
     separate rows with equal values.  With nothing to learn from all counts are zero.
@@ -272,7 +368,9 @@ def score(
     known = np.array([h for h, _ in top], np.int64).view(np.uint64)
     order = np.argsort(known)
     shared = context.broadcast((known[order], np.array([c for _, c in top], np.int64)[order]))
-    model = context.broadcast(build(learn, n, text, bits))
+    made, groups, size_bytes, mean = segments(learn, n, text, bits)
+    small = 8 * size_bytes <= most
+    model = context.broadcast(assembled({r["grp"]: r["segment"] for r in made.toLocalIterator()}, groups, mean)) if small else None
     logs = np.log10(n + v + 1)
 
     out = "digest bigint, word string, times int, n_tokens bigint, n_known bigint, base double, score double"
@@ -280,9 +378,8 @@ def score(
 
     def run(batches):
         head_hash, head_count = shared.value
-        f: Filter = model.value
+        f = model.value if small else None
         head_log = np.log10(head_count + 1)
-        one_floor = 1 / (n + v + 1)
         for batch in batches:
             for part in slices(batch, "t", _SLICE):
                 texts = as_bytes(part.column("t"))
@@ -297,14 +394,13 @@ def score(
                 n_known = np.bincount(owner[in_head], minlength=size) + (ends > 0)
                 base = np.bincount(owner[in_head], weights=head_log[at[in_head]] if len(head_hash) else None, minlength=size) + np.log10(ends + 1) - n_tokens * logs
                 # the model
-                one, two, whose, first = grams(hashes, owner, size)
-                u, back1 = np.unique(one, return_inverse=True)
-                b, back2 = np.unique(two, return_inverse=True)
-                c1 = f.counts(u)[back1]
-                c0 = np.where(first, f.counts(np.array([START]))[0], np.concatenate((c1[:1], c1[:-1])))
-                p2 = np.minimum(1.0, np.divide(f.counts(b)[back2], c0, out=np.zeros(len(c0)), where=c0 > 0))
-                p = bigram * p2 + (1 - bigram) * np.maximum((c1 + 1) / (n + v + 1), one_floor)
-                scores = np.bincount(whose, weights=np.log10(p), minlength=size)
+                scores = pa.nulls(size, pa.float64())
+                if small:
+                    one, two, whose, first = grams(hashes, owner, size)
+                    u, back1 = np.unique(one, return_inverse=True)
+                    b, back2 = np.unique(two, return_inverse=True)
+                    p = estimate(f.counts(u)[back1], f.counts(b)[back2], first, f.counts(np.array([START]))[0], n + v + 1, bigram)
+                    scores = pa.array(np.bincount(whose, weights=p, minlength=size))
                 # words left to the join, once a text
                 tail = np.flatnonzero(~in_head)
                 tail = tail[np.lexsort((hashes[tail], owner[tail]))]
@@ -318,7 +414,7 @@ def score(
                 # a row a text, under a word that no text holds and that spreads the rows
                 heads = pa.RecordBatch.from_arrays([
                     keys, pa.array(digests), pa.array([f"\n{d}:{i}" for i, d in enumerate(digests)], pa.string()), pa.array(np.ones(size, np.int32)),
-                    pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(scores)], names=names)
+                    pa.array(n_tokens), pa.array(n_known), pa.array(base), scores], names=names)
                 yield heads
                 for i in range(0, len(tail), 1 << 16):
                     some = tail[i : i + (1 << 16)]
@@ -331,6 +427,8 @@ def score(
     source = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = source.schema["k"].dataType.simpleString()
     rows = source.mapInArrow(run, f"k {kind}, {out}").join(rare.withColumnRenamed("c", "c_rare"), "word", "left")
+    if not small:
+        rows = rows.unionByName(joined_scores(source, made, groups, size_bytes, mean, ends, n + v + 1, bigram), allowMissingColumns=True)
     heads = F.col("n_tokens").isNotNull()
     found = rows.groupBy("k", "digest").agg(
         F.sum(F.when(heads, F.lit(1)).otherwise(0)).alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("known"), F.max("base").alias("base"),

@@ -63,6 +63,30 @@ def test_filter_counts(spark, make_docs):
     assert (model.counts(absent) > 0).mean() < 0.1
 
 
+def test_no_learned_gram_is_dropped_from_a_small_filter(spark, make_docs):
+    texts = corpus(3, 300)
+    model = lm.build(make_docs(list(enumerate(texts))), sum(len(t.split()) + 1 for t in texts), bits=1 << 12)
+    _, _, _, hashes, owner = lm.tokens([t.encode() for t in texts])
+    one, two, _, _ = lm.grams(hashes, owner, len(texts))
+    keys = np.unique(np.concatenate((one, two)))
+    assert 8 * len(model.bits) > 1 << 12 and (model.counts(keys) > 0).all()
+
+
+def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(lm, "_SLICE", 2000)
+    texts = corpus(4, 120) + [None, "", "unseen words", corpus(4, 1)[0]]
+    docs = make_docs([*enumerate(texts), (None, "b7"), (None, "b7"), (5, texts[5])]).repartition(3)
+    learn = make_docs(list(enumerate(corpus(4, 80))))
+    # least bits far above need, so that no probe errs and both ways agree
+    got = [sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in found.collect()), key=str) for found in (
+        lm.score(docs, learn, ["doc_id"], bits=1 << 22), lm.score(docs, learn, ["doc_id"], bits=1 << 22, most=0))]
+    assert len(got[0]) == len(texts) + 3 and got[0] == got[1]
+    made, groups, size, mean = lm.segments(learn, 5000, bits=1 << 22)
+    source = docs.selectExpr("doc_id as k", "text as t")
+    parts = [sorted(((r.k, r.digest, round(r.score, 6)) for r in lm.joined_scores(source, made, groups, size, mean, 80, 4000, 0.6, part=p).collect()), key=str) for p in (1, 150, 1 << 30)]
+    assert len(parts[0]) == len(got[0]) and parts[0] == parts[1] == parts[2]
+
+
 def test_model_beats_the_base_on_text_like_the_learned(spark, make_docs):
     phrase = "alpha beta gamma delta epsilon zeta eta theta"
     rows = make_docs([(i, phrase) for i in range(50)] + [(99, phrase), (100, " ".join(reversed(phrase.split())))])
