@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +29,23 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprint(data: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit fingerprint; a bit is set if it is in over half of the shingles' hashes, repeats included."""
+def bit_counts(data: bytes | None, size: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, int]:
+    """How many of the shingles' hashes, repeats included, hold each of 64 bits, and how many shingles there are."""
     words = (data or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(64, np.int64), 0
     heads = [words[i:] for i in range(min(size, len(words)))]
     counts, total = np.zeros(64, np.int64), len(heads[-1])
     shingles, digest = zip(*heads), xxhash.xxh64_intdigest
     for _ in range(0, total, _STEP):
-        h = np.fromiter((digest(b" ".join(s), seed) for s, _i in zip(shingles, range(_STEP))), np.uint64)
+        h = np.fromiter((digest(b" ".join(s), seed) for s in islice(shingles, _STEP)), np.uint64)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return counts, total
+
+
+def fingerprint(data: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64-bit fingerprint; a bit is set if it is in over half of the shingles' hashes, repeats included."""
+    counts, total = bit_counts(data, size, seed)
     return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
 
 

@@ -38,6 +38,15 @@ def test_fingerprint():
         assert simhash.fingerprint(text.encode() if text is not None else None) == plain_fingerprint(text)
 
 
+def test_every_shingle_of_a_long_text_counts():
+    draw = random.Random(3)
+    for size in (32_769, 32_770, 32_771, 70_000):
+        words = [b"w%d" % draw.randrange(50_000) for _ in range(size)]
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(size - 2)]
+        counts, total = simhash.bit_counts(b" ".join(words))
+        assert total == size - 2 and counts.tolist() == [sum(h >> b & 1 for h in hashes) for b in range(64)]
+
+
 def test_spark_hash_is_the_same(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("ein zwei drei"))).first()[0]
     assert got % (1 << 64) == xxhash.xxh64_intdigest("ein zwei drei".encode(), 42)
