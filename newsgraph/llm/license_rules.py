@@ -1,8 +1,9 @@
-"""Signatures of licences, written by hand: label | priority | keyword | pattern.
+"""Signatures of licences, written by hand: label | priority | keywords | pattern.
 
 A pattern is matched on text in ASCII lower case; a space in it stands for any white space, and ``~`` for a short gap
-of white space, punctuation, ``the`` or ``version``.  A rule is tried where its keyword occurs.  Priorities: 95 full text
-or exact identifier, 85 notice, 75 name with version, 60 name, 40 mention, 20 weak hint.
+of white space, punctuation, ``the`` or ``version``.  A rule is tried where one of its keywords
+(between commas; a space is any white space) occurs, so each alternative of its pattern must hold one.  Priorities: 95
+full text or exact identifier, 85 notice, 75 name with version, 60 name, 40 mention, 20 weak hint.
 """
 
 RULES = r"""
@@ -36,7 +37,7 @@ isc | 60 | isc | \bisc licen[sc]e
 bsd-2-clause | 95 | spdx | spdx-license-identifier: \(?bsd-2-clause
 bsd-2-clause | 75 | bsd | bsd[ -](?:2|two)[ -]clause
 bsd-2-clause | 75 | bsd | (?:2|two)[ -]clause bsd
-bsd-2-clause | 75 | bsd | (?:simplified|freebsd) (?:bsd )?licen[sc]e
+bsd-2-clause | 75 | simplified, freebsd | (?:simplified|freebsd) (?:bsd )?licen[sc]e
 bsd-3-clause | 95 | spdx | spdx-license-identifier: \(?bsd-3-clause
 bsd-3-clause | 75 | bsd | bsd[ -](?:3|three)[ -]clause
 bsd-3-clause | 75 | bsd | (?:3|three)[ -]clause bsd
@@ -160,7 +161,7 @@ unlicense | 95 | spdx | spdx-license-identifier: \(?unlicense
 unlicense | 95 | unencumbered | this is free and unencumbered software released into the public domain
 unlicense | 75 | unlicense | \bthe unlicense\b
 unlicense | 75 | unlicense.org | unlicense\.org
-wtfpl | 75 | wtf | \bwtfpl\b|do what the f\S{2,4} you want to public licen[sc]e
+wtfpl | 75 | wtfpl, you want to public | \bwtfpl\b|do what the f\S{2,4} you want to public licen[sc]e
 beerware | 75 | beer | \bbeer-?ware licen[sc]e
 cc0-1.0 | 95 | spdx | spdx-license-identifier: \(?cc0-1\.0
 cc0-1.0 | 85 | publicdomain | creativecommons\.org/publicdomain/zero/1\.0
@@ -203,7 +204,7 @@ cdla-permissive | 75 | community data | community data licen[sc]e agreement.{0,3
 cdla-sharing | 75 | community data | community data licen[sc]e agreement.{0,3}sharing
 ogl-uk-3.0 | 75 | open government | open government licen[sc]e,?~(?:v)?3(?:\.0)?
 ogl-uk | 60 | open government | open government licen[sc]e
-etalab-2.0 | 60 | etalab | licence ouverte|etalab[ -]2\.0
+etalab-2.0 | 60 | licence ouverte, etalab | licence ouverte|etalab[ -]2\.0
 dl-de-by-2.0 | 60 | datenlizenz | datenlizenz deutschland
 nlod | 60 | norwegian | norwegian licen[sc]e for open government data
 ofl-1.1 | 95 | spdx | spdx-license-identifier: \(?ofl-1\.1
@@ -239,7 +240,7 @@ tcl | 60 | tcl | \btcl/tk licen[sc]e
 vim | 60 | vim | \bvim licen[sc]e
 sleepycat | 60 | sleepycat | sleepycat licen[sc]e
 postgresql | 75 | postgresql | postgresql licen[sc]e
-sqlite-blessing | 75 | blessing | may you do good and not evil
+sqlite-blessing | 75 | good and not evil | may you do good and not evil
 curl | 60 | curl | \bcurl licen[sc]e
 openssl | 75 | openssl | \bopenssl licen[sc]e
 openssl | 85 | openssl | this product includes software developed by the openssl project
@@ -277,9 +278,9 @@ reserved | 40 | alle rechte | alle rechte vorbehalten
 reserved | 40 | tous droits | tous droits r[eé]serv[eé]s
 reserved | 40 | derechos | todos los derechos reservados
 proprietary | 75 | confidential | (?:proprietary and confidential|confidential and proprietary)
-proprietary | 75 | unauthorized | unauthori[sz]ed copying of this file
+proprietary | 75 | copying of this file | unauthori[sz]ed copying of this file
 proprietary | 60 | proprietary | proprietary licen[sc]e
-proprietary | 60 | eula | end[ -]user licen[sc]e agreement(?: \(eula\))?|\beula\b
+proprietary | 60 | licence agreement, license agreement, eula | end[ -]user licen[sc]e agreement(?: \(eula\))?|\beula\b
 no-redistribution | 75 | redistribut | (?:may not be|not for) redistribut(?:ed|ion)
 no-redistribution | 75 | prior written | may not be reproduced[^.]{0,80} without (?:the )?(?:express )?prior written
 non-commercial | 60 | commercial | (?:for )?non-?commercial (?:use|purposes) only
@@ -288,7 +289,7 @@ evaluation-only | 60 | evaluation | for evaluation (?:use|purposes) only
 shareware | 40 | shareware | \bthis (?:program|software) is shareware
 freeware | 40 | freeware | \bthis (?:program|software) is freeware
 dual-licence | 40 | dual | dual[ -]licen[sc]ed
-see-licence | 20 | license | see (?:the )?(?:accompanying )?(?:file )?licen[sc]e(?:\.txt|\.md)? (?:file )?for (?:more )?(?:details|information)
+see-licence | 20 | licen | see (?:the )?(?:accompanying )?(?:file )?licen[sc]e(?:\.txt|\.md)? (?:file )?for (?:more )?(?:details|information)
 as-is | 40 | as is | (?:is )?provided [“"']?as is[”"']?,? without warranty of any kind
 unknown-licence | 20 | licen | (?:licensed|released|distributed) under (?:the )?(?:terms of )?[^.\n]{1,60}licen[sc]e
 """

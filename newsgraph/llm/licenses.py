@@ -19,12 +19,13 @@ _GAP = r"(?:[\s,;:()\[\]-]|the\b|version\b|v\.?(?=\s?\d))*"
 
 
 class Rule:
-    __slots__ = ("number", "label", "priority", "keyword", "pattern")
+    __slots__ = ("number", "label", "priority", "keyword", "keywords", "pattern")
 
     def __init__(self, number: int, line: str):
         self.number = number
         self.label, priority, self.keyword, pattern = (x.strip() for x in line.split(" | ", 3))
         self.priority = int(priority)
+        self.keywords = self.keyword.split(", ")
         self.pattern = re.compile(pattern.replace("~", _GAP).replace(" ", r"\s+"))
 
 
@@ -37,7 +38,8 @@ class Scanner:
         self.rules = [Rule(i, line) for i, line in enumerate(x for x in rules.splitlines() if x.strip())]
         by_keyword: dict[str, list[int]] = {}
         for rule in self.rules:
-            by_keyword.setdefault(rule.keyword, []).append(rule.number)
+            for keyword in rule.keywords:
+                by_keyword.setdefault(keyword, []).append(rule.number)
         self.keywords = ahocorasick.Automaton()
         for keyword, numbers in by_keyword.items():
             self.keywords.add_word(keyword, numbers)
@@ -50,7 +52,8 @@ class Scanner:
         and listed earlier.  Matches that overlap only in part both stay, but a hint goes if any better match overlaps it.
         """
         active: set[int] = set()
-        for _, numbers in self.keywords.iter(text):
+        # a keyword's space stands for any white space, as in the patterns
+        for _, numbers in self.keywords.iter(" ".join(text.split())):
             active.update(numbers)
         found = [(m.start(), m.end(), r) for n in sorted(active) for r in (self.rules[n],) for m in r.pattern.finditer(text) if m.end() > m.start()]
         # by start, longest first: a match can only be contained in one before it, or in one of equal place
@@ -94,7 +97,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     ``n_words``; ``places`` (word number and label of each of ``PHRASES``, in order); ``detections`` (label, priority,
     start and end character) of the rules after suppression; ``labels`` (of both, distinct and sorted); and ``score``,
     the highest priority found over 100 (a phrase counts 60), 0 if nothing is found.  Rules are tried only on a text that
-    holds their keyword, found by one automaton for all.  A null or empty text has no words and no finds.  Own columns
+    holds a keyword of theirs, found by one automaton for all; whatever a rule matches holds one.  A null or empty text has no words and no finds.  Own columns
     replace kept ones of the same names.
     """
     out = ("n_words bigint, places array<struct<word: bigint, label: string>>, "

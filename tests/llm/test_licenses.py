@@ -1,5 +1,8 @@
 """Rules, suppression and phrases."""
 
+import random
+from re import _constants as C, _parser
+
 import pytest
 
 from newsgraph.llm import licenses
@@ -31,6 +34,58 @@ def test_labels(text, want):
     assert {r.label for _, _, r in licenses.scanner().detections(text.lower())} == want
 
 
+def sample(tree, draw):
+    """A text that a parsed pattern matches but for its assertions, of random alternatives, repeats and white space."""
+    out = []
+    for op, value in tree:
+        if op is C.IN and value[0][0] is not C.NEGATE:
+            op, value = draw.choice(value)
+        if op is C.LITERAL:
+            out.append(chr(value))
+        elif op is C.RANGE:
+            out.append(chr(draw.randint(*value)))
+        elif op is C.CATEGORY and value is not C.CATEGORY_NOT_SPACE:
+            out.append(draw.choice({C.CATEGORY_SPACE: " \n\t", C.CATEGORY_DIGIT: "0123456789"}[value]))
+        elif op in (C.IN, C.ANY, C.CATEGORY, C.NOT_LITERAL):
+            out.append("x")
+        elif op is C.BRANCH:
+            out.append(sample(draw.choice(value[1]), draw))
+        elif op is C.SUBPATTERN:
+            out.append(sample(value[3], draw))
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            out += [sample(value[2], draw) for _ in range(draw.randint(value[0], min(value[1], value[0] + 2)))]
+        else:
+            assert op in (C.AT, C.ASSERT)
+    return "".join(out)
+
+
+def test_whatever_a_rule_matches_holds_a_keyword():
+    draw, s = random.Random(5), licenses.scanner()
+    for rule in s.rules:
+        tree = _parser.parse(rule.pattern.pattern)
+        texts = [t for t in (sample(tree, draw) for _ in range(200)) if rule.pattern.search(t)]
+        assert texts, rule.label
+        for text in texts:
+            tried = {n for _, numbers in s.keywords.iter(" ".join(text.split())) for n in numbers}
+            assert rule.number in tried, (rule.label, text)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("GNU Free\nDocumentation License", {"gfdl"}),
+    ("It is in the public\r\n  domain.", {"public-domain"}),
+    ("provided AS\tIS without warranty of any kind", {"as-is"}),
+    ("do what the fork you want to public licence", {"wtfpl"}),
+    ("Licence Ouverte", {"etalab-2.0"}),
+    ("End User License Agreement", {"proprietary"}),
+    ("Unauthorised copying of this file", {"proprietary"}),
+    ("the simplified licence", {"bsd-2-clause"}),
+    ("may you do good and not evil", {"sqlite-blessing"}),
+    ("see the licence file for details", {"see-licence"}),
+])
+def test_labels_that_a_narrow_keyword_hid(text, want):
+    assert {r.label for _, _, r in licenses.scanner().detections(text.lower())} == want
+
+
 def test_rules():
     rules = licenses.scanner().rules
     assert len(rules) > 200 and all(r.keyword == r.keyword.lower() and 0 < r.priority <= 100 for r in rules)
