@@ -85,29 +85,43 @@ def links(values: DataFrame, blocks: int = BLOCKS, most: int = MOST_PAIRED) -> D
     return paired.unionByName(starred).distinct()
 
 
+def _rooted(docs: DataFrame, key: str, text: str, size: int, seed: int) -> DataFrame:
+    """One row a row: ``__key``, ``fp``, ``root`` (a fingerprint that names the group) and ``component``."""
+    rows = cut_lineage(fingerprints(docs, [key], text, size, seed).select(F.col(key).alias("__key"), "fp"))
+    values = cut_lineage(rows.groupBy("fp").agg(F.min("__key").alias("first"), F.count("*").alias("n")))
+    roots = components(links(values.select("fp"))).withColumnsRenamed({"node": "fp"})
+    joined = values.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = joined.groupBy("root").agg(F.min("first").alias("component"), F.sum("n").alias("rows")).filter("rows > 1")
+    named = cut_lineage(joined.select("fp", "root").join(firsts, "root").select("fp", "root", "component"))
+    return join_unique(rows, named, "fp").select("__key", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "__key").alias("component"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``key``, ``fp`` and ``component`` (smallest key of the rows reachable over links, itself included), one row a row.
 
     Equal texts share a fingerprint and are joined as one, so copies cost nothing but their own rows.  Null and empty
     texts have fingerprint zero and link like any other.  A null key takes the component of its group and never names
-    one, so a group of null keys only has a null component.  Rows of one key stay separate rows.  Other columns do not
-    pass.
+    one, so a group of null keys only has a null component.  Rows of one key stay separate rows.  An empty table gives
+    none.  Other columns do not pass.
     """
-    rows = cut_lineage(fingerprints(docs, [key], text, size, seed).select(F.col(key).alias("__key"), "fp"))
-    values = cut_lineage(rows.groupBy("fp").agg(F.min("__key").alias("first"), F.count("*").alias("n")))
-    roots = components(links(values.select("fp"))).withColumnsRenamed({"node": "fp"})
-    joined = values.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = joined.groupBy("root").agg(F.min("first").alias("component"), F.sum("n").alias("rows")).filter("rows > 1")
-    named = cut_lineage(joined.select("fp", "root").join(firsts, "root").select("fp", "component"))
-    return join_unique(rows, named, "fp").select(F.col("__key").alias(key), "fp", F.coalesce("component", "__key").alias("component"))
+    return _rooted(docs, key, text, size, seed).select(F.col("__key").alias(key), "fp", "component")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one of smallest key, all columns as they are.
 
-    Rows without a key belong to groups but are kept only where a whole group has none.  Rows that repeat a kept key
-    stay together, since a key names one document.
+    A key names one document: rows that repeat a kept key stay together.  Rows without a key go if their group has a
+    keyed document; of a group without one the row of smallest text digest stays.  Null and empty texts are one group.
+    An empty table stays empty.  Columns may have any names but those that begin with two underscores.
     """
-    keys = groups(docs, key, text)
-    kept = keys.filter(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("__kept")), "left_semi")
+    found = cut_lineage(_rooted(docs, key, text, SHINGLE, SEED))
+    kept = found.filter(F.col("__key") == F.col("component")).select(F.col("__key").alias("__name"), F.lit(True).alias("__kept")).distinct()
+    keyed = join_unique(docs.filter(F.col(key).isNotNull()).withColumn("__name", F.col(key)), kept, "__name")
+    keyed = keyed.filter("__kept").select(*docs.columns)
+    roots = found.filter("__key is null and component is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    names = {c: f"__doc_{c}" for c in docs.columns}
+    bare = docs.filter(F.col(key).isNull()).withColumnsRenamed(names)
+    bare = fingerprints(bare, list(names.values()), names[text]).withColumnRenamed("fp", "__fp").join(roots, "__fp")
+    row = F.struct(*(F.col(new).alias(old) for old, new in names.items()))
+    bare = bare.groupBy("__root").agg(F.min_by(row, F.sha2(F.coalesce(F.col(names[text]), F.lit("")), 256)).alias("__row"))
+    return keyed.unionByName(bare.select("__row.*"))
