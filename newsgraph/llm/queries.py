@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, html, language, licenses, lm, pieces, sharding, simhash, toxicity
+from . import ann, decontaminate, html, language, licenses, lm, pieces, sharding, simhash, toxicity, trie
 from .common import held_out, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -131,6 +131,50 @@ def op10_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, with subtree totals."""
+    return trie.trie(read(spark, folder, "conversations"))
+
+
+#: Rows of the table of the CRC-32 polynomial, and the unsigned sum of a list of bytes by it.
+_CRC_SQL = """crc AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)) x)"""
+
+
+def _crc_of(bytes_sql: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_sql}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_DIGITS_SQL = "list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: unicode(x)::BIGINT)"
+
+OP13_SQL = rf"""
+WITH {_CRC_SQL},
+own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT c, {_crc_of(_DIGITS_SQL)} % 4 AS h FROM (SELECT DISTINCT c FROM own) x, crc),
+turns AS (
+  SELECT heads.c, 0 AS part, p, {{'r': r, 't': t}} AS turn FROM heads JOIN own o ON o.c = heads.c - heads.c % 20 AND p <= h
+  UNION ALL SELECT own.c, 1, p, {{'r': r, 't': t}} FROM own JOIN heads USING (c) WHERE p > h),
+convs AS (SELECT c, coalesce(s, []) AS s FROM heads LEFT JOIN (SELECT c, list(turn ORDER BY part, p) AS s FROM turns GROUP BY c) x USING (c)),
+nodes AS (
+  SELECT s[1 : d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(s) = d), '')) AS ends_sha256
+  FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM convs) x GROUP BY s[1 : d], d),
+kids AS (SELECT k[1 : d - 1] AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY k[1 : d - 1], d - 1),
+figures AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children,
+         CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(nodes.k[d].t, '[^ 	-]+')) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN kids USING (k, d)),
+sums AS (
+  SELECT k[1 : e] AS k, e AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS e FROM figures) x GROUP BY k[1 : e], e)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM figures f JOIN sums USING (k, d) LEFT JOIN nodes up ON up.d = f.d - 1 AND up.k = f.k[1 : f.d - 1]
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_simhash, op3_decontamination, op4_toxicity, op5_licenses, op6_language, op7_pieces, op8_html, op9_lm, op10_ann)}
-ORACLE = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL}
+    op1_sharding, op2_simhash, op3_decontamination, op4_toxicity, op5_licenses, op6_language, op7_pieces, op8_html, op9_lm, op10_ann, op13_trie)}
+ORACLE = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op13_trie": OP13_SQL}
