@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, html, language, licenses, lm, pieces, sharding, simhash, toxicity, trie
+from . import ann, decontaminate, html, language, licenses, lm, pieces, sharding, simhash, toxicity, trie, variants
 from .common import held_out, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -164,7 +164,8 @@ nodes AS (
 kids AS (SELECT k[1 : d - 1] AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY k[1 : d - 1], d - 1),
 figures AS (
   SELECT nodes.*, coalesce(n, 0) AS n_children,
-         CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(nodes.k[d].t, '[^ 	-]+')) ELSE 0 END AS saved
+         CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(nodes.k[d].t, '[^ 	-
+]+')) ELSE 0 END AS saved
   FROM nodes LEFT JOIN kids USING (k, d)),
 sums AS (
   SELECT k[1 : e] AS k, e AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
@@ -175,6 +176,42 @@ FROM figures f JOIN sums USING (k, d) LEFT JOIN nodes up ON up.d = f.d - 1 AND u
 """
 
 
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return variants.group(read(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+_POINTS_SQL = "flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))"
+
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_SQL},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= {variants.LEAST_POINTS} GROUP BY id, run),
+summed AS (SELECT run, n, {_crc_of(_POINTS_SQL.format("id || run"))} AS h FROM counted, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % {variants.DROPPED} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed) x
+  WHERE length(word) >= {variants.LEAST_POINTS} GROUP BY word HAVING sum(n) >= {variants.LEAST_COUNT}),
+less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words) x),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.rest),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM pairs GROUP BY word),
+formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {variants.RATIO} * words.n THEN form END AS form,
+         CASE WHEN form_n >= {variants.RATIO} * words.n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+follow AS (
+  SELECT word, word AS step FROM formed
+  UNION ALL SELECT follow.word, formed.form FROM follow JOIN formed ON formed.word = follow.step WHERE formed.form IS NOT NULL)
+SELECT f.word, form, step AS root, n, n_near, form_n
+FROM formed f JOIN follow ON follow.word = f.word JOIN (SELECT word AS last FROM formed WHERE form IS NULL) x ON last = step
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_simhash, op3_decontamination, op4_toxicity, op5_licenses, op6_language, op7_pieces, op8_html, op9_lm, op10_ann, op13_trie)}
-ORACLE = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op13_trie": OP13_SQL}
+    op1_sharding, op2_simhash, op3_decontamination, op4_toxicity, op5_licenses, op6_language, op7_pieces, op8_html, op9_lm, op10_ann, op11_variants, op13_trie)}
+ORACLE = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_variants": OP11_SQL, "op13_trie": OP13_SQL}
