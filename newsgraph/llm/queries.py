@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, html, language, licenses, lm, pieces, sharding, simhash, toxicity, trie, variants
+from . import ann, decontaminate, html, language, licenses, lm, pieces, sharding, simhash, suffixes, toxicity, trie, variants
 from .common import held_out, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -131,6 +131,32 @@ def op10_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the passages of earlier ones, as digests."""
+    found = suffixes.deduplicate(read(spark, folder, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = f"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT doc_id, x, i, substr(x, 2 * i + 1, {2 * suffixes.LENGTH}) AS s FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - {suffixes.LENGTH - 1})) AS i FROM texts) t),
+firsts AS (SELECT s, min(doc_id) AS first FROM places GROUP BY s),
+hits AS (SELECT doc_id, i FROM places JOIN firsts USING (s) WHERE first < doc_id),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + {suffixes.LENGTH} AS b
+  FROM (SELECT doc_id, i, sum(gap) OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {suffixes.LENGTH} THEN 0 ELSE 1 END AS gap FROM hits) t) t
+  GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, substr(x, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS piece, a, b
+  FROM runs JOIN texts USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+joined AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS pieces, max(b) AS last, sum(b - a) AS gone, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(pieces, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN joined USING (doc_id)
+"""
+
+
 def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the prefix trie of all conversations, with subtree totals."""
     return trie.trie(read(spark, folder, "conversations"))
@@ -213,5 +239,5 @@ FROM formed f JOIN follow ON follow.word = f.word JOIN (SELECT word AS last FROM
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_simhash, op3_decontamination, op4_toxicity, op5_licenses, op6_language, op7_pieces, op8_html, op9_lm, op10_ann, op11_variants, op13_trie)}
-ORACLE = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_variants": OP11_SQL, "op13_trie": OP13_SQL}
+    op1_sharding, op2_simhash, op3_decontamination, op4_toxicity, op5_licenses, op6_language, op7_pieces, op8_html, op9_lm, op10_ann, op11_variants, op12_suffixes, op13_trie)}
+ORACLE = {"op1_sharding": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_variants": OP11_SQL, "op12_suffixes": OP12_SQL, "op13_trie": OP13_SQL}
