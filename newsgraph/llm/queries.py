@@ -138,8 +138,8 @@ def op12_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP12_SQL = f"""
-WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-places AS (SELECT doc_id, x, i, substr(x, 2 * i + 1, {2 * suffixes.LENGTH}) AS s FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - {suffixes.LENGTH - 1})) AS i FROM texts) t),
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+places AS (SELECT doc_id, i, x[i + 1 : i + {suffixes.LENGTH}] AS s FROM (SELECT doc_id, x, unnest(range(octet_length(x) - {suffixes.LENGTH - 1})) AS i FROM texts) t),
 firsts AS (SELECT s, min(doc_id) AS first FROM places GROUP BY s),
 hits AS (SELECT doc_id, i FROM places JOIN firsts USING (s) WHERE first < doc_id),
 runs AS (
@@ -148,11 +148,11 @@ runs AS (
         FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {suffixes.LENGTH} THEN 0 ELSE 1 END AS gap FROM hits) t) t
   GROUP BY doc_id, run),
 kept AS (
-  SELECT doc_id, substr(x, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS piece, a, b
+  SELECT doc_id, hex(x[coalesce(lag(b) OVER w, 0) + 1 : a]) AS piece, a, b
   FROM runs JOIN texts USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
 joined AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS pieces, max(b) AS last, sum(b - a) AS gone, count(*) AS n FROM kept GROUP BY doc_id)
-SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
-       sha256(unhex(coalesce(pieces, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+SELECT doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(pieces, '')) || x[coalesce(last, 0) + 1 :]) AS kept_sha256
 FROM texts LEFT JOIN joined USING (doc_id)
 """
 
