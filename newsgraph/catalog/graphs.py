@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsgraph import constants as K
@@ -9,8 +11,8 @@ from newsgraph.catalog import sqlbase as B
 from newsgraph.catalog.scalars import sql_entity_key
 from newsgraph.catalog.scores import CLUSTER
 from newsgraph.catalog.sets import DOM_ENTS, DOM_EVENT, DOM_TOPIC
-from newsgraph.operators import clustering as CL, copies, graph as G, vectors as V
-from newsgraph.session import cut_lineage
+from newsgraph.operators import cluster_state as CS, clustering as CL, copies, graph as G, vectors as V
+from newsgraph.session import cut_lineage, shared_folder
 from newsgraph.sources import standin as D
 from newsgraph.sources.tables import table
 
@@ -84,6 +86,37 @@ def k01(spark, sf):
     return found.select("article_id", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
+def _in_batches(spark, sf, batches: int = 4):
+    """The labelled vectors taken in spans of time through a stored state, the last span twice."""
+    rows = cut_lineage(labelled_vectors(spark, sf))
+    low, high = rows.agg(F.min("time_us"), F.max("time_us")).first()
+    store = CS.ClusterStore(spark, f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}", CS.Rule(0.86))
+    span = F.least(F.floor((c("time_us") - low) * batches / max(1, high - low)), F.lit(batches - 1))
+    for batch in [*range(batches), batches - 1]:
+        store.advance(rows.filter(span == batch), "article_id", "vec", "time_us")
+    return store
+
+
+@query(
+    "k01_batched_clusters",
+    recursive(_LABELLED, sql_leaders(0.86, True, CS.WEEK_US, "lead")) + "SELECT id AS article_id, cluster, round(similarity, 6) AS similarity FROM lead",
+)
+def k01_batched(spark, sf):
+    found = _in_batches(spark, sf).read_members()
+    return found.select("article_id", "cluster", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "k03_running_centroids",
+    recursive(_LABELLED, sql_leaders(0.86, True, CS.WEEK_US, "lead"))
+    + f"""SELECT k.name AS cluster, k.n AS n, unnest(range({DIM})) AS dim, round(unnest(k.v), 6) AS value
+FROM (SELECT unnest(held) AS k FROM lead_run WHERE i = (SELECT max(i) FROM queue)) x""",
+)
+def k03_running(spark, sf):
+    found = _in_batches(spark, sf).read_clusters()
+    return found.select("cluster", "n", F.posexplode("v").alias("dim", "x")).select("cluster", "n", "dim", F.round("x", 6).alias("value"))
+
+
 def _sweep(threshold: float) -> str:
     name = f"s{round(threshold * 100)}"
     return f"""SELECT {threshold} AS threshold, count(*) AS clusters, round(avg(n), 6) AS mean_size, count(*) FILTER (n = 1) AS singletons,

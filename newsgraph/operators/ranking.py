@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsgraph.session import cut_lineage
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     name = rank or "_rn"
@@ -30,36 +32,21 @@ def top_rows(df: DataFrame, order: list[Column], k: int, rank: str = "pos") -> D
     return df.orderBy(*order).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
-def rank_all(df: DataFrame, keys: list[str], order: list[str], rank: str = "pos", ranges: int = 64) -> DataFrame:
+def rank_all(df: DataFrame, keys: list[str], order: list[str], rank: str = "pos") -> DataFrame:
     """Exact rank of every row within ``keys`` by ascending ``order``, for groups of any size.
 
-    Rows fall into value ranges of ``order`` (bounds from a bounded sample; any bounds give exact
-    ranks).  A row's rank is its place within its range plus the number of rows of its group in
-    lower ranges; both windows see bounded input.
+    Rows are dealt by ranges of keys and order, so a large group lies in several tasks and their number follows the
+    session's.  A row's rank is its place within its range plus the rows of its group in lower ranges, which only
+    groups that cross a border have: fewer rows than there are ranges.
     """
-    key = F.struct(*order)
-    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(ranges * 32).collect()
-    rows = sorted(tuple(r) for r in sample)
-    cuts = [rows[len(rows) * i // ranges] for i in range(1, ranges)] if rows else []
-    cuts = sorted(set(cuts))
-    schema = df.select(*order).schema
-    if cuts:
-        literal = F.array(
-            *[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, schema)]) for c in cuts]
-        )
-        part = F.size(F.filter(literal, lambda c: c <= key))
-    else:
-        part = F.lit(0)
-    staged = df.withColumn("_part", part)
-    counts = staged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))))
+    counts = dealt.groupBy("_part", *keys).agg(F.max("_place").cast("bigint").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    joined = staged.withColumn("_place", place).alias("s").join(
-        offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys + ["_part"]], "_before"),
-        [F.col(f"s.{k}").eqNullSafe(F.col(f"_o_{k}")) for k in keys + ["_part"]],
-    )
-    return joined.select(*[F.col(f"s.{c}") for c in df.columns], (F.col("_place") + F.col("_before")).alias(rank))
+    across = counts.withColumn("_before", F.sum("_n").over(before)).filter("_before is not null")
+    across = F.broadcast(across.select(*[F.col(k).alias(f"_o_{k}") for k in ["_part", *keys]], "_before"))
+    joined = dealt.alias("s").join(across, [F.col(f"s.{k}").eqNullSafe(F.col(f"_o_{k}")) for k in ["_part", *keys]], "left")
+    return joined.select(*[F.col(f"s.{c}") for c in df.columns], (F.col("_place") + F.coalesce("_before", F.lit(0))).alias(rank))
 
 
 def soft_cap(df: DataFrame, groups: list[str], source: str, pos: str, cap: int, limit: int) -> DataFrame:

@@ -62,7 +62,7 @@ def test_ordered_clusters_match_the_loop(spark):
     order = np.random.default_rng(5).permutation(len(vectors))
     vectors = vectors[order]
     for unit, lookback in ((True, 40_000), (False, None)):
-        found = CL.ordered_clusters(frame(spark, vectors), "id", "vec", "t", 0.86, unit, lookback, slice_size=17)
+        found = CL.ordered_clusters(frame(spark, vectors), "id", "vec", "t", 0.86, unit, lookback, window=60, chunk=17)
         got = {r.id: r.cluster for r in found.collect()}
         assert got == loop_clusters(vectors, 0.86, unit, lookback)
 
@@ -103,7 +103,7 @@ def test_rank_all_under_skew(spark):
     rng = random.Random(4)
     rows = [("big" if i % 3 else f"k{i % 7}", rng.randint(0, 5) / 2, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, s double, id long")
-    got = {r.id: r.pos for r in R.rank_all(df, ["k"], ["s", "id"], "pos", ranges=8).collect()}
+    got = {r.id: r.pos for r in R.rank_all(df, ["k"], ["s", "id"], "pos").collect()}
     seen = {}
     for k, s, i in sorted(rows):
         seen[k] = seen.get(k, 0) + 1
