@@ -364,7 +364,7 @@ def k11(spark, sf):
 
 # Landed verdicts: every third pair of a graph, the ends swapped half of the time.
 _H = "(CAST('0x' || substr(md5(source || target), 1, 6) AS BIGINT))"
-_VERD = f"""verd AS (SELECT graph_id, source, target, {B.pick(['follow-up', 'reaction', 'competing', 'unrelated'], _H)} AS label, ({_H} % 100) / 100.0 AS confidence FROM pairs WHERE {_H} % 3 = 0)"""
+_VERD = f"""verd AS MATERIALIZED (SELECT graph_id, source, target, {B.pick(['follow-up', 'reaction', 'competing', 'unrelated'], _H)} AS label, ({_H} % 100) / 100.0 AS confidence FROM pairs WHERE {_H} % 3 = 0)"""
 
 
 def verdict_rows(pairs):
@@ -398,7 +398,7 @@ def k13(spark, sf):
 
 @query(
     "j12_verdict_join",
-    B.with_(*EDGES, _VERD) + "SELECT e.graph_id, e.source, e.target, label, round(confidence, 6) AS confidence FROM top_edges e JOIN verd v ON e.graph_id = v.graph_id AND e.source = v.source AND e.target = v.target",
+    B.with_(*EDGES, _VERD) + "SELECT graph_id, source, target, label, round(confidence, 6) AS confidence FROM top_edges JOIN verd USING (graph_id, source, target)",
 )
 def j12(spark, sf):
     pairs = pairs_of(spark, sf)

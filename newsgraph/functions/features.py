@@ -256,16 +256,17 @@ def relevance(similarity: Column) -> Column:
 def entity_mentions(df: DataFrame, key: str, text: str, aliases: DataFrame, limit: int = 5) -> DataFrame:
     """Top entities per row by number of mentions, weight = share among the kept ones.
 
-    ``aliases`` has ``alias`` (lower case words, of any number) and ``canonical``.  A word meets the aliases that it
-    opens in an equi-join, once for each of their lengths, and the run of that many words is compared with the alias.
+    ``aliases`` has ``alias`` (lower case words, of any number) and ``canonical``, and is small enough to broadcast.  A
+    word that opens an alias meets those that it opens in an equi-join, and the run of as many words is compared.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}#&]+)"), 1)
     opened = aliases.select("alias", "canonical", F.split("alias", " ").alias("_words"))
     opened = opened.select("canonical", "_words", F.element_at("_words", 1).alias("_first"), F.size("_words").alias("_size"))
-    longest = opened.agg(F.max("_size").alias("_most"))
-    # the run that starts at each word, as long as the longest alias
-    staged = df.select(key, tokens.alias("_t")).crossJoin(F.broadcast(longest))
-    runs = staged.select(key, explode_once(F.when(F.size("_t") > 0, F.transform("_t", lambda _w, at: F.slice(F.col("_t"), at + 1, F.col("_most"))))).alias("_run"))
+    heads = opened.agg(F.max("_size").alias("_most"), F.collect_set("_first").alias("_heads"))
+    # few words of a text open an alias; only those start a run, as long as the longest alias
+    staged = df.select(key, tokens.alias("_t")).crossJoin(F.broadcast(heads)).withColumn("_hits", F.array_intersect("_t", "_heads")).filter(F.size("_hits") > 0)
+    starts = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda at: F.array_contains(F.col("_hits"), F.element_at(F.col("_t"), at)))
+    runs = staged.select(key, explode_once(F.transform(starts, lambda at: F.slice(F.col("_t"), at, F.col("_most")))).alias("_run"))
     found = (
         runs.withColumn("_first", F.element_at("_run", 1))
         .join(opened, "_first")
