@@ -229,10 +229,18 @@ p AS (SELECT b.cluster_id, b.article_id, first_id, 2.0 * len(list_intersect(a.s,
 SELECT cluster_id, article_id, first_id, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.6""",
 )
 def k12(spark, sf):
-    # Texts that open alike form a cluster; most of them are not copies.
+    return copies.echo_pairs(_opening_alike(spark, sf), blocks=False).select("cluster_id", "article_id", "first_id", F.round("ratio", 6).alias("ratio"))
+
+
+@query("k12_block_copies")
+def k12_blocks(spark, sf):
+    return copies.echo_pairs(_opening_alike(spark, sf)).select("cluster_id", "article_id", "first_id", F.round("ratio", 6).alias("ratio"))
+
+
+def _opening_alike(spark, sf):
+    """Texts that open alike form a cluster; most of them are not copies."""
     docs = table(spark, sf, "documents").select(c("doc_id").alias("article_id"), "text")
-    rows = docs.withColumn("cluster_id", F.md5(F.lower(F.substring("text", 1, 6))))
-    return copies.echo_pairs(rows).select("cluster_id", "article_id", "first_id", F.round("ratio", 6).alias("ratio"))
+    return docs.withColumn("cluster_id", F.md5(F.lower(F.substring("text", 1, 6))))
 
 
 # --- graph nodes ------------------------------------------------------------------------------

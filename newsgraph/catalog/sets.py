@@ -10,6 +10,7 @@ from newsgraph.catalog.scalars import _SHAPE, _STATEMENT, sql_evergreen, sql_key
 from newsgraph.catalog.scores import CLUSTER, FINAL, NOW, VERIFY, finals
 from newsgraph.functions import cards as CD, features as FT, maps, scoring as S, trust as TR
 from newsgraph.operators import aggregates as AG, dedup as DD, logs as LG
+from newsgraph.operators.copies import independent_sources
 from newsgraph.operators.ranking import top_per_group
 from newsgraph.sources import standin as D
 from newsgraph.sources.tables import as_of, table
@@ -369,13 +370,19 @@ named AS (SELECT cluster_id, count(DISTINCT a) AS named FROM (SELECT cluster_id,
     + "SELECT g.cluster_id, CASE WHEN coalesce(named, 0) = 1 THEN greatest(1, kept - n // 2) ELSE kept END AS independent FROM counted g LEFT JOIN named USING (cluster_id)",
 )
 def a02(spark, sf):
-    from newsgraph.operators.copies import independent_sources
+    return independent_sources(_with_wires(spark, sf), blocks=False).select("cluster_id", "independent")
 
-    # Articles without a cluster become seven clusters of one wire text, so that echoes occur.
+
+@query("a02_block_sources")
+def a02_blocks(spark, sf):
+    return independent_sources(_with_wires(spark, sf)).select("cluster_id", "independent")
+
+
+def _with_wires(spark, sf):
+    """Articles without a cluster become seven clusters of one wire text, so that echoes occur."""
     alone = c("cluster_id").isNull()
     rows = D.articles(spark, sf).withColumn("text", F.when(alone, F.concat(F.lit(WIRE), c("article_id").cast("string"))).otherwise(c("text")))
-    rows = rows.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1) - F.pmod("article_id", F.lit(7))))
-    return independent_sources(rows).select("cluster_id", "independent")
+    return rows.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1) - F.pmod("article_id", F.lit(7))))
 
 
 DOM_TOPIC = """tsum AS (SELECT cluster_id, topic, sum(weight) AS w FROM members JOIN topic_rows USING (article_id) GROUP BY ALL),

@@ -1,5 +1,7 @@
 """Verdicts, planes, echoes and samples on small rows."""
 
+from difflib import SequenceMatcher
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -44,6 +46,22 @@ def test_each_graph_has_its_own_plane(spark):
     assert got["c"] == {0: (1.0, 0.0), 1: (0.0, 0.0)} and got["d"] == {0: (0.0, 0.0)}
 
 
+def test_block_ratio_is_the_sequence_matchers(spark, folder):
+    texts = [r.t for r in spark.read.parquet(f"{folder}/documents.parquet").selectExpr("substr(text, 1, 240) as t").orderBy("doc_id").limit(100).collect()]
+    texts = texts[:70] + [t[:100] + u[:90] for t, u in zip(texts, texts[1:])][:24] + ["", None, "a", "ab" * 150, "ba" * 150, "é" * 20]
+    n = len(texts)
+    pairs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, a string").crossJoin(spark.createDataFrame([(j, t) for j, t in enumerate(texts)], "j int, b string"))
+    want = {(i, j): SequenceMatcher(None, x or "", y or "").ratio() for i, x in enumerate(texts) for j, y in enumerate(texts)}
+    for above in (-1.0, 0.6):
+        got = {(r.i, r.j): r.ratio for r in copies.block_ratio(pairs.repartition(8), "a", "b", above).collect()}
+        assert n * n == 10_000 and got == {k: v for k, v in want.items() if v > above}
+    # reordered text is where it departs from the shingle sets
+    one, two = "The first half of the story came over the wire.", "Its sequel, quite another matter, kept us busy."
+    rows = [("c", 1, one + two), ("c", 2, two + one)]
+    frame = spark.createDataFrame(rows, "cluster_id string, article_id long, text string")
+    assert copies.echo_pairs(frame).count() == 0 and copies.echo_pairs(frame, blocks=False).count() == 1
+
+
 def test_echoes(spark):
     wire = "The agency text that many papers print word for word on the day that it arrives."
     rows = [("a", 1, wire), ("a", 2, wire + " 2"), ("a", 3, "Entirely different words stand here, of another story."), ("b", 4, "ab"), ("b", 5, "ab"), ("b", 6, ""), ("b", 7, None), (None, 8, wire)]
