@@ -13,7 +13,7 @@ from newsgraph.operators import aggregates as AG, evaluate as EV, logs as LG, ra
 from newsgraph.operators.dedup import upsert
 from newsgraph.sources import landing as L, sinks as SK, standin as D
 from newsgraph.sources.tables import as_of, table
-from newsgraph.streaming import streams as ST
+from newsgraph.streaming import keyed, streams as ST
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -413,6 +413,18 @@ def t08(spark, sf):
     return ST.urgent_batches(ST.read_landing(spark, sf, "events"), ST.work_folder(spark), now_of(spark, sf), c("value"), 48)
 
 
+@query(
+    "t09_latest_records",
+    """SELECT event_type, count(*) AS records, CAST(sum(amount) AS BIGINT) AS total, arg_min(event_id, (ts, event_id)) AS oldest
+FROM (SELECT event_type, ts, event_id, CAST(round(value * 100) AS BIGINT) AS amount, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) x
+WHERE rn <= 200 GROUP BY 1""",
+)
+def t09_latest(spark, sf):
+    """The last 200 records of each kind, as they are kept for a request log."""
+    stream = keyed.latest_records(ST.read_landing(spark, sf, "events"), "event_type", F.round(c("value") * 100), 200)
+    return ST.drain_update(stream, ST.work_folder(spark), ["event_type"])
+
+
 @query(
     "t09_rolling_counters",
     "WITH w AS (SELECT unnest([time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * k FOR k IN range(12)]) AS b, value FROM events) "

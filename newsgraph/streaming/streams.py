@@ -6,13 +6,12 @@ nothing.  State is bounded: windows by the watermark, values by key by an expiry
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsgraph.functions import scoring as S
 from newsgraph.session import shared_folder
+from newsgraph.streaming import keyed
 
 LATENESS = "168 hours"
 
@@ -80,68 +79,17 @@ def first_sightings(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(keys)
 
 
-def _expiring(rows: DataFrame, key: str, values: list[str], merge, days: int) -> DataFrame:
-    """State by key: ``merge(old values or None, rows in order)`` gives the new values; kept ``days`` after the last row.
-
-    ``rows`` has the key, ``ts`` under a watermark and what ``merge`` reads.  Emits the values of every key that changed.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = ", ".join(f"`{n}` {kinds[n]}" for n in [key, *values])
-
-    def step(keys, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        *now, last = state.get if state.exists else (None, 0)
-        now = tuple(now) if state.exists else None
-        for batch in batches:
-            now = merge(now, batch)
-            last = max(last, int(batch["ts"].max().timestamp() * 1000))
-        state.update((*now, last))
-        # a time at or before the watermark cannot be set: such a key goes with the next batch
-        state.setTimeoutTimestamp(max(last + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([[*keys, *now]], columns=[key, *values])
-
-    held = ", ".join(f"`{n}` {kinds[n]}" for n in values)
-    return rows.groupBy(key).applyInPandasWithState(step, out, f"{held}, last_ms long", "update", "EventTimeTimeout")
-
-
 def running_maxima(stream: DataFrame, key: str, counters: dict[str, Column], days: int = 30) -> DataFrame:
     """Largest value of each counter by key; a key is forgotten ``days`` after its last row."""
-    names = list(counters)
-
-    def merge(now, batch: pd.DataFrame):
-        tops = [batch[n].max() for n in names]
-        tops = [None if pd.isna(t) else t for t in tops]
-        return tuple(tops) if now is None else tuple(b if a is None else a if b is None else max(a, b) for a, b in zip(now, tops))
-
-    rows = stream.withWatermark("ts", LATENESS).select(key, "ts", *[v.alias(n) for n, v in counters.items()])
-    return _expiring(rows, key, names, merge, days)
+    return keyed.running_maxima(stream, key, counters, LATENESS, days)
 
 
 def alert_once(stream: DataFrame, folder: str, key: str, condition: Column, columns: list[str], days: int = 30) -> DataFrame:
-    """Emit an alert for a key once in ``days``: the batch minus what has been sent in that time.
+    """Alerts: the first row of a key that meets ``condition``, and no other in ``days`` after it.
 
-    A batch number names its own output, so a retried batch rewrites the same rows and reads only earlier ones.  Sent
-    alerts lie by day, and a batch reads the days from ``days`` before its first row on: neither all history nor state.
+    What has been sent is state of the query, so a batch neither reads earlier output nor runs an action.
     """
-    spark = stream.sparkSession
-    schema = stream.select(*columns).schema
-    day = F.date_format("ts", "yyyy-MM-dd")
-
-    def send(batch: DataFrame, number: int) -> None:
-        due = batch.filter(condition).groupBy(key).agg(*[F.min_by(n, F.struct("ts", "event_id")).alias(n) for n in dict.fromkeys([*columns, "ts"]) if n != key])
-        due = due.withColumn("day", day)
-        if number > 0:
-            first = due.agg(F.date_format(F.date_sub(F.min("ts"), days), "yyyy-MM-dd")).first()[0]
-            # days are partitions, so only those of the window are read
-            sent = spark.read.option("basePath", f"{folder}/sent").schema(f"`{key}` {schema[key].dataType.simpleString()}, batch int, day string").parquet(f"{folder}/sent")
-            due = due.join(sent.filter((F.col("batch") < number) & (F.col("day") >= F.lit(first))).select(key), key, "left_anti")
-        due.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/sent/batch={number}")
-
-    query = stream.writeStream.foreachBatch(send).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.option("basePath", f"{folder}/sent").schema(schema).parquet(f"{folder}/sent").select(*columns)
+    return drain_append(keyed.once(stream, key, condition, columns, LATENESS, days), folder)
 
 
 def bucketed(stream: DataFrame, width: str, slide: str | None = None) -> DataFrame:
@@ -153,14 +101,7 @@ def bucketed(stream: DataFrame, width: str, slide: str | None = None) -> DataFra
 
 def newest_values(stream: DataFrame, key: str, value: str, days: int = 7) -> DataFrame:
     """Newest value per key, forgotten ``days`` after it was stored; ``live_values`` drops expired ones when reading."""
-
-    def merge(now, batch: pd.DataFrame):
-        row = batch.sort_values(["ts", "event_id"]).iloc[-1]
-        new = (row[value], int(row["ts"].timestamp() * 1_000_000), row["event_id"])
-        return new if now is None or (new[1], new[2]) > (now[1], now[2]) else now
-
-    rows = stream.withWatermark("ts", LATENESS).select(key, "ts", "event_id", value, F.unix_micros("ts").alias("stored_us"), F.col("event_id").alias("stored_id"))
-    return _expiring(rows, key, [value, "stored_us", "stored_id"], merge, days).withColumn("stored_at", F.timestamp_micros("stored_us"))
+    return keyed.newest_values(stream, key, value, LATENESS, days).withColumn("stored_at", F.timestamp_micros("stored_us"))
 
 
 def live_values(values: DataFrame, as_of: Column, days: int = 7) -> DataFrame:

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from newsgraph.streaming import streams as ST
+from newsgraph.streaming import keyed, streams as ST
 
 START = datetime(2024, 1, 1)
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -70,3 +70,37 @@ def test_newest_value(spark, tmp_path):
     assert [r.props for r in values.collect()] == ['{"k": 2}']
     at = F.lit(START + timedelta(days=7, hours=5))
     assert ST.live_values(values, at - F.expr("interval 1 second")).count() == 1 and ST.live_values(values, at).count() == 0
+
+
+def test_late_rows_do_not_reach_state(spark, tmp_path):
+    folder, work = landing(spark, tmp_path, [(1, 24 * 60, 1, "click", 50)]), str(tmp_path / "work")
+
+    def job():
+        rows = ST.running_maxima(stream(spark, folder), "user_id", {"top": F.col("value")}, days=10)
+        return {r.user_id: r.top for r in ST.drain_update(rows, work, ["user_id"]).collect()}
+
+    assert job() == {1: 50.0}
+    land(spark, folder, None, [(2, 24 * 60, 3, "click", 1)])
+    job()  # the watermark now stands a week before the first row
+    land(spark, folder, None, [(3, 24 * 50, 1, "click", 900), (4, 24 * 55, 1, "click", 60)])
+    assert job() == {1: 60.0, 3: 1.0}  # ten days late: left out; five days late: counted
+
+
+def test_alerts_of_one_batch_keep_their_distance(spark, tmp_path):
+    rows = [(i, 24 * day, 1, "click", 500) for i, day in enumerate([0, 1, 30, 31, 61])] + [(9, 3, 2, "click", None or 1)]
+    folder, work = landing(spark, tmp_path, rows), str(tmp_path / "work")
+    got = ST.alert_once(stream(spark, folder), work, "user_id", F.col("value") >= 100, ["user_id", "event_id"], days=30)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0), (1, 2), (1, 4)]
+
+
+def test_ring_of_the_last_records(spark, tmp_path):
+    folder, work = landing(spark, tmp_path, [(i, i, 1, "a", i) for i in range(5)] + [(50, 9, 1, "b", 7)]), str(tmp_path / "work")
+
+    def job():
+        rows = keyed.latest_records(stream(spark, folder), "event_type", F.col("value"), 3)
+        return {r.event_type: (r.records, r.total, r.oldest) for r in ST.drain_update(rows, work, ["event_type"]).collect()}
+
+    assert job() == {"a": (3, 9, 2), "b": (1, 7, 50)}
+    land(spark, folder, None, [(60, 1, 1, "a", 100), (61, 20, 1, "a", 1000)])  # one of them older than all that is kept
+    assert job() == {"a": (3, 1007, 3), "b": (1, 7, 50)}
+    assert job() == {"a": (3, 1007, 3), "b": (1, 7, 50)}
