@@ -399,7 +399,7 @@ def score(
                     one, two, whose, first = grams(hashes, owner, size)
                     u, back1 = np.unique(one, return_inverse=True)
                     b, back2 = np.unique(two, return_inverse=True)
-                    p = estimate(f.counts(u)[back1], f.counts(b)[back2], first, f.counts(np.array([START]))[0], n + v + 1, bigram)
+                    p = estimate(f.counts(u)[back1], f.counts(b)[back2], first, mean[levels(np.array([ends]))[0]], n + v + 1, bigram)
                     scores = pa.array(np.bincount(whose, weights=p, minlength=size))
                 # words left to the join, once a text
                 tail = np.flatnonzero(~in_head)
