@@ -15,8 +15,8 @@ from .common import WORD_BYTES, as_bytes, map_texts, remainder
 
 #: Rows that the field is fitted on, the same number of each language: those of smallest key hash.
 SAMPLE = 1_000
-#: Languages learned at most, the most frequent ones.
-MOST_LANGUAGES = 64
+#: Rows drawn of each language at least, however many there are.
+LEAST_EACH = 20
 #: Buckets of the hashed features.
 FEATURES = 1 << 17
 #: Words whose scores a task remembers.
@@ -167,21 +167,20 @@ def fit(rows: list[tuple[str, bytes]], rounds: int = 30, rate: float = 0.3, deca
 
 
 def learn(docs: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Field | None:
-    """Field fitted on up to ``sample`` rows, as many of each language, drawn by key hash from rows with a language and a text.
+    """Field of every language that occurs, fitted on up to ``sample`` rows (or ``LEAST_EACH`` of each, if more), as many of each, drawn by key hash from rows with a language and a text.
 
     ``allowed`` (on ``key``) says which rows may be learned from; only keys and languages are ranked, limited before the
     shuffle, and the texts are fetched by a broadcast of the drawn keys.
     """
     known = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), allowed.alias("a")).filter("a").dropna()
-    kinds = {r["l"]: r["count"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()}
+    kinds = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}
     if not kinds:
         return None
-    each = max(1, sample // len(kinds))
+    each = max(LEAST_EACH, sample // len(kinds))
     # of a frequent language only the rows of low hash are ranked, a few times as many as are drawn
-    low = F.lit(False)
-    for kind, count in kinds.items():
-        low = F.when(F.col("l") == kind, F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 8 * (each + 8) / count))).otherwise(low)
-    ranked = known.select("k", "l").filter(low).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("k"), F.lit(1 << 30)), "k")))
+    shares = docs.sparkSession.createDataFrame([(kind, int((1 << 30) * min(1.0, 8 * (each + 8) / count))) for kind, count in kinds.items()], "l string, low bigint")
+    low = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("low")
+    ranked = known.select("k", "l").join(F.broadcast(shares), "l").filter(low).select("k", "l").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("k"), F.lit(1 << 30)), "k")))
     drawn = ranked.filter(F.col("r") <= each).select("k", "l").distinct()
     rows = known.select("k", "l", "t").join(F.broadcast(drawn), ["k", "l"]).select("k", "l", F.encode("t", "UTF-8").alias("t")).collect()
     return fit([(r["l"], bytes(r["t"])) for r in sorted(rows, key=lambda r: (r["l"], r["k"], bytes(r["t"])))])

@@ -55,3 +55,13 @@ def test_nothing_to_learn_from(spark, make_docs):
     assert language.learn(docs.limit(0), language.trainable()) is None
     assert {r.lang_pred for r in language.predict(docs, None, ["doc_id"]).collect()} == {"und"}
     assert language.predict(docs.limit(0), None, ["doc_id"]).count() == 0
+
+
+def test_every_language_is_learned(spark, make_docs):
+    import random
+
+    draw, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{i:02d}": ["".join(draw.choices(letters, k=5)) for _ in range(6)] for i in range(70)}
+    rows = [(i * 100 + k, " ".join(draw.choices(words, k=12)), lang) for i, (lang, words) in enumerate(own.items()) for k in range(6)]
+    field = language.learn(make_docs(rows), F.lit(True))
+    assert sorted(field.languages) == sorted(own)
