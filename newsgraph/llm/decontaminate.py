@@ -28,7 +28,7 @@ class Windows:
         self.vocabulary: dict[bytes, int] = {_BREAK: -1}
         self.by_length: dict[int, dict[bytes, list[int]]] = {}
 
-    def add(self, item: str, text: str) -> None:
+    def add(self, item: str | None, text: str) -> None:
         words = text.encode().translate(WORD_BYTES).split()
         if not words:
             return
@@ -53,9 +53,9 @@ class Windows:
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, size: int, most: int) -> Iterator[Windows]:
-    """Blocks of about ``most`` windows, one at a time on the driver.  Items without an id or a text are left out."""
+    """Blocks of about ``most`` windows, one at a time on the driver.  Items without a text are left out."""
     block = Windows(size)
-    for row in benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).dropna().toLocalIterator():
+    for row in benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).filter(F.col(text).isNotNull()).toLocalIterator():
         block.add(row[0], row[1])
         if block.count >= most:
             yield block
@@ -75,7 +75,7 @@ def scan(
     ``items`` (ids of the items with occurring windows, as sorted strings) and ``spans`` (first and one past the last
     number of each run of hit words).  The windows are broadcast in blocks of ``most``, one scan a block, so that a
     benchmark of any size is met whole.  A null or empty text has no words; an empty benchmark hits nothing; repeated
-    items count once by id.  Own columns replace kept ones of the same names.
+    items count once by id, and the words of an item without an id are hit while it counts as no item.  Own columns replace kept ones of the same names.
     """
     context = docs.sparkSession.sparkContext
     out = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<first: int, last: int>>"
@@ -104,7 +104,7 @@ def scan(
                 for i, length, who in windows.scan(ids):
                     edges[i] += 1
                     edges[i + length] -= 1
-                    holders[np.searchsorted(ends, i)].update(windows.items[w] for w in who)
+                    holders[np.searchsorted(ends, i)].update(windows.items[w] for w in who if windows.items[w] is not None)
                 hit = np.cumsum(edges[:-1]) > 0
                 turns = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                 firsts, lasts = turns[::2], turns[1::2]

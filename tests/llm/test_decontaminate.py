@@ -19,14 +19,14 @@ def plain(docs, items, size=10):
         w, hit, found = words(text), set(), set()
         for item, passage in items:
             v = words(passage)
-            if item is None or not v:
+            if not v:
                 continue
             n = min(size, len(v))
             grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)}
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) in grams:
                     hit.update(range(i, i + n))
-                    found.add(str(item))
+                    found.update([str(item)] if item is not None else [])
         out.append((key, len(w), len(hit), sorted(found)))
     return sorted(out, key=str)
 
@@ -35,14 +35,14 @@ def fixture():
     draw = random.Random(3)
     vocabulary = ["the", "of", "Straße", "élan", "x1", "2024", "and", "word", "test", "naïve"]
     items = [(i, " ".join(draw.choices(vocabulary, k=draw.choice([3, 9, 10, 11, 25])))) for i in range(12)]
-    items += [(50, ""), (51, None), (None, "the of the of"), (52, "... !!"), (3, "another text of item three is long enough to count here"), (2**40, "Unique!")]
+    items += [(50, ""), (51, None), (None, "the of the of"), (None, "nobody knows whose test this is"), (52, "... !!"), (3, "another text of item three is long enough to count here"), (2**40, "Unique!")]
     docs = []
     for k in range(40):
         text = " ".join(draw.choices(vocabulary, k=draw.randrange(0, 60)))
         if k % 3 == 0:
             text += ", " + items[k % 12][1].upper() + "! " + " ".join(draw.choices(vocabulary, k=8))
         docs.append((k, text))
-    docs += [(100, None), (101, ""), (102, "\0\0 , "), (103, "unique"), (103, "unique"), (None, "so unique\x00it is"), (104, "the " * 30_000 + items[9][1])]
+    docs += [(100, None), (101, ""), (102, "\0\0 , "), (103, "unique"), (103, "unique"), (105, "(nobody knows, whose test this is)"), (None, "so unique\x00it is"), (104, "the " * 30_000 + items[9][1])]
     return docs, items
 
 
