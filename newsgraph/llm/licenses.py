@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,21 +60,33 @@ class Scanner:
         found = [(m.start(), m.end(), r) for n in sorted(active) for r in (self.rules[n],) for m in r.pattern.finditer(text) if m.end() > m.start()]
         # by start, longest first: a match can only be contained in one before it, or in one of equal place
         found.sort(key=lambda d: (d[0], -d[1], -d[2].priority, d[2].number))
+        levels = sorted({r.priority for _, _, r in found})
+        reach = dict.fromkeys(levels, -1)  # furthest end so far of each priority
         kept: list[tuple[int, int, Rule]] = []
-        holders: list[tuple[int, int, Rule]] = []
         for start, end, rule in found:
-            holders = [h for h in holders if h[1] > start]
-            if not any(h[1] >= end and h[2].priority >= rule.priority for h in holders):
+            if not any(p >= rule.priority and reach[p] >= end for p in levels):
                 kept.append((start, end, rule))
-            holders.append((start, end, rule))
+            reach[rule.priority] = max(reach[rule.priority], end)
         # a longer match of lower priority gives way to one inside it that says more
-        out = []
-        for start, end, rule in kept:
-            reach = (lambda s, e: s < end and e > start) if rule.priority <= HINT else (lambda s, e: s >= start and e <= end)
-            inner = any(r.priority > rule.priority and reach(s, e) for s, e, r in kept)
-            if not inner:
-                out.append((start, end, rule))
-        return out
+        better = {p: _Better([(s, e) for s, e, r in kept if r.priority > p]) for p in {r.priority for _, _, r in kept}}
+        return [(s, e, r) for s, e, r in kept if not (better[r.priority].overlaps(s, e) if r.priority <= HINT else better[r.priority].within(s, e))]
+
+
+class _Better:
+    """Whether some of the intervals, sorted by start, lie within a range or overlap it."""
+
+    def __init__(self, intervals: list[tuple[int, int]]):
+        self.starts = [s for s, _ in intervals]
+        self.nearest = list(accumulate(reversed([e for _, e in intervals]), min))[::-1]  # least end from here on
+        self.furthest = list(accumulate((e for _, e in intervals), max))
+
+    def within(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, start)
+        return at < len(self.starts) and self.nearest[at] <= end
+
+    def overlaps(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at > 0 and self.furthest[at - 1] > start
 
 
 @lru_cache(maxsize=1)
@@ -97,7 +111,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     ``n_words``; ``places`` (word number and label of each of ``PHRASES``, in order); ``detections`` (label, priority,
     start and end character) of the rules after suppression; ``labels`` (of both, distinct and sorted); and ``score``,
     the highest priority found over 100 (a phrase counts 60), 0 if nothing is found.  Rules are tried only on a text that
-    holds a keyword of theirs, found by one automaton for all; whatever a rule matches holds one.  A null or empty text has no words and no finds.  Own columns
+    holds a keyword of theirs, found by one automaton for all; whatever a rule matches holds one.  A null or empty text has no words and
+    no finds, repeated rows find the same, and an empty table gives none.  Own columns
     replace kept ones of the same names.
     """
     out = ("n_words bigint, places array<struct<word: bigint, label: string>>, "

@@ -1,6 +1,7 @@
 """Rules, suppression and phrases."""
 
 import random
+import time
 from re import _constants as C, _parser
 
 import pytest
@@ -118,3 +119,32 @@ def test_scan(spark, make_docs):
     assert [p["word"] for p in got[4, "word word"].places] == [50_000]
     assert got[5, "É cc éby "].places == []
     assert licenses.scan(make_docs(rows).limit(0), ["doc_id"]).count() == 0
+
+
+def slow(text):
+    """Every rule on the text, and every pair of matches, without keywords."""
+    rules = licenses.scanner().rules
+    found = [(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(text) if m.end() > m.start()]
+    found.sort(key=lambda d: (d[0], -d[1], -d[2].priority, d[2].number))
+    kept = [d for i, d in enumerate(found) if not any(o[0] <= d[0] and o[1] >= d[1] and o[2].priority >= d[2].priority for o in found[:i])]
+    out = []
+    for s, e, r in kept:
+        better = [(a, b) for a, b, o in kept if o.priority > r.priority]
+        if not any((a < e and b > s) if r.priority <= licenses.HINT else (a >= s and b <= e) for a, b in better):
+            out.append((s, e, r.number))
+    return out
+
+
+def test_detections_equal_all_rules_on_all_pairs():
+    draw = random.Random(11)
+    pieces = [c for c, _ in CASES] + ["gpl", "license", "free software", "apache", "mit", "version 2", "\n", "as is", "copyright", "bsd 3-clause"]
+    for _ in range(60):
+        text = " ".join(draw.choices(pieces, k=draw.randrange(1, 25))).lower()
+        assert [(s, e, r.number) for s, e, r in licenses.scanner().detections(text)] == slow(text)
+
+
+def test_many_detections():
+    text = "licensed under the mit license. all rights reserved. gpl-3.0 or cc by 4.0\n" * 25_000
+    start = time.process_time()
+    found = licenses.scanner().detections(text)
+    assert len(found) > 90_000 and time.process_time() - start < 10
