@@ -165,7 +165,8 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "te
 
     ``offending`` lists the sentences that make a text toxic, as byte spans with their own scores: in texts of ``score``
     at least ``threshold`` those that reach it by themselves, or else the worst.  A null, empty or wordless text has no
-    sentence and scores 0; so does every text if ``model`` is None.  Own columns replace kept ones of the same names.
+    sentence and scores 0; so does every text if ``model`` is None.  Repeated rows score alike, a text of any length is
+    read whole, and an empty table gives none.  Own columns replace kept ones of the same names.
     """
     weights, bias = (model.weights, model.bias) if model else (np.zeros(FEATURES), -np.inf)
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
@@ -181,10 +182,13 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "te
             marks = np.where(values == -np.inf, 2, np.where(values == np.inf, 1, 0))
             sentence, owner = sentences(marks)
             own = values[marks == 0]
-            told = np.flatnonzero(own > 0)  # few words; repeated in a sentence, one counts once by its value
-            told = told[np.lexsort((own[told], sentence[told]))]
+            told = np.flatnonzero(own > 0)  # few words; repeated in a sentence, one counts once
+            numbers: dict[bytes, int] = {}
+            number = np.fromiter((numbers.setdefault(words[i], len(numbers)) for i in np.flatnonzero(marks == 0)[told]), np.int64, len(told))
+            order = np.lexsort((number, sentence[told]))
+            told, number = told[order], number[order]
             once = np.ones(len(told), bool)
-            once[1:] = (own[told][1:] != own[told][:-1]) | (sentence[told][1:] != sentence[told][:-1])
+            once[1:] = (number[1:] != number[:-1]) | (sentence[told][1:] != sentence[told][:-1])
             told = told[once]
             s = np.clip(bias + np.bincount(sentence[told], weights=own[told], minlength=len(owner)), -60, 60)
             clean = np.bincount(owner, weights=np.logaddexp(0, s), minlength=len(texts))

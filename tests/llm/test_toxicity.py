@@ -67,3 +67,18 @@ def test_held_out_rows_are_not_learned_from(spark):
 
     got = {r.doc_id for r in spark.range(200).withColumnRenamed("id", "doc_id").filter(toxicity.trainable()).collect()}
     assert got == {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def test_scores_are_those_of_the_model_word_by_word(spark, make_docs):
+    draw = random.Random(9)
+    words = ["aaaabbbbx", "aaaabbyyy", "zorgly", "blurk", "bana", "teso", "zorglies"]
+    weights = np.abs(np.random.default_rng(4).normal(0.4, 0.3, toxicity.FEATURES))
+    model = toxicity.Model(weights, -3.0)
+    sums = toxicity._Sums(weights.tolist())
+    rows = [(i, ". ".join(" ".join(draw.choices(words, k=draw.randrange(1, 6))) for _ in range(draw.randrange(1, 5)))) for i in range(40)] + [(90, "aaaabbbbx aaaabbyyy aaaabbbbx")]
+    got = {r.doc_id: r.score for r in toxicity.score(make_docs(rows), model, ["doc_id"]).collect()}
+    for k, text in rows:
+        clean = 1.0
+        for sentence in text.split(". "):
+            clean *= 1 - 1 / (1 + np.exp(-(-3.0 + sum(sums[w.encode()] for w in set(sentence.split())))))
+        assert abs(got[k] - (1 - clean)) < 1e-9
