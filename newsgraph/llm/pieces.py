@@ -110,8 +110,8 @@ class Encoder:
             text, source = text.replace(b" ", SPACE), np.append(np.repeat(source[:-1], wide), source[-1])
         return text, source
 
-    def spans(self, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and one past the last source byte of each piece."""
+    def spans(self, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """First and one past the last source byte of each piece; None if the pieces do not cover the normalised text."""
         text, source = self.normalise(data)
         sizes = self.sizes[ids]
         if (sizes < 0).any():
@@ -119,7 +119,7 @@ class Encoder:
                 self.model.encode(data.decode(), out_type="immutable_proto").pieces, sizes)], np.int64)
         ends = np.cumsum(sizes)
         if len(ids) and ends[-1] != len(text):
-            raise ValueError("pieces do not cover the normalised text")
+            return None
         return source[ends - sizes], source[ends]
 
 
@@ -133,7 +133,9 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
 
     Whole texts, without begin or end ids.  The text is normalised by the longest prefixes of the model's character map,
     keeping the source of every byte; the model cuts it into pieces, and the cumulated sizes of the pieces are looked up
-    in that alignment.  A null or empty text has no ids.  ``path`` is the model file on every worker; it is read once a
+    in that alignment.  A null or empty text has no ids, and rows that repeat each have theirs; an
+    empty table gives none.  Where the alignment does not cover the pieces (symbols that a model exempts from
+    normalisation), the ids stand and the spans are null.  ``path`` is the model file on every worker; it is read once a
     worker.  Own columns replace kept ones of the same names.
     """
 
@@ -146,11 +148,15 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
             flat = np.fromiter((i for ids in lists for i in ids), np.int32, sum(map(len, lists)))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             starts, ends = np.empty(len(flat), np.int32), np.empty(len(flat), np.int32)
+            unknown = np.zeros(len(values), bool)
             for k, value in enumerate(values):
                 a, b = offsets[k], offsets[k + 1]
-                starts[a:b], ends[a:b] = e.spans(value.encode(), flat[a:b])
+                spans = e.spans(value.encode(), flat[a:b])
+                unknown[k] = spans is None
+                starts[a:b], ends[a:b] = (0, 0) if spans is None else spans
             decoded = [e.model.decode(ids) if ids else "" for ids in lists]
-            return [*(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (flat, starts, ends)), pa.array(decoded, pa.string())]
+            bare = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x), mask=pa.array(unknown)) for x in (starts, ends)]
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *bare, pa.array(decoded, pa.string())]
 
         return kernel
 
