@@ -28,6 +28,8 @@ SURROUNDING = frozenset(
     "sidebar sidenav rail footer masthead breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond discussion cookie cookies consent "
     "gdpr notice notification popup modal overlay lightbox newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "trending popular widget toolbar pagination pager login signin search copyright disclaimer alert skip hidden paywall teaser".split())
+#: Those of them that mark what readers write.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 #: Words that mark a container of text.
 CONTAINER = frozenset("article body content entry main page post story text blog hentry".split())
 #: An open element is ended by these start tags.
@@ -36,6 +38,8 @@ ENDED_BY = {
     "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
     "thead": frozenset({"tbody", "tfoot"}), "tbody": frozenset({"tbody", "tfoot"}), "head": frozenset({"body"}),
 }
+#: Start tags that end some open element.
+ENDING = frozenset().union(*ENDED_BY.values())
 #: An end is not looked for beyond these.
 FENCE = frozenset({"table", "td", "th", "html", "body", "object", "article"})
 
@@ -43,24 +47,28 @@ _MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</[^a-zA-Z][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>", re.S)
+_UNCLOSED = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 _MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "good", "first", "last", "start", "stop", "points", "inside")
+    __slots__ = ("tag", "parent", "out", "never", "words", "good", "first", "last", "start", "stop", "points", "inside", "link", "block")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, good: int, number: int, text: int):
-        self.tag, self.parent, self.out, self.good = tag, parent, out, good
+    def __init__(self, tag: str, parent: Node | None, never: bool, words: set[str] | frozenset[str], good: int, number: int, text: int):
+        self.tag, self.parent, self.good = tag, parent, good
+        self.never, self.words, self.out = never, words, never  # no article whatever it holds; words of its class that speak against it
+        self.link = tag == "a" or (parent is not None and tag not in BLOCK and parent.link)
+        self.block = self if parent is None or tag in BLOCK else parent.block  # the block or root around it
         self.first = self.last = number  # of the nodes of its subtree
         self.start = self.stop = text  # of its texts
         self.points = 0.0
         self.inside = parent is not None and (parent.inside or tag in ("article", "main"))
 
 
-def _marks(tag: str, rest: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element surrounds the article by its attributes, and the bonus of its class or id."""
+def _marks(tag: str, rest: str, inside: bool) -> tuple[bool, set[str], int]:
+    """Whether an element is out by its attributes, the words of its class or id that speak against it, and their bonus."""
     words, out = set(), False
     for name, value in _MARK.findall(rest):
         name, value = name.lower(), value.strip("\"'")
@@ -72,24 +80,27 @@ def _marks(tag: str, rest: str, inside: bool) -> tuple[bool, int]:
             out |= bool(_HIDES.search(value))
         else:
             out |= value.lower() != "false"
-    out |= bool(words & SURROUNDING) or (not inside and "header" in words)
-    return out and tag not in ("html", "body", "main"), 25 * bool(words & CONTAINER)
+    against = words & SURROUNDING | ({"header"} & words if not inside else set())
+    top = tag in ("html", "body", "main")
+    return out and not top, set() if top else against, 25 * bool(words & CONTAINER)
 
 
 class Page:
     """A page's tree, its texts (block, node, text) in page order, and the main text."""
 
     def __init__(self, html: str):
-        root = Node("#root", None, False, 0, 0, 0)
+        root = Node("#root", None, False, frozenset(), 0, 0, 0)
         self.nodes, self.texts, self.block = [root], [], 0
-        self.open = [root]
-        at, size = 0, len(html)
+        self.open, self.held = [root], {}
+        at, size, last = 0, len(html), html.rfind(">")
         while at < size:
-            m = _MARKUP.search(html, at)
+            m = _MARKUP.search(html, at) if at <= last else _UNCLOSED.search(html, at)
             self.add(html[at : m.start() if m else size])
             if not m:
                 break
             at = m.end()
+            if m.re is _UNCLOSED:
+                continue
             name = m["name"] or m["name2"]
             if name:
                 name = name.lower()
@@ -111,7 +122,7 @@ class Page:
     def begin(self, tag: str, rest: str) -> None:
         if tag in ("html", "body") and any(n.tag == tag for n in self.open):
             return
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if tag in ENDING else ():
             held = self.open[i].tag
             if tag in ENDED_BY.get(held, ()):
                 while len(self.open) > i:
@@ -127,16 +138,16 @@ class Page:
             return
         parent = self.open[-1]
         inside = parent.inside
-        out, good = _marks(tag, rest, inside) if rest else (False, 0)
-        out = out or parent.out or tag in OUTSIDE or (tag == "header" and not inside)
-        node = Node(tag, parent, out, good, len(self.nodes), len(self.texts))
+        out, words, good = _marks(tag, rest, inside) if rest else (False, frozenset(), 0)
+        node = Node(tag, parent, out or parent.never or tag in OUTSIDE or (tag == "header" and not inside), words, good, len(self.nodes), len(self.texts))
         self.nodes.append(node)
         self.open.append(node)
+        self.held[tag] = self.held.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.block += 1
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if self.held.get(tag) else ():
             held = self.open[i].tag
             if held == tag:
                 while len(self.open) > i:
@@ -147,6 +158,7 @@ class Page:
 
     def close(self) -> None:
         node = self.open.pop()
+        self.held[node.tag] = self.held.get(node.tag, 0) - 1
         node.last, node.stop = len(self.nodes) - 1, len(self.texts)
 
     def blocks(self, of: list[Node]) -> list[str]:
@@ -164,29 +176,62 @@ class Page:
         out.append("".join(parts))
         return [t for t in (" ".join(x.split()) for x in out) if t]
 
+    def judge(self, by_class: bool) -> None:
+        """What is out: by element or attribute, and by class unless it holds the article.
+
+        It holds the article if it is, or is around, the article or main element with most text (one that is not of a
+        reader), or if it is named as a container and most of the page's text stands in it; nearly all, if it is named
+        after comments too.
+        """
+        self.measure()
+        plain = lambda n: self.letters[n.stop] - self.letters[n.start] - self.linked[n.stop] + self.linked[n.start]
+        whole, spared = plain(self.nodes[0]), set()
+        if by_class:
+            marked = [n for n in self.nodes if n.tag in ("article", "main") and not n.never and not n.words & COMMENTS]
+            for node in sorted(marked, key=lambda n: (-plain(n), n.first))[:1]:
+                around = [node]
+                while around[-1].parent is not None:
+                    around.append(around[-1].parent)
+                if 2 * plain(node) >= whole or not any(n.words & COMMENTS and not n.good for n in around[1:]):
+                    spared.update(n.first for n in around)
+        for node in self.nodes:
+            bad = by_class and bool(node.words) and node.first not in spared
+            if bad and node.good and whole and plain(node) >= (0.9 if node.words & COMMENTS else 0.5) * whole:
+                bad = False
+            node.out = node.never or bad or (node.parent is not None and node.parent.out)
+
     def measure(self) -> None:
-        """Running sums of the letters of texts, of those in links, and of commas."""
+        """Running sums of the letters of texts, of those in links, and of links."""
         self.letters, self.linked = [0], [0]
         for _, node, text in self.texts:
             n = 0 if node.out else len("".join(text.split()))
-            link = n
-            while link and node is not None and node.tag != "a":
-                if node.tag in BLOCK:
-                    link = 0
-                node = node.parent
             self.letters.append(self.letters[-1] + n)
-            self.linked.append(self.linked[-1] + (link if node is not None else 0))
+            self.linked.append(self.linked[-1] + (n if node.link else 0))
+        self.links = [0]
+        for node in self.nodes:
+            self.links.append(self.links[-1] + (node.tag == "a"))
 
     def density(self, node: Node) -> float:
         n = self.letters[node.stop] - self.letters[node.start]
         return (self.linked[node.stop] - self.linked[node.start]) / n if n else 0.0
 
     def main(self) -> list[str]:
+        """The main text; without regard to classes, if that leaves none."""
+        self.judge(True)
+        found = self.best()
+        if not found and any(n.words for n in self.nodes):
+            for node in self.nodes:
+                node.out, node.points = node.never, 0.0
+            self.judge(False)
+            found = self.best()
+        return found
+
+    def best(self) -> list[str]:
         """Paragraphs pass points for length and commas to their ancestors; the best container and its siblings stay."""
         self.measure()
         for node in self.nodes:  # lists of links are menus
             if not node.out and node.tag in ("ul", "ol", "div", "table", "section", "dl") and self.density(node) >= 0.9:
-                if sum(n.tag == "a" for n in self.nodes[node.first : node.last + 1]) > 2:
+                if self.links[node.last + 1] - self.links[node.first] > 2:
                     for n in self.nodes[node.first : node.last + 1]:
                         n.out = True
         candidates: dict[int, Node] = {}
@@ -201,9 +246,7 @@ class Page:
                 length = self.letters[stop] - self.letters[at]
                 link = (self.linked[stop] - self.linked[at]) / max(1, length)
                 points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - link)
-                node = own[0][0]
-                while node.tag not in BLOCK and node.parent is not None:
-                    node = node.parent
+                node = own[0][0].block
                 # text right in a container scores it as a paragraph's parent would be
                 node = node.parent if node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "dd") and node.parent else node
                 for part in (1, 2, 6, 9, 12):
@@ -249,8 +292,9 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     in full to the nearest and less to each above, discounted by link density; the best container (the whole article
     around it, where marked) stays with those siblings that score well or are plain paragraphs.  Character references are
     decoded and white space in a block is one space; no block of the container is dropped or cut.  A page without
-    paragraphs gives what text its article or body has; a null or empty page gives the empty text.  Unclosed and
-    misnested tags are allowed.  An own column replaces a kept one of its name.
+    paragraphs gives what text its article or body has; a null or empty page gives the empty text, repeated rows the
+    same, and an empty table none.  A class never takes out what holds the article, and none does if nothing would be
+    left.  Unclosed and misnested tags are allowed, pages may be of any size.  An own column replaces a kept one of its name.
     """
 
     def make():

@@ -1,5 +1,7 @@
 """Main text of small pages."""
 
+import time
+
 import pytest
 
 from newsgraph.llm import html
@@ -41,3 +43,24 @@ def test_extract(spark):
     got = html.extract(pages, ["page_id", "url", "text"]).collect()
     assert [r.text for r in got] == [LONG, LONG, ""] and got[0].asDict().keys() == {"page_id", "url", "text"}
     assert html.extract(pages.limit(0), ["page_id"]).count() == 0
+
+
+STORY = "<p>" + "A long paragraph, with commas, that says quite a lot about the story of the day. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post has-ads'>%s</article>", "<div id=page class='site no-sidebar'><article>%s</article></div>", "<div class='content with-comments'>%s</div>",
+    "<main class='notice'>%s</main>", "<div class='hidden'>%s</div>",
+    "<div id=comments><article class='comment-body'><p>me too, me too, says a reader at some length here</p></article></div><div>%s</div>",
+    "<article class='news'>%s</article><div id=comments><article class='media'><p>me too, me too, says a reader at some length here</p></article></div>"])
+def test_a_class_does_not_take_out_the_article(page):
+    text = html.main_text("<html><body><nav><a href=x>menu</a></nav>" + page % STORY + "<div class=ads>Buy this, now, and that</div></body></html>")
+    assert text.startswith("A long paragraph") and text.endswith("day.") and "me too" not in text and "Buy" not in text
+
+
+def test_large_pages_take_linear_time():
+    n = 100_000
+    for page in ("<span>" * n + "</b>" * n, "<a '" * n, "<div>" * n + "x", "<span>x" * n, "<div><a href=q>link</a>" * (n // 5)):
+        start = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - start < 4

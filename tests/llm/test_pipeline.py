@@ -28,6 +28,9 @@ def test_run(spark, tmp_path):
     passage = " ".join(f"bench{i}" for i in range(14))
     docs = [(i, sentence(i) + (f". you {INSULT} you." if i % 6 == 0 else "."), "en") for i in range(240)]
     docs += [(1000, docs[1][1], "en"), (1001, f"{sentence(777)} {passage}", "en"), (1002, None, "en"), (1003, "", "en"), (1004, "12 34", None), (1005, sentence(5000), None)]
+    # without a key, of one key, in ties, very long
+    docs += [(None, sentence(9001), "en"), (None, sentence(9001), "en"), (None, docs[7][1], "en"), (1010, sentence(9002), "en"), (1010, sentence(9003), "en"),
+             (1011, docs[1][1], "en"), (1012, " ".join(sentence(i) for i in range(10_000, 11_500)), "en")]
     labels = [(i, 1, int(i % 6 == 0)) for i in range(240)]
     rows = [(i, t, lang, "src", len(t or ""), 0.5, "x") for i, t, lang in docs]
     path = folder_of(spark, tmp_path / "in", rows, labels, [(1, passage)])
@@ -37,14 +40,16 @@ def test_run(spark, tmp_path):
         stage(spark, at, path).write.parquet(f"{tmp_path}/{k}")
         at = spark.read.parquet(f"{tmp_path}/{k}")
         assert at.columns == names
-        kept.append({r.doc_id for r in at.collect()})
-    clean = {i for i in range(240) if i % 6} | {1005}
+        keys = [r.doc_id for r in at.collect()]
+        assert keys.count(1010) == 2 and keys.count(1012) == 1 and keys.count(None) == (3 if k < 2 else 1)
+        kept.append(set(keys))
+    clean = {i for i in range(240) if i % 6} | {1005, 1010, 1012, None}
     assert {i for i in range(240) if i % 6 == 0}.isdisjoint(kept[0]) and clean | {1000, 1001, 1002, 1003, 1004} <= kept[0]
     assert kept[1] == kept[0] - {1002, 1003, 1004}
-    assert 1000 not in kept[2] and clean <= kept[2]
+    assert kept[2].isdisjoint({1000, 1011}) and clean <= kept[2]
     assert kept[3] == kept[2] - {1001}
     final = corpus_pipeline.run(spark, path).collect()
-    assert {r.doc_id for r in final} == kept[3] and all(r.ids for r in final)
+    assert {r.doc_id for r in final} == kept[3] and all(r.ids for r in final) and sum(r.doc_id is None for r in final) == 1
 
 
 def test_empty_tables(spark, tmp_path):
