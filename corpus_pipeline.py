@@ -1,4 +1,8 @@
-"""A corpus pipeline of the operators: each stage works on all that the one before it kept."""
+"""A corpus pipeline of the operators: each stage works on all that the one before it kept.
+
+Every stage takes documents as they come: extra columns, also under the operators' own names, pass unchanged; rows that
+repeat are judged alike; texts are read whole, whatever their length; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ LANGUAGE_SHARE = 1 / 3
 
 
 def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents of a toxicity score below the threshold."""
+    """Documents of a toxicity score below the threshold; null and empty texts score 0 and stay, a tie with it goes."""
     names = docs.columns
     model = toxicity.learn(docs, read(spark, folder, "labels"), toxicity.trainable())
     # the model's columns replace columns of these names, which therefore wait under others
@@ -24,7 +28,7 @@ def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with a language: texts without a letter go, and those in which no language holds a third."""
+    """Documents with a language: texts that are null or without a letter go, and those in which no language holds a third."""
     names = docs.columns
     field = language.learn(docs, language.trainable())
     rows = docs.withColumnsRenamed({c: f"__doc_{c}" for c in names})
@@ -33,17 +37,17 @@ def languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that of smallest id; all rows of a kept id, and of a group without ids one row."""
     return simhash.deduplicate(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; null and empty texts have none, and passages without an item id count too."""
     return decontaminate.decontaminate(docs, read(spark, folder, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Ids and source spans of the pieces of each document."""
+    """Ids and source spans of the pieces of each document, a row a row; null and empty texts have no pieces."""
     return pieces.encode(docs, queries.model_path(), ["doc_id", "lang", "source"])
 
 

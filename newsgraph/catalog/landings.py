@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsgraph.catalog import sqlbase as B
@@ -11,8 +13,10 @@ from newsgraph.catalog.sets import _LOG, request_log
 from newsgraph.functions import scoring as S
 from newsgraph.operators import aggregates as AG, evaluate as EV, logs as LG, ranking as R
 from newsgraph.operators.dedup import upsert
+from newsgraph.session import shared_folder
 from newsgraph.sources import landing as L, sinks as SK, standin as D
 from newsgraph.sources.tables import as_of, table
+from newsgraph.sources.versioned import VersionedTable
 from newsgraph.streaming import keyed, streams as ST
 
 QUERIES: dict = {}
@@ -310,6 +314,19 @@ def s18(spark, sf):
     return upsert(old, o.filter("id % 3 = 0").withColumn("version", F.lit("new")), ["id"])
 
 
+@query(
+    "s18_versioned_upsert",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0",
+)
+def s18_versioned(spark, sf):
+    """The same upsert on a stored table: each writer adds a version, and a writer from an old version is refused."""
+    stored = VersionedTable(spark, f"{shared_folder(spark)}/digests-{uuid.uuid4().hex}")
+    o = table(spark, sf, "orders").select(c("o_orderkey").alias("id"))
+    stored.upsert(o.filter("id % 2 = 0").withColumn("version", F.lit("old")), ["id"])
+    stored.upsert(o.filter("id % 3 = 0").withColumn("version", F.lit("new")), ["id"])
+    return stored.read()
+
+
 @query("s19_query_log", "SELECT event_type AS caller, count(*) AS n, sum(user_id) AS row_count FROM events GROUP BY 1")
 def s19(spark, sf):
     folder = ST.work_folder(spark)

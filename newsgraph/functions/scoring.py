@@ -42,9 +42,17 @@ def is_fresh(kind: Column, published: Column, fetched: Column, cutoff: Column) -
     )
 
 
-def decayed_rank(score: Column, event: Column, age: Column, content: Column) -> Column:
+def decay_factor(event: Column, age: Column, content: Column) -> Column:
     half = F.when(content == "github", F.lit(48.0)).otherwise(maps.lookup(K.HALF_LIFE_HOURS, event, 18.0))
-    return maps.round_half_even(score * F.pow(F.lit(2.0), -age / half), 2)
+    return F.pow(F.lit(2.0), -age / half)
+
+
+def decayed_rank_of(score: Column, decay: Column) -> Column:
+    return maps.round_half_even(score * decay, 2)
+
+
+def decayed_rank(score: Column, event: Column, age: Column, content: Column) -> Column:
+    return decayed_rank_of(score, decay_factor(event, age, content))
 
 
 def feed_rank(score: Column, age: Column, recency_bias: Column, base: float) -> Column:
@@ -233,19 +241,27 @@ DOMAIN_PREFS = {
 }
 
 
+def reader_view(event: Column, topics: Column, entities: Column, official: Column) -> Column:
+    """What a personal score needs of an item alone: worked out once an item where it meets many readers."""
+    return F.struct(
+        F.struct(*(value.alias(name) for name, value in domain_vector(event, topics).items())).alias("domains"),
+        F.slice(maps.ranked_entries(entities), 1, 5).alias("entities"), F.array_sort(F.map_entries(topics)).alias("topics"), official.alias("official"))
+
+
 def personal_score(
     base: Column, event: Column, topics: Column, entities: Column, source: Column, authority: Column,
-    coverage: Column, social: Column, official: Column,
+    coverage: Column, social: Column, official: Column, view: Column | None = None,
 ) -> Column:
     """Score for a reader whose preference columns are in the row.
 
-    Weight maps hold struct<weight, blocked> per key: ``entity_weights``, ``topic_weights``, ``source_weights``.
+    Weight maps hold struct<weight, blocked> per key: ``entity_weights``, ``topic_weights``, ``source_weights``.  With
+    ``view`` (a column of ``reader_view``) nothing of the item alone is worked out again.
     """
     pref = lambda name: F.col(name)
     setting = lambda name, key: F.try_element_at(F.col(name), key)
     domain = F.lit(1.0)
     for key, value in domain_vector(event, topics).items():
-        domain = domain * F.pow(pref(DOMAIN_PREFS[key]), value)
+        domain = domain * F.pow(pref(DOMAIN_PREFS[key]), value if view is None else view["domains"][key])
     domain = clamp(domain, 0.5, 1.8)
 
     def factor(name: str, key: Column, power: Column) -> Column:
@@ -254,8 +270,13 @@ def personal_score(
     def is_blocked(name: str, key: Column) -> Column:
         return F.coalesce(setting(name, key)["blocked"], F.lit(False))
 
-    top = F.slice(maps.ranked_entries(entities), 1, 5)
-    topic_list = F.array_sort(F.map_entries(topics))
+    top = F.slice(maps.ranked_entries(entities), 1, 5) if view is None else view["entities"]
+    topic_list = F.array_sort(F.map_entries(topics)) if view is None else view["topics"]
+    if view is not None:
+        # a weight that is not set is a factor of one: only an item's names that the reader has set count
+        top = F.filter(top, lambda e: F.map_contains_key(pref("entity_weights"), e["name"]))
+        topic_list = F.filter(topic_list, lambda e: F.map_contains_key(pref("topic_weights"), e["key"]))
+        official = view["official"]
     entity_part = maps.product(F.transform(top, lambda e: factor("entity_weights", e["name"], e["weight"])))
     topic_part = maps.product(F.transform(topic_list, lambda e: factor("topic_weights", e["key"], e["value"])))
     source_part = clamp(F.coalesce(setting("source_weights", source)["weight"], F.lit(1.0)), 0.7, 1.3)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from newsgraph.operators.ranking import top_per_group
@@ -17,7 +17,9 @@ def mmr(
 
     (groups, key, pick).  The pool is the first ``pool`` rows per group by score (2 * limit unless
     given), so one group is a bounded task; rows without a vector drop out.  Vectors join after the cut;
-    a dict of a bounded number of vectors by key is broadcast instead, and no vector is shuffled.
+    a dict of a bounded number of vectors by key is broadcast instead, and no vector is shuffled.  Of a reader's pool only
+    rows are compared that can still be picked: as long as one of the first ``limit`` is left, its value is at least
+    weight * score - (1 - weight) * the largest product, which a row further down must beat.
     """
     size = pool or 2 * limit
     candidates = top_per_group(ranked.select(*groups, key, score), groups, [F.desc(score), F.asc(key)], size)
@@ -30,17 +32,23 @@ def mmr(
         staged = candidates.join(vectors.select(key, "embedding"), key)
     fields = ", ".join(f"`{n}` {ranked.schema[n].dataType.simpleString()}" for n in groups + [key])
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(table: pa.Table) -> pa.Table:
+        """The reader's rows best first; below a margin under the last that the limit reaches by score, none can be picked."""
+        keys, scores = np.array(table.column(key).to_pylist()), table.column(score).to_numpy()
+        order = np.lexsort((keys, -scores))
         if shared is not None:
-            pdf = pdf[pdf[key].isin(shared.value[0])]
-        pdf = pdf.sort_values([score, key], ascending=[False, True]).reset_index(drop=True)
-        if shared is not None:
-            matrix = shared.value[1][[shared.value[0][k] for k in pdf[key]]]
+            place = np.array([shared.value[0].get(k, -1) for k in keys.tolist()])
+            order = order[place[order] >= 0]
+            matrix = shared.value[1][place[order]]
         else:
-            matrix = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-        scores = pdf[score].to_numpy(dtype=np.float64)
-        left = np.ones(len(pdf), dtype=bool)
-        nearest = np.full(len(pdf), -np.inf)
+            matrix = np.array(table.column("embedding").to_pylist(), dtype=np.float64)[order]
+        scores = scores[order].astype(np.float64)
+        if len(order) > limit:
+            widest = (matrix * matrix).sum(axis=1).max()  # no product of two of them is larger
+            live = scores >= scores[limit - 1] - 2 * (1 - weight) / weight * widest - 1e-6
+            order, scores, matrix = order[live], scores[live], matrix[live]
+        left = np.ones(len(order), dtype=bool)
+        nearest = np.full(len(order), -np.inf)
         picks = []
         while left.any() and len(picks) < limit:
             value = scores if not picks else np.round(weight * scores - (1 - weight) * nearest, 9)
@@ -48,8 +56,7 @@ def mmr(
             picks.append(best)
             left[best] = False
             nearest = np.maximum(nearest, matrix @ matrix[best])
-        out = pdf.loc[picks, groups + [key]].copy()
-        out["pick"] = np.arange(1, len(picks) + 1, dtype=np.int32)
-        return out
+        return table.select([*groups, key]).take(pa.array(order[picks] if picks else [], pa.int64())).append_column(
+            "pick", pa.array(np.arange(1, len(picks) + 1), pa.int32()))
 
-    return staged.groupBy(*groups).applyInPandas(choose, f"{fields}, pick int")
+    return staged.groupBy(*groups).applyInArrow(choose, f"{fields}, pick int")

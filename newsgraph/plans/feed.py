@@ -71,10 +71,10 @@ def with_context(rows: DataFrame, clusters: DataFrame, as_of: Column, hours: int
     return staged.filter(c("event_time").isNotNull() & (c("age_hours") >= 0) & (c("age_hours") <= hours))
 
 
-def personal(rows: DataFrame, base: str) -> Column:
+def personal(rows: DataFrame, base: str, view: Column | None = None) -> Column:
     return S.personal_score(
         c(base), c("event_type"), c("topics"), c("entities"), c("source_name"), c("authority"), c("coverage_score"),
-        c("social"), U.is_official(c("final_url")),
+        c("social"), U.is_official(c("final_url")), view,
     )
 
 
@@ -272,12 +272,16 @@ def offers(pool: DataFrame, readers: DataFrame) -> DataFrame:
     ids = [r[0] for r in pool.select("article_id").collect()]
     if len(ids) > POOL:
         raise ValueError("pool exceeds its bound")
+    items = pool.select(
+        "article_id", "base_score", "source_name", "authority", "coverage_score", "social", "content_type",
+        *(n for n in ("serendipity",) if n in pool.columns), S.reader_view(c("event_type"), c("topics"), c("entities"), U.is_official(c("final_url"))).alias("_view"),
+        # the decay of an item is the same for all readers: its rank is linear in the score
+        S.decay_factor(c("event_type"), c("age_hours"), c("content_type")).alias("_decay"))
     fanned = readers.withColumn("article_id", F.explode(F.array(*[F.lit(i) for i in ids]).cast("array<long>")))
-    rows = fanned.join(F.broadcast(pool), "article_id")
-    rows = maps.once(rows, "user_score", personal(rows, "base_score")).filter(c("user_score") >= c("min_show_score"))
+    rows = fanned.join(F.broadcast(items), "article_id")
+    rows = maps.once(rows, "user_score", personal(rows, "base_score", c("_view"))).filter(c("user_score") >= c("min_show_score"))
     bias = F.greatest("recency_bias", F.lit(0.01))
-    rank = S.decayed_rank(c("user_score") / bias, c("event_type"), c("age_hours"), c("content_type"))
-    return rows.withColumn("rank_score", rank)
+    return rows.withColumn("rank_score", S.decayed_rank_of(c("user_score") / bias, c("_decay")))
 
 
 def reader_digests(pool: DataFrame, readers: DataFrame, vectors: DataFrame, limit: int = 30) -> DataFrame:
