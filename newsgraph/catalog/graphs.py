@@ -182,7 +182,39 @@ def k05(spark, sf):
     return found.select("vec_id", F.round("similarity", 6).alias("novelty_similarity"))
 
 
-@query("k07_plane")
+def _sql_axis(name: str, matrix: str, squarings: int = 18) -> str:
+    """First principal axis of a symmetric matrix, a list of rows one after another, by repeated squaring: ``{name}(v, strength)``."""
+    row = lambda m, i: f"{m}[{i} * {DIM} + 1 : {i} * {DIM} + {DIM}]"
+    return f"""{name}_run(k, m) AS (
+  SELECT 0, m FROM {matrix}
+  UNION ALL
+  SELECT k + 1, list_transform(p, lambda z: z / list_max(p)) FROM (
+    SELECT k, list_transform(range({DIM * DIM}), lambda i: list_inner_product({row('m', '(i // ' + str(DIM) + ')')}, {row('m', '(i % ' + str(DIM) + ')')})) AS p FROM {name}_run WHERE k < {squarings}) t),
+{name}_row AS (SELECT list_transform(range({DIM}), lambda i: m[i * {DIM} + i + 1]) AS diagonal, m FROM {name}_run WHERE k = {squarings}),
+{name}_at AS (SELECT list_position(diagonal, list_max(diagonal)) - 1 AS i, m FROM {name}_row),
+{name}_raw AS (SELECT {row('m', 'i')} AS w FROM {name}_at),
+{name}_unit AS (SELECT list_transform(w, lambda z: z / sqrt(list_inner_product(w, w))) AS u FROM {name}_raw),
+{name}_signed AS (SELECT u, list_transform(u, lambda z: abs(z)) AS a FROM {name}_unit),
+{name} AS (SELECT list_transform(u, lambda z: z * sign(u[list_position(a, list_max(a))])) AS v FROM {name}_signed)"""
+
+
+_PLANE = recursive(
+    f"""xs AS (SELECT vec_id AS article_id, list_transform(embedding, lambda z: z::DOUBLE) AS x FROM embeddings),
+long AS (SELECT article_id, unnest(x) AS z, unnest(range({DIM})) AS d FROM xs),
+means AS (SELECT d, avg(z) AS mean FROM long GROUP BY d),
+centred AS (SELECT article_id, list(z - mean ORDER BY d) AS x FROM long JOIN means USING (d) GROUP BY article_id),
+cells AS (SELECT p, sum(x[p // {DIM} + 1] * x[p % {DIM} + 1]) AS z FROM centred, range({DIM * DIM}) r(p) GROUP BY p),
+cov AS (SELECT list(z ORDER BY p) AS m FROM cells)""",
+    _sql_axis("one", "cov"),
+    f"""power AS (SELECT v, list_inner_product(v, list_transform(range({DIM}), lambda i: list_inner_product(m[i * {DIM} + 1 : i * {DIM} + {DIM}], v))) AS strength, m FROM one, cov),
+rest AS (SELECT list_transform(range({DIM * DIM}), lambda p: m[p + 1] - strength * v[p // {DIM} + 1] * v[p % {DIM} + 1]) AS m FROM power)""",
+    _sql_axis("two", "rest"),
+    "placed AS (SELECT article_id, list_inner_product(x, one.v) AS a, list_inner_product(x, two.v) AS b FROM centred, one, two)",
+) + """SELECT article_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()), 4) AS x,
+ round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 4) AS y FROM placed"""
+
+
+@query("k07_plane", _PLANE)
 def k07(spark, sf):
     points = V.plane(D.vectors(spark, sf), "article_id", "embedding")
     return points.select("article_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

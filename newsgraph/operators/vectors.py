@@ -246,7 +246,10 @@ def planes(df: DataFrame, group: str, key: str, vec: str) -> DataFrame:
 
 
 def plane(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """First two principal components scaled to 0..1.  One or two rows are placed by hand."""
+    """First two principal components scaled to 0..1, each pointing to where its largest loading is positive.
+
+    One or two rows are placed by hand.  Only the covariance of the dimensions is summed over all rows.
+    """
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -258,7 +261,9 @@ def plane(df: DataFrame, key: str, vec: str) -> DataFrame:
     centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(data).transform(data)
     model = PCA(k=2, inputCol="_c", outputCol="_p").fit(centred)
     points = model.transform(centred).select(key, vector_to_array("_p").alias("_p"))
-    points = points.select(key, F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))
+    loadings = model.pc.toArray()
+    signs = [-1.0 if axis[np.abs(axis).argmax()] < 0 else 1.0 for axis in loadings.T]
+    points = points.select(key, (F.col("_p")[0] * signs[0]).alias("x"), (F.col("_p")[1] * signs[1]).alias("y"))
     ends = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     fit = lambda v, lo, hi: (F.col(v) - lo) / (hi - lo) if hi > lo else F.lit(0.0)
     return points.select(key, fit("x", ends["x0"], ends["x1"]).alias("x"), fit("y", ends["y0"], ends["y1"]).alias("y"))
