@@ -192,6 +192,7 @@ def predict(docs: DataFrame, field: Field | None, keep: list[str], text: str = "
     Every word gets a probability for each language by forward-backward over the whole text.  ``shares`` are their means
     by language, ``lang_pred`` is the language of the largest one (of equals the first by name) and ``score`` that share.
     A text that is null or has no letter is ``und`` with score 0 and no shares; so is every text if ``field`` is None.
+    Repeated rows come out alike, an empty table gives none, and a text of any length is one chain, held whole by its task.
     Own columns replace kept ones of the same names.
     """
     shared = docs.sparkSession.sparkContext.broadcast((field.languages, field.weights, field.moves) if field else None)

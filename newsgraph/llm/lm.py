@@ -348,7 +348,8 @@ def score(
     estimates from the filter, interpolated with its unigrams; one of over ``most`` bits is joined.  Counts of head words (a share over 1 / ``head``, so
     fewer than ``head`` words) are broadcast; the rest of a text's words, once a text, meet the table of counts in a
     join on the word, which no word can dominate.  A null text is empty: one end.  Rows that repeat key and text stay
-    separate rows with equal values.  With nothing to learn from all counts are zero.
+    separate rows with equal values.  With nothing to learn from all counts are zero.  An empty table gives no rows, texts
+    of any length are read whole, and no other column is read or passed, whatever its name.
     """
     context = docs.sparkSession.sparkContext
     lower = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)
