@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from newsgraph.catalog import sqlbase as B
 from newsgraph.catalog.scalars import _PLAIN, sql_evergreen, sql_ws  # noqa: F401
@@ -14,7 +15,7 @@ from newsgraph.functions import scoring as S
 from newsgraph.operators import aggregates as AG, evaluate as EV, logs as LG, ranking as R
 from newsgraph.operators.dedup import upsert
 from newsgraph.session import shared_folder
-from newsgraph.sources import landing as L, sinks as SK, standin as D
+from newsgraph.sources import feed_log as FL, landing as L, sinks as SK, standin as D
 from newsgraph.sources.tables import as_of, table
 from newsgraph.sources.versioned import VersionedTable
 from newsgraph.streaming import keyed, streams as ST
@@ -143,23 +144,56 @@ def s04(spark, sf):
     return found.select("external_id", F.regexp_replace("title", r"\.Html$", ".html").alias("title"), F.unix_seconds("published_at").alias("published"))
 
 
-@query("s05_hackernews_items", sql_feed("'h' || article_id", "final_url", _T, _BODY, "source_name", 168, hn_points=_P, hn_comments="(article_id % 500) // 2"))
-def s05(spark, sf):
+_HN = sql_feed("'h' || article_id", "final_url", _T, _BODY, "source_name", 168, hn_points=_P, hn_comments="(article_id % 500) // 2")
+
+
+def hn_payloads(spark, sf):
     none = F.lit(None).cast("string")
     odd = c("article_id") % 2 == 1
     item = F.struct(
         F.concat(F.lit("h"), s("article_id")).alias("objectID"), "title", F.when(odd, c("url")).otherwise(none).alias("url"), F.when(~odd, c("url")).alias("story_url"),
         c("body").alias("story_text"), c("source_name").alias("author"), c("at").alias("created_at"), "points", F.floor(c("points") / 2).cast("int").alias("num_comments"),
     )
-    return shown(L.candidates(payloads_of(feed_rows(spark, sf), "hits", item), "hn", now_of(spark, sf)))
+    return payloads_of(feed_rows(spark, sf), "hits", item)
 
 
-@query("s06_reddit_items", sql_feed("'r' || article_id", "final_url", _T, _BODY, "source_name", 24, reddit_upvotes=_P))
-def s06(spark, sf):
+@query("s05_hackernews_items", _HN)
+def s05(spark, sf):
+    return shown(L.candidates(hn_payloads(spark, sf), "hn", now_of(spark, sf)))
+
+
+_REDDIT = sql_feed("'r' || article_id", "final_url", _T, _BODY, "source_name", 24, reddit_upvotes=_P)
+
+
+def reddit_payloads(spark, sf):
     item = F.struct(
         F.concat(F.lit("r"), s("article_id")).alias("id"), "url", "title", c("body").alias("selftext"), c("source_name").alias("author"), c("epoch").alias("created_utc"), c("points").alias("score")
     )
-    return shown(L.candidates(payloads_of(feed_rows(spark, sf), "data", item), "reddit", now_of(spark, sf)))
+    return payloads_of(feed_rows(spark, sf), "data", item)
+
+
+@query("s06_reddit_items", _REDDIT)
+def s06(spark, sf):
+    return shown(L.candidates(reddit_payloads(spark, sf), "reddit", now_of(spark, sf)))
+
+
+_LOGGED = f"SELECT 'hn' AS feed, * FROM ({_HN}) UNION ALL SELECT 'reddit', * FROM ({_REDDIT})"
+LOGGED_FEEDS = {"hn": hn_payloads, "reddit": reddit_payloads}
+
+
+def logged(spark, sf):
+    """Payloads of two feeds as a fetcher logs them: (feed, payload_no, payload)."""
+    return reduce(DataFrame.unionByName, [make(spark, sf).withColumn("feed", F.lit(feed)) for feed, make in LOGGED_FEEDS.items()])
+
+
+@query("s05_feed_log", _LOGGED)
+def s05_log(spark, sf):
+    """Candidates of two feeds out of a landing log, read by the data source."""
+    folder = f"{shared_folder(spark)}/logs/{uuid.uuid4().hex}"
+    FL.land(logged(spark, sf), folder)
+    log, now = FL.read_log(spark, folder), now_of(spark, sf)
+    found = [shown(L.candidates(FL.payloads_of(log, feed), feed, now)).withColumn("feed", F.lit(feed)) for feed in LOGGED_FEEDS]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(
@@ -377,6 +411,20 @@ def t01_stream(spark, sf):
     return ST.drain_append(items.select("article_id", "title", "category", "shown_source", "user_score", "rank_score", "shown_score"), ST.work_folder(spark))
 
 
+@query("t01_feed_log", _LOGGED)
+def t01_log(spark, sf):
+    """Candidates of two feeds whose log is read as a stream: once when half of it has landed and, restarted, when all has."""
+    folder = f"{shared_folder(spark)}/logs/{uuid.uuid4().hex}"
+    rows, work = logged(spark, sf), ST.work_folder(spark)
+    again = c("payload_no") >= 1_000_000_000
+    for half in (~again, again):
+        FL.land(rows.filter(half), folder)
+        stored = ST.drain_append(FL.stream_log(spark, folder).select("feed", "payload_no", "payload"), work)
+    now = now_of(spark, sf)
+    found = [shown(L.candidates(FL.payloads_of(stored, feed), feed, now)).withColumn("feed", F.lit(feed)) for feed in LOGGED_FEEDS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("t02_lateness", f"SELECT event_id, event_type FROM events WHERE ts >= {NOW} - INTERVAL 168 HOUR")
 def t02(spark, sf):
     stream = ST.within_lateness(ST.read_landing(spark, sf, "events"), now_of(spark, sf))
