@@ -128,9 +128,10 @@ class Log:
         with self.store()[0].open_input_file(self.file(piece.feed, piece.segment)) as raw, io.BufferedReader(raw, 1 << 20) as file:
             at = piece.low
             if not piece.first:
-                # a line that starts before the piece belongs to the one before; it may end with the byte before this piece
+                # a line that starts before the piece belongs to the one before; it may end with the byte before this piece,
+                # or go on beyond it, which leaves no line to this one
                 file.seek(at - 1)
-                at += len(file.readline()) - 1
+                at += len(file.readline(piece.high - at + 1)) - 1
             else:
                 file.seek(at)
             while at < piece.high:

@@ -76,7 +76,7 @@ def test_lines_of_all_kinds(spark, tmp_path):
     add(tmp_path, "hn", "1", "".join(odd))
     add(tmp_path, "hn", "1", line(9, "y" * 3_000_000))
     add(tmp_path, "hn", "2", "")
-    rows = {r.at: r for r in L.read_log(spark, str(tmp_path), split_bytes=1000).collect()}
+    rows = {r.at: r for r in L.read_log(spark, str(tmp_path), split_bytes=20_000).collect()}
     shown = [(r.payload_no, r.payload if r.payload is None else r.payload[:8], r.malformed is not None) for _, r in sorted(rows.items())]
     assert shown == [(1, None, False), (2, '{"a": [1', False), (None, "x", False), (None, None, True), (None, None, True), (None, None, True), (None, None, True), (None, None, True),
                      (6, "?", False), (9, "yyyyyyyy", False)]
