@@ -74,7 +74,7 @@ def j04(spark, sf):
     B.with_(B.ENTITY_ROWS) + "SELECT DISTINCT entity FROM entity_rows",
 )
 def j07(spark, sf):
-    return D.articles(spark, sf, text=False).select(F.explode(F.map_keys("entities")).alias("entity")).distinct()
+    return D.article_tags(spark, sf).select(F.explode(F.map_keys("entities")).alias("entity")).distinct()
 
 
 @query(
