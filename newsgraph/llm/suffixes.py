@@ -249,6 +249,17 @@ def _by_bucket(values: np.ndarray, buckets: int):
         yield int(bucket[order[s]]), order[s:e]
 
 
+def in_two(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each list without repeats the values that another list has too: all are sorted once, however many lists."""
+    values = np.concatenate(lists)
+    order = np.argsort(values)
+    same = values[order[1:]] == values[order[:-1]]
+    found = np.zeros(len(values), bool)
+    found[order] = np.r_[False, same] | np.r_[same, False]
+    edges = np.cumsum([0, *map(len, lists)])
+    return [values[a:b][found[a:b]] for a, b in zip(edges, edges[1:])]
+
+
 def shared_anchors(packed: DataFrame, length: int, buckets: int) -> DataFrame:
     """``uid`` and ``hashes`` of the anchors of a slice that another slice has too, by bucket."""
 
@@ -263,14 +274,8 @@ def shared_anchors(packed: DataFrame, length: int, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "uid", "hashes"])
 
     def meet(table: pa.Table) -> pa.Table:
-        lists = [_numbers(x) for x in table.column("hashes").to_pylist()]
-        values = np.sort(np.concatenate(lists))
-        twice = np.unique(values[1:][values[1:] == values[:-1]])
-        uids, out = table.column("uid").to_pylist(), []
-        for uid, mine in zip(uids, lists):
-            mine = mine[np.isin(mine, twice)]
-            if len(mine):
-                out.append((uid, _five(mine)))
+        lists = in_two([_numbers(x) for x in table.column("hashes").to_pylist()])
+        out = [(uid, _five(mine)) for uid, mine in zip(table.column("uid").to_pylist(), lists) if len(mine)]
         return pa.table({"uid": pa.array([x[0] for x in out], pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary())})
 
     return packed.select("uid", "batch").mapInArrow(send, "bucket int, uid bigint, hashes binary").groupBy("bucket").applyInArrow(meet, "uid bigint, hashes binary")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -99,3 +100,14 @@ def test_empty(spark):
     assert found(none) == []
     rows = [(1, None), (2, ""), (3, "short")]
     assert found(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
+
+
+def test_anchors_of_many_slices_meet_in_one_sort():
+    rng = np.random.default_rng(2)
+    lists = [np.unique(rng.integers(0, 60, 20, dtype=np.uint64)) for _ in range(5)]
+    count = {int(v): sum(v in x for x in lists) for x in lists for v in x}
+    assert [x.tolist() for x in suffixes.in_two(lists)] == [[v for v in x.tolist() if count[v] > 1] for x in lists]
+    many = [rng.integers(0, 1 << 18, 400, dtype=np.uint64) for _ in range(1250)]  # as of 10 GB of text
+    start = time.process_time()
+    suffixes.in_two(many)
+    assert time.process_time() - start < 2  # a search of all shared ones for every list: 48 s
